@@ -36,6 +36,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriquill.llm.quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriquill.llm.pii import find_personal_data
 
@@ -43,7 +49,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_pack_first_fit, op3_html_main_text, op5_token_counts, op10_personal_data]
+    found = [op2_pack_first_fit, op3_html_main_text, op5_token_counts, op8_quality_rules, op10_personal_data]
     return {f.__name__: f for f in found}
 
 
