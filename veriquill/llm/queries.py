@@ -36,6 +36,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriquill.llm.toxicity import fit_toxicity, held_out, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(scored["doc_id"]).alias("held_out"), "score", "predicted", "n_passages")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriquill.llm.quality import quality_rules
 
@@ -49,7 +57,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_pack_first_fit, op3_html_main_text, op5_token_counts, op8_quality_rules, op10_personal_data]
+    found = [op2_pack_first_fit, op3_html_main_text, op5_token_counts, op7_toxicity, op8_quality_rules, op10_personal_data]
     return {f.__name__: f for f in found}
 
 
