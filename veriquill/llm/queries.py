@@ -36,6 +36,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriquill.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriquill.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
@@ -57,7 +63,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_pack_first_fit, op3_html_main_text, op5_token_counts, op7_toxicity, op8_quality_rules, op10_personal_data]
+    found = [op2_pack_first_fit, op3_html_main_text, op5_token_counts, op6_simhash_anchors, op7_toxicity, op8_quality_rules, op10_personal_data]
     return {f.__name__: f for f in found}
 
 
