@@ -56,6 +56,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriquill.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriquill.llm.pii import find_personal_data
 
@@ -63,7 +69,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_pack_first_fit, op3_html_main_text, op5_token_counts, op6_simhash_anchors, op7_toxicity, op8_quality_rules, op10_personal_data]
+    found = [op2_pack_first_fit, op3_html_main_text, op5_token_counts, op6_simhash_anchors, op7_toxicity, op8_quality_rules, op9_repeated_passages, op10_personal_data]
     return {f.__name__: f for f in found}
 
 
