@@ -28,6 +28,12 @@ def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriquill.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,7 +75,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_pack_first_fit, op3_html_main_text, op5_token_counts, op6_simhash_anchors, op7_toxicity, op8_quality_rules, op9_repeated_passages, op10_personal_data]
+    found = [op2_pack_first_fit, op3_html_main_text, op4_permutation_index, op5_token_counts, op6_simhash_anchors, op7_toxicity, op8_quality_rules, op9_repeated_passages, op10_personal_data]
     return {f.__name__: f for f in found}
 
 
