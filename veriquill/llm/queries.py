@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veriquill.llm.common import table
 
@@ -12,6 +13,18 @@ from veriquill.llm.common import table
 BYTE_BPE_SPECIAL = {"<|endoftext|>": 50256}
 
 
+#: Target shares of the sources in hundredths; sources without a share of their own are pooled.
+SOURCE_WEIGHTS = {"src0": 20, **{f"src{i}": 4 for i in range(1, 20)}, "*": 4}
+
+
+def op1_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriquill.llm.mixing import schedule
+
+    docs = table(spark, sf_dir, "documents")
+    columns = {"mix_source": "queue", "mix_bytes": "n_bytes", "mix_block": "block", "mix_release": "release", "mix_deadline": "deadline", "mix_slot": "slot", "mix_start": "start"}
+    return schedule(docs, SOURCE_WEIGHTS).select("doc_id", *[F.col(old).alias(new) for old, new in columns.items()])
+
+
 def op2_pack_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,7 +88,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_pack_first_fit, op3_html_main_text, op4_permutation_index, op5_token_counts, op6_simhash_anchors, op7_toxicity, op8_quality_rules, op9_repeated_passages, op10_personal_data]
+    found = [op1_pfair_mixture, op2_pack_first_fit, op3_html_main_text, op4_permutation_index, op5_token_counts, op6_simhash_anchors, op7_toxicity, op8_quality_rules, op9_repeated_passages, op10_personal_data]
     return {f.__name__: f for f in found}
 
 
