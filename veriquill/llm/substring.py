@@ -38,11 +38,17 @@ class Powers:
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up))
-            with np.errstate(over="ignore"):
-                self.up, self.down = (np.cumprod(np.concatenate(([1], np.full(size - 1, b, np.uint64))).astype(np.uint64)) for b in (BASE, pow(BASE, -1, 1 << 64)))
+            self.up, self.down = self.grown(BASE, size), self.grown(pow(BASE, -1, 1 << 64), size)
         return self.up[:n], self.down[:n]
 
 
+    @staticmethod
+    def grown(base: int, size: int) -> np.ndarray:
+        factors = np.full(size, base, np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors, dtype=np.uint64)
+
+
 _POWERS = Powers()
 
 
