@@ -12,12 +12,14 @@ import re
 import unicodedata
 from bisect import bisect_right
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from veriquill.llm.common import id_field, map_batches
+from veriquill.llm.common import bounded_batches, id_field, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -298,10 +300,6 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
 
     A null text stays null, an empty table empty.
     """
-    from pyspark.sql.functions import pandas_udf
-    import pandas as pd
-
-    from veriquill.llm.common import bounded_batches
 
     bounded_batches(df.sparkSession)
 

@@ -14,10 +14,12 @@ at most 65 fingerprints share one, so the work is linear in the group. Equal fin
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from veriquill.llm.common import cut, id_field, map_batches, narrow
 from veriquill.llm.graph import components
@@ -123,9 +125,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _fingerprint_udf():
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf(T.StringType())
     def hexed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: f"{fingerprint(t) & (1 << 64) - 1:016x}")

@@ -17,12 +17,14 @@ from dataclasses import dataclass, field
 from math import exp, log, log1p
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from veriquill.llm.common import cut, id_field, map_batches, narrow
+from veriquill.llm.common import bounded_batches, cut, id_field, map_batches, narrow
 
 #: Labelled rows that the model is fitted on, those with the smallest hashes of their ids.
 SAMPLE_ROWS = 20_000
@@ -221,10 +223,6 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
 
 def keep_clean(df: DataFrame, model: ToxicityModel, text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
     """The rows of df that are not predicted toxic, with all their columns; a null text is clean."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    from veriquill.llm.common import bounded_batches
 
     bounded_batches(df.sparkSession)
 
