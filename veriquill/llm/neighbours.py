@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 from veriquill.llm.common import bounded_batches
 
 #: Pivots are a bounded sample: the rows with the smallest hashes of their ids.
-PIVOTS, PREFIX = 256, 96
+PIVOTS, PREFIX = 256, 64
 #: Part of each index block that is reranked, and the least number of vectors in any block.
-SHARE, LEAST = 0.10, 500
+SHARE, LEAST = 0.12, 600
 QUERY_BLOCK, INDEX_BLOCK = 2048, 8192
 
 
@@ -51,22 +51,23 @@ class InvertedFiles:
         flat = orders.ravel()
         by_pivot = np.argsort(flat, kind="stable")
         ends = np.cumsum(np.bincount(flat, minlength=pivots))
-        rows, weights = (by_pivot // self.length).astype(np.int32), (self.length - by_pivot % self.length).astype(np.int32)
-        self.rows, self.weights, self.n = np.split(rows, ends[:-1]), np.split(weights, ends[:-1]), n
+        kind = np.int16 if self.length < 250 else np.int64  # sums are at most length * (length + 1) / 2
+        rows, weights = by_pivot // self.length, (self.length - by_pivot % self.length).astype(kind)
+        self.rows, self.weights, self.n, self.kind = np.split(rows, ends[:-1]), np.split(weights, ends[:-1]), n, kind
 
     def closeness(self, order: np.ndarray) -> np.ndarray:
         """For every vector the sum over shared pivots; the footrule distance falls by two for each unit."""
-        total = np.zeros(self.n, np.int32)
+        total = np.zeros(self.n, self.kind)
         for rank, pivot in enumerate(order.tolist()):
-            total[self.rows[pivot]] += np.minimum(self.weights[pivot], self.length - rank)  # a vector is once in a file
+            total[self.rows[pivot]] += np.minimum(self.weights[pivot], self.kind(self.length - rank))  # a vector is once in a file
         return total
 
 
-def inner_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Summed component by component, so that equal vectors have equal products wherever they stand."""
-    total = np.zeros(len(vectors))
-    for d in range(vectors.shape[1]):
-        total += vectors[:, d] * query[d]
+def inner_products(columns: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Of the columns with the query, summed component by component, so that equal vectors have equal products wherever they stand."""
+    total = np.zeros(columns.shape[1])
+    for row, x in zip(columns, query.tolist()):
+        total += row * x
     return total
 
 
@@ -113,27 +114,32 @@ def nearest(
 
     def search(key, rows):
         asks = rows.column("asks").to_numpy(zero_copy_only=False)
-        ids = np.array(rows.column("id").to_pylist(), dtype=object)
-        v = np.array(rows.column("v").to_pylist(), dtype=np.float64)
+        ids = rows.column("id").to_pylist()
+        v = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if ids else np.zeros((0, 1))
         found: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        have = np.flatnonzero(~asks)
-        if asks.any() and len(have):
-            have = have[np.argsort(ids[have], kind="stable")]  # in order of id, so that stable sorts break ties
-            ids_in, v_in = ids[have], v[have]
+        have = sorted(np.flatnonzero(~asks).tolist(), key=lambda i: ids[i])  # in order of id, so that stable sorts break ties
+        if asks.any() and have:
+            ids_in, v_in = [ids[i] for i in have], v[have]
+            place = {i: at for at, i in enumerate(ids_in)}
+            by_component = np.ascontiguousarray(v_in.T)
             length = min(prefix, len(reference))
             files = InvertedFiles(prefixes(v_in, reference, length), len(reference))
             wanted = max(least, k + 1, int(np.ceil(share * len(have))))
             asking = np.flatnonzero(asks)
-            for at, order in zip(asking, prefixes(v[asking], reference, length)):
+            for at, order in zip(asking.tolist(), prefixes(v[asking], reference, length)):
                 if wanted < len(have):
-                    near = np.sort(np.argsort(-files.closeness(order), kind="stable")[:wanted])
+                    close = files.closeness(order)
+                    near = np.flatnonzero(close >= np.partition(close, -wanted)[-wanted])  # all that tie with the last
                 else:
                     near = np.arange(len(have))
-                near = near[ids_in[near] != ids[at]]
-                scores = inner_products(v_in[near], v[at])
+                near = near[near != place.get(ids[at], -1)]
+                scores = inner_products(by_component[:, near], v[at])
+                if len(scores) > 4 * k:  # ties with the k-th stay
+                    good = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+                    near, scores = near[good], scores[good]
                 best = np.argsort(-scores, kind="stable")[:k]
                 found["query_id"] += [ids[at]] * len(best)
-                found["vec_id"] += ids_in[near[best]].tolist()
+                found["vec_id"] += [ids_in[i] for i in near[best].tolist()]
                 found["score"] += scores[best].tolist()
         return pa.table({f.name: pa.array(found[f.name], type=t) for f, t in zip(out, (rows.schema.field("id").type, rows.schema.field("id").type, pa.float64()))})
 
