@@ -153,42 +153,43 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     long_enough = parsed.where((F.col("n_words") >= window) & F.col("id").isNotNull())
     heads = long_enough.groupBy("sha").agg(F.min("id").alias("head"))
     # joined by id too, so that a text with very many copies is no hot key where arrays move
-    anchors = long_enough.join(heads.withColumnRenamed("head", "id"), ["id", "sha"]).select("id", F.explode("anchors").alias("anchor")).distinct()
+    anchors = long_enough.join(heads.withColumnRenamed("head", "id"), ["id", "sha"]).select("id", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    marks = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
+    several = parsed.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("id", F.lit(True).alias("several"))
+    marks = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors")).join(several, "id", "left")
     marked = docs.join(marks.hint("shuffle_merge"), "id")
 
     def index(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {"id": [], "digest": [], "place": [], "hi": [], "lo": []}
-        for i, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(3))):
+        for i, text, wanted, several in zip(*(batch.column(c).to_pylist() for c in range(4))):
             words = Words(text)
             places = np.flatnonzero(np.isin(words.anchors(window, gram), np.array(wanted, np.int64)))
             if len(places):
                 hi, lo = words.windows(places, window)
                 out["id"] += [i] * len(places)
-                out["digest"] += [words.digest()] * len(places)
+                out["digest"] += [words.digest() if several else 0] * len(places)  # tells rows that repeat an id apart
                 out["place"] += places.tolist()
                 out["hi"] += hi
                 out["lo"] += lo
         return out
 
     blocks_schema = T.StructType([*key, T.StructField("place", T.IntegerType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())])
-    blocks = map_batches(marked.select("id", "text", "anchors"), index, blocks_schema)
+    blocks = map_batches(marked.select("id", "text", "anchors", "several"), index, blocks_schema)
     first = blocks.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("hi", "lo", "first")
     found = blocks.join(first, ["hi", "lo"]).where("id > first").groupBy("id").agg(F.collect_list(F.struct("digest", "place")).alias("found"))
 
     def parse(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {"id": [], "digest": [], "n_removed": [], "kept": []}
-        for i, text, found in zip(*(batch.column(c).to_pylist() for c in range(3))):
+        for i, text, several, found in zip(*(batch.column(c).to_pylist() for c in range(4))):
             words = Words(text)
             digest = words.digest()
-            removed, kept = words.without(factors([f["place"] for f in found if f["digest"] == digest], window))
+            removed, kept = words.without(factors([f["place"] for f in found if not several or f["digest"] == digest], window))
             for name, value in zip(out, (i, digest, removed, kept)):
                 out[name].append(value)
         return out
 
     cut_schema = T.StructType([*key, T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    parts = map_batches(marked.select("id", "text").join(found, "id").select("id", "text", "found"), parse, cut_schema).dropDuplicates(["id", "digest"])
+    parts = map_batches(marked.select("id", "text", "several").join(found, "id").select("id", "text", "several", "found"), parse, cut_schema).dropDuplicates(["id", "digest"])
 
     copies = long_enough.select("id", "sha").join(heads, "sha").where("id > head").select("id", F.col("sha").alias("copy_of")).distinct()
     everything = parsed.select("id", "digest", "n_words", "sha").join(parts, ["id", "digest"], "left")
