@@ -216,17 +216,16 @@ def topk_suggest(spark, d):
     return lists.suggestions(tokens, lists.reference_index(nation_entries(spark, d))).select("form", "rank", "canonical")
 
 
-@query("""SELECT lower(substr(p_type, 1, 3)) AS form, count(DISTINCT p_type) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1""")
+@query("""SELECT split_part(p_name, ' ', 1) AS form, count(DISTINCT p_name) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_name) > 1""")
 def duplicate_norm_keys(spark, d):
-    kinds = t(spark, d, "part").select("p_type").distinct()
-    entries = kinds.select(F.lit("types").alias("list"), F.lit(0).alias("pos"), F.col("p_type").alias("canonical"), F.lit(None).cast("string").alias("search_terms"), F.array(F.substring("p_type", 1, 3)).alias("aliases"))
-    return lists.clashes(entries).where("length(form) = 3").select("form", F.size("canonicals").cast("long").alias("n"))
+    kinds = t(spark, d, "part").select("p_name").distinct()
+    entries = kinds.select(F.lit("parts").alias("list"), F.lit(0).alias("pos"), F.col("p_name").alias("canonical"), F.lit(None).cast("string").alias("search_terms"), F.array(F.substring_index("p_name", " ", 1)).alias("aliases"))
+    return lists.clashes(entries).select("form", F.size("canonicals").cast("long").alias("n"))
 
 
-@query("""SELECT DISTINCT p_type FROM part WHERE p_type NOT IN (SELECT DISTINCT p_type FROM part WHERE p_size <= 25)""")
+@query("""SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)""")
 def unknown_keys(spark, d):
-    parts = t(spark, d, "part")
-    return parts.select("p_type").distinct().join(parts.where("p_size <= 25").select("p_type").distinct(), "p_type", "left_anti")
+    return t(spark, d, "part").join(t(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey")
 
 
 # ---- folds over logs
@@ -301,12 +300,12 @@ def id_assignment(spark, d):
     return records.record_ids(adds).select(F.col("study_id").alias("l_orderkey"), F.col("seq.l_linenumber").alias("l_linenumber"), "record_id")
 
 
-@query("""SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 30) GROUP BY ALL""")
+@query("""SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 200) GROUP BY ALL""")
 def current_state(spark, d):
     e = t(spark, d, "events")
     record = F.col("user_id").cast("string")
     writes = e.select(F.lit("s").alias("study_id"), F.concat_ws(".", record, "event_type").alias("path"), record.alias("record_id"), F.col("event_id").alias("seq"), "value", "user_id", "event_type")
-    removals = e.where("event_type = 'error' and value > 30").select(F.lit("s").alias("study_id"), record.alias("record_id"))
+    removals = e.where("event_type = 'error' and value > 200").select(F.lit("s").alias("study_id"), record.alias("record_id"))
     return records.current_cells(writes, removals).select("user_id", "event_type", F.col("seq").alias("event_id"), "value")
 
 
