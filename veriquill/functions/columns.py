@@ -79,7 +79,7 @@ def type_problem(raw: Column, field_type: Column, options: Column, allow_other:
 def truthy(raw: Column) -> Column:
     """Whether a JSON value counts as set: not null, false, zero, or empty."""
     kind = json_kind(raw)
-    empty = F.regexp_replace(raw, r"\s", "").isin("[]", "{}", '""')
+    empty = (F.trim(raw) == '""') | (kind != "string") & F.regexp_replace(raw, r"\s", "").isin("[]", "{}")
     return ~((kind == "null") | (raw == "false") | F.when(kind.isin("integer", "number"), raw.cast("double") == 0).otherwise(False) | empty)
 
 

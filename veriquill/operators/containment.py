@@ -3,7 +3,7 @@
 The words inside a passage (all but the first and the last) stand as whole words wherever the passage stands. A passage is
 keyed by the hash of up to `SHINGLE` of them; a text offers the hashes of all its shingles of the lengths in use. Only
 keys and ids are joined; texts come in for the pairs that are left. Passages of fewer than three words have no inner
-word and are keyed by the empty hash, which every text offers.
+word and are keyed by the empty hash, which every text offers. Blank passages stand nowhere.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def candidates(passages: DataFrame, texts: DataFrame, n: int = SHINGLE) -> DataF
     """(item_id, doc_id): pairs that share the passage's key. passages: item_id, text; texts: doc_id, text."""
     w = words(F.col("text"))
     size = F.greatest(F.lit(0), F.least(F.lit(n), F.size(w) - 2))
-    keyed = passages.select("item_id", size.alias("n"), F.xxhash64(F.array_join(F.slice(w, F.lit(2), size), " ")).alias("key"))
+    keyed = passages.where(F.size(w) > 0).select("item_id", size.alias("n"), F.xxhash64(F.array_join(F.slice(w, F.lit(2), size), " ")).alias("key"))
     offered = texts.select("doc_id", w.alias("w"))
     of_length = lambda k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " "))))
     long = offered.select("doc_id", F.lit(n).alias("n"), F.explode(of_length(F.lit(n))).alias("key"))

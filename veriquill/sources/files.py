@@ -20,7 +20,7 @@ def papers(spark: SparkSession, root: str) -> DataFrame:
     text = spark.read.format("binaryFile").load(f"{root}/*/text.md").select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("place"), "content")
     name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
     rows = manifest.withColumn("bundle", name("folder")).join(text.withColumn("bundle", name("place")), "bundle", "left")
-    return rows.select(F.col("m.id").alias("study_id"), "bundle", "m.title", "m.doi", "m.summary", "m.exhibits", "raw", "content", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return rows.select(F.col("m.id").alias("study_id"), "bundle", "m.title", "m.doi", "m.summary", "m.exhibits", "raw", "content", F.decode("content", "UTF-8").alias("text"))
 
 
 def figures(spark: SparkSession, root: str) -> DataFrame:
