@@ -356,22 +356,109 @@ def test_outputs_go_out_and_come_back(spark):
     assert back["initial_check"] == {"extractor": {"ok": True}} and back["quality_check"] == {"review": {"done": 'yes "x"'}}
 
 
+TEMPLATE = """
+study_extraction:
+- section: Identity
+  fields:
+  - {variable: study_label, description: "Short | label", type: string, evidence: optional}
+  - {variable: abstract, label: Abstract, type: string, role: summary, evidence: required}
+- section: Reporting
+  qa: true
+  fields:
+  - {variable: checklist, options: ["Yes", "No"], evidence: optional}
+records:
+  effect:
+    description: an effect
+    checker_context_fields: [gauge]
+    extraction:
+    - section: Gauge
+      extraction_instruction: "First line.\\n\\n Second line."
+      fields:
+      - {variable: gauge, type: string, evidence: required, required: true, canonical_reference: gauges}
+      - {variable: kind, options: [A, B], allow_other: true, evidence: required}
+      - {variable: others, type: string_list, evidence: optional, canonical_reference: unnamed}
+gates:
+- {when_field: effect.kind, field: effect.others, allowed_values: [A]}
+llm_initial_check:
+- section: Initial Check
+  fields: [{variable: readable, type: boolean, required: true}]
+llm_quality_check:
+- section: Quality Check
+  fields: [{variable: remarks, type: string}]
+"""
+
+
 def test_configuration(spark, tmp_path):
+    pytest.importorskip("yaml")
+    raw = config.strict_yaml(TEMPLATE)
+    template = config.parse_template(raw)
+    rows = template.catalogue(spark).collect()
+    assert [(r.block, r.variable, r.label, r.pos, r.qa) for r in rows][:3] == [("study", "study_label", "Study label", 0, False), ("study", "abstract", "Abstract", 1, False), ("study", "checklist", "Checklist", 2, True)]
+    assert template.gates == [("kind", "others", ["A"])] and template.specimen() == "study.abstract" and template.plural == "effects"
     field = {"variable": "some_name", "type": "string", "evidence": "required"}
-    template = {"study_fields": [{"section": "a", "fields": [field]}], "quality_check_fields": [{"section": "q", "qa": True, "fields": [{"variable": "ok", "type": "boolean"}]}]}
-    rows = config.catalogue(spark, template).collect()
-    assert [(r.block, r.variable, r.label, r.pos, r.qa) for r in rows] == [("study", "some_name", "Some name", 0, False), ("quality_check", "ok", "Ok", 0, True)]
-    for broken in ({**field, "x": 1}, {**field, "options": ["a"]}, {"variable": "notes", "type": "string"}, {**field, "type": "text"}, {"variable": "v", "type": "string"}, {"variable": "v", "options": ["Other"], "evidence": "optional"}, {**field, "type": "integer", "canonical_reference": "l"}):
+    for broken in ({**field, "x": 1}, {**field, "options": ["a"]}, {**field, "variable": "notes"}, {**field, "type": "text"}, {"variable": "v", "type": "string"}, {"variable": "v", "options": ["Other"], "evidence": "optional"}, {**field, "type": "integer", "canonical_reference": "l"}, {**field, "allow_other": True}, {**field, "role": "other"}):
         with pytest.raises(config.ConfigError):
-            config.catalogue(spark, {"study_fields": [{"section": "a", "fields": [broken]}]})
-    with pytest.raises(config.ConfigError):
-        config.catalogue(spark, {"study_fields": [{"section": "a", "fields": [field, field]}]})
-    yaml = pytest.importorskip("yaml")
-    assert config.strict_yaml("a: 1\nb: [x]") == {"a": 1, "b": ["x"]} and yaml
+            config.parse_field("study", broken)
+    for change in ({"other": 1}, {"records": {"study": raw["records"]["effect"]}}, {"records": {}}, {"gates": [{"when_field": "effect.kind", "field": "effect.nope", "allowed_values": []}]}, {"study_extraction": [{"section": "a", "fields": [field, field]}]}):
+        with pytest.raises(config.ConfigError):
+            config.parse_template({**raw, **change})
     with pytest.raises(config.ConfigError):
         config.strict_yaml("a: 1\na: 2")
-    (tmp_path / "g.yaml").write_text("- One\n- tool_name: Two\n  aliases: [t]\n")
+    (tmp_path / "g.yaml").write_text("label: The G List\nentries:\n- One\n- tool_name: Two\n  aliases: [t]\n")
     assert [(r.list, r.pos, r.canonical, r.aliases) for r in config.load_reference_lists(spark, str(tmp_path)).collect()] == [("g", 0, "One", []), ("g", 1, "Two", ["t"])]
+    assert config.read_lists(str(tmp_path))[1] == {"g": "The G List"}
+
+
+def test_settings():
+    assert config.ignored_settings({"max_checks_per_field": 0, "checker_model": "m", "review_model": "r"}) == {"checker": ["checker_model"]}
+    assert len(config.setting_problems({"max_tool_calls": True, "max_checks_per_field": -1, "checker_concurrency": 0, "checker_context_chars": 0})) == 3
+    assert len(config.rate_problems({"extractor": {"input_per_1m": 1, "output_per_1m": -1, "cache_read_per_1m": 0, "cache_write_per_1m": True, "x": 1}, "who": {}})) == 4
+
+
+def test_render():
+    from veriquill.functions import render
+
+    pytest.importorskip("yaml")
+    template = config.parse_template(config.strict_yaml(TEMPLATE))
+    text = render.render_template(template, "operational", {"gauges": "Gauge List"})
+    assert text.startswith("# Extraction template (operational)\n\n## Study-level extraction\n\n### Identity\n\n| Field | Type / values |")
+    assert "| **Study label**<br>`study_label` | Text | No | optional | Short \\| label |  |\n" in text and "_Section extraction instruction._ First line.<br>Second line.\n\n| Field" in text
+    assert "Name from the Gauge List" in text and "A; B; Other (specify)" in text and "List of names from the `unnamed` reference list" in text
+    assert "## Study-level quality appraisal\n\n### Reporting" in text and "Record-level quality" not in text and text.endswith("|  |\n") and text == render.render_template(template, "operational", {"gauges": "Gauge List"})
+    published = render.render_template(template, "publication")
+    assert "Checklist" not in published and "| Gauge | Gauge |  | Name from the `gauges` reference list |" in published
+    with pytest.raises(ValueError):
+        render.render_template(template, "other")
+    assert render.lede("One. Two is a much longer sentence than that. Three.") == "One. Two is a much longer sentence than that." and render.lede(None) == ""
+    assert render.with_references("x {reference:a} y", {"a": ["1", "2"]}) == "x - 1\n- 2 y" and render.referenced_names("{reference:a}{reference:b}{reference:a}") == ["a", "b"]
+    assert render.with_partials("a\n{include_if:on:p}\n\nb {include:p} {include_if:off:p}c", {"p": " P \n"}, {"on": False, "off": True}) == "a\nb P Pc"
+    with pytest.raises(KeyError):
+        render.with_partials("{include:q}", {})
+    assert render.fence("```") == "````\n```\n````"
+
+
+def test_runs(spark, catalogue):
+    from veriquill.functions.render import transcripts
+    from veriquill.operators import runs
+
+    df = spark.createDataFrame([(k,) for k in runs.ENDINGS], "outcome string")
+    status, reason = runs.ending(F.col("outcome"))
+    assert {(r.outcome, (r.s, r.r)) for r in df.select("outcome", status.alias("s"), reason.alias("r")).collect()} == set(runs.ENDINGS.items())
+    with pytest.raises(Exception, match="unknown outcome"):
+        spark.range(1).select(runs.ending(F.lit("x"))[0]).collect()
+    rows = [("s", None, "design", '"RCT"', "words"), ("s", None, "year", "null", "words"), ("s", None, "summary", '"x"', " "), ("s", "r_1", "n", "1", "<q>a</q>"), ("s", None, "who", "1", "w")]
+    made = spark.createDataFrame([("s", "record.r_1.n", 2)], "study_id string, path string, checks int")
+    assert [(r.path, r.check_index) for r in runs.checkable(cells(spark, rows), catalogue, made, 2).collect()] == [("study.design", 1)]
+    pairs = spark.createDataFrame([("An abstract", "an  ABSTRACT of it", True), ("alpha beta", "zzz", False), ("", "x", True), ("the same words", "the same word s", True)], "a string, b string, want boolean")
+    assert all(r.got == r.want for r in pairs.select("*", runs.summaries_match(F.col("a"), F.col("b")).alias("got")).collect())
+    events = spark.createDataFrame([("s", 1, "assistant_message", 1, None, "m", "end", None), ("s", 2, "assistant_text", 1, None, "t. u", None, None), ("s", 3, "review_tool_call", 2, "view", None, None, "{}")], "session_id string, line_no long, event string, turn_id long, tool string, text string, stop_reason string, result string")
+    assert {(r.turn_id, r.text, r.stop_reason) for r in runs.turn_texts(events).collect()} == {(1, "t. u", "end"), (2, "", None)}
+    text = transcripts(events).collect()[0].transcript
+    assert text.index("### Turn 1") < text.index("## Review") < text.index("### Turn 2") and "review_tool_call (view)" in text
+    answers = spark.createDataFrame([("ok", None, "r"), (None, "timeout", None)], "verdict string, error string, rationale string")
+    assert {(r.verdict, r.error_origin, r.rationale) for r in runs.verdicts(answers).collect()} == {("ok", False, "r"), ("challenge", True, "timeout")}
+    words = spark.createDataFrame([(None, False, 0, 0), (None, False, 5, 0), (1.0, False, 5, 0), (1.0, True, 5, 2)], "c double, i boolean, t long, u long").select(runs.role_cost_text(F.col("c"), F.col("i"), F.col("t"), F.col("u")).alias("w"))
+    assert [r.w for r in words.collect()] == ["no calls", "not priced", "$1.0000", "at least $1.0000 (2 calls without a price)"]
 
 
 def test_containment_is_brute_force(spark):

@@ -1,7 +1,10 @@
-"""Configuration read on the driver: templates and reference lists in YAML, every key known, no key twice."""
+"""Configuration read on the driver: templates, reference lists and settings in YAML, every key known, no key twice."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,56 +38,154 @@ def strict_yaml(text: str):
 # Field types, and the keys of each level of a template.
 TYPES = ("string", "integer", "number", "boolean", "year", "date", "string_list")
 FIELD_KEYS = {"variable", "label", "description", "extraction_instruction", "type", "options", "allow_other", "evidence", "role", "required", "canonical_reference", "soft_canonicalisation"}
-SECTION_KEYS = {"section", "label", "qa", "fields", "description"}
-BLOCKS = {"study_fields": "study", "record_fields": "record", "initial_check_fields": "initial_check", "quality_check_fields": "quality_check"}
-
-
-def field_row(block: str, section: dict, field: dict, pos: int) -> tuple:
-    """One row of the catalogue; ConfigError for a field that cannot be one."""
-    name = field.get("variable")
+SECTION_KEYS = {"section", "label", "qa", "extraction_instruction", "fields"}
+RECORD_KEYS = {"plural", "description", "extraction_instruction", "extraction", "checker_context_fields"}
+GATE_KEYS = {"when_field", "field", "allowed_values"}
+BLOCKS = {"study_extraction": "study", "llm_initial_check": "initial_check", "llm_quality_check": "quality_check"}
+SLUG = re.compile(r"[a-z][a-z0-9_]*")
+
+
+@dataclass
+class Section:
+    block: str
+    label: str
+    qa: bool
+    instruction: str | None
+    fields: list[dict] = field(default_factory=list)
+
+
+@dataclass
+class Template:
+    """A parsed template: what a record is, its sections in order, and the rules between fields."""
+
+    entity: str
+    plural: str
+    description: str
+    instruction: str | None
+    context_fields: list[str]
+    sections: list[Section]
+    gates: list[tuple[str, str, list[str]]]
+
+    def fields(self, block: str) -> list[dict]:
+        return [f for s in self.sections if s.block == block for f in s.fields]
+
+    def catalogue(self, spark: SparkSession) -> DataFrame:
+        """All fields as one table, in order."""
+        rows = []
+        for block in ("study", "record", "initial_check", "quality_check"):
+            fields = [(s, f) for s in self.sections if s.block == block for f in s.fields]
+            rows += [
+                (block, s.label, s.label, s.qa, pos, f["variable"], f["label"], f["description"], f["extraction_instruction"], f["field_type"], f["options"], f["allow_other"], f["evidence"], f["role"], f["required"], f["canonical_reference"], f["soft_canonicalisation"])
+                for pos, (s, f) in enumerate(fields)
+            ]
+        return spark.createDataFrame(rows, CATALOGUE)
+
+    def gate_rows(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.gates, "when_field string, field string, allowed array<string>")
+
+    def specimen(self) -> str | None:
+        """The path of the field that a sample check is shown for: the first that owes evidence, else the first that may have any."""
+        paths = [(f["evidence"], f"study.{f['variable']}") for f in self.fields("study")] + [(f["evidence"], f"record.{self.entity}_1.{f['variable']}") for f in self.fields("record")]
+        return next((p for e, p in paths if e == "required"), next((p for e, p in paths if e), None))
+
+
+def known_keys(found: Mapping, allowed: set, where: str) -> None:
+    if not isinstance(found, Mapping):
+        raise ConfigError(f"{where}: not a mapping")
+    if extra := sorted(found.keys() - allowed):
+        raise ConfigError(f"{where}: unknown keys {extra}")
+
+
+def label_of(name: str) -> str:
+    spaced = name.replace("_", " ")
+    return spaced[:1].upper() + spaced[1:]
+
+
+def parse_field(block: str, raw: Mapping) -> dict:
+    """One field with every key; ConfigError for one that cannot be."""
+    known_keys(raw, FIELD_KEYS, block)
+    name = raw.get("variable")
     where = f"{block}.{name}"
-    if extra := field.keys() - FIELD_KEYS:
-        raise ConfigError(f"{where}: unknown keys {sorted(extra)}")
     if not name or name == "notes":
         raise ConfigError(f"{block}: a field needs a variable that is not `notes`")
-    options = field.get("options")
-    if ("type" in field) == (options is not None):
+    options = raw.get("options")
+    if ("type" in raw) == (options is not None):
         raise ConfigError(f"{where}: either type or options")
     if options is not None and any(str(o).strip().lower() == "other" for o in options):
         raise ConfigError(f"{where}: use allow_other in place of an option Other")
-    kind = "categorical" if options is not None else field["type"]
+    if raw.get("allow_other") and options is None:
+        raise ConfigError(f"{where}: allow_other needs options")
+    kind = "categorical" if options is not None else raw["type"]
     if kind not in (*TYPES, "categorical"):
         raise ConfigError(f"{where}: unknown type {kind!r}")
-    in_check = block in ("initial_check", "quality_check")
-    rule = field.get("evidence")
-    if in_check and rule is not None or not in_check and rule not in ("required", "optional"):
+    rule = raw.get("evidence")
+    if (rule is not None) if block.endswith("check") else (rule not in ("required", "optional")):
         raise ConfigError(f"{where}: evidence is required or optional, and has no place in a check")
-    listed = field.get("canonical_reference")
-    if listed and (kind not in ("string", "string_list") or field.get("soft_canonicalisation")):
+    listed = raw.get("canonical_reference")
+    if listed and (kind not in ("string", "string_list") or raw.get("soft_canonicalisation")):
         raise ConfigError(f"{where}: a reference list goes with strings, and not with soft_canonicalisation")
-    label = field.get("label") or (name.replace("_", " ")[:1].upper() + name.replace("_", " ")[1:])
-    return (block, section.get("section"), section.get("label"), bool(section.get("qa")), pos, name, label, field.get("description"), field.get("extraction_instruction"), kind,
-            [str(o) for o in options] if options is not None else None, bool(field.get("allow_other")), rule, field.get("role"), bool(field.get("required")), listed, bool(field.get("soft_canonicalisation")))
+    role = raw.get("role")
+    if role is not None and (role != "summary" or block != "study" or kind != "string" or listed):
+        raise ConfigError(f"{where}: the one role is summary, of a plain string of the study")
+    return {
+        "variable": name, "label": raw.get("label") or label_of(name), "description": raw.get("description"), "extraction_instruction": raw.get("extraction_instruction"), "field_type": kind,
+        "options": [str(o) for o in options] if options is not None else None, "allow_other": bool(raw.get("allow_other")), "evidence": rule, "role": role, "required": bool(raw.get("required")),
+        "canonical_reference": listed, "soft_canonicalisation": bool(raw.get("soft_canonicalisation")),
+    }
+
+
+def parse_sections(block: str, raw: list) -> list[Section]:
+    out = []
+    for section in raw or []:
+        known_keys(section, SECTION_KEYS, f"{block}: a section")
+        fields = [parse_field(block, f) for f in section.get("fields") or []]
+        out.append(Section(block, section.get("label") or section.get("section"), bool(section.get("qa")), section.get("extraction_instruction"), fields))
+    names = [f["variable"] for s in out for f in s.fields]
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ConfigError(f"{block}: variables {twice} are there twice")
+    return out
+
+
+def parse_template(raw: Mapping) -> Template:
+    known_keys(raw, {*BLOCKS, "records", "gates"}, "template")
+    if lacking := sorted({*BLOCKS, "records"} - raw.keys()):
+        raise ConfigError(f"template: keys {lacking} are missing")
+    if not isinstance(raw["records"], Mapping) or len(raw["records"]) != 1:
+        raise ConfigError("template: there is exactly one kind of record")
+    ((entity, record),) = raw["records"].items()
+    known_keys(record, RECORD_KEYS, f"records.{entity}")
+    if not SLUG.fullmatch(str(entity)) or entity == "study":
+        raise ConfigError(f"records: {entity!r} cannot name a record")
+    sections = parse_sections("study", raw["study_extraction"]) + parse_sections("record", record.get("extraction"))
+    for key in ("llm_initial_check", "llm_quality_check"):
+        sections += parse_sections(BLOCKS[key], raw[key])
+    template = Template(entity, record.get("plural") or f"{entity}s", record.get("description") or "", record.get("extraction_instruction"), list(record.get("checker_context_fields") or []), sections, [])
+    own = {f["variable"]: f for f in template.fields("record")}
+    if lost := [c for c in template.context_fields if c not in own]:
+        raise ConfigError(f"records.{entity}: context fields {lost} are no fields")
+    if sum(f["role"] == "summary" for f in template.fields("study")) > 1:
+        raise ConfigError("role summary is there twice")
+    for gate in raw.get("gates") or []:
+        known_keys(gate, GATE_KEYS, "gates")
+        paths = [str(gate.get(k)).split(".") for k in ("when_field", "field")]
+        if any(len(p) != 2 or p[0] != entity or p[1] not in own for p in paths):
+            raise ConfigError(f"gates: {gate.get('when_field')} and {gate.get('field')} must both be fields of {entity}")
+        template.gates.append((paths[0][1], paths[1][1], [str(v) for v in gate["allowed_values"]]))
+    return template
 
 
-def catalogue(spark: SparkSession, template: dict) -> DataFrame:
-    """The fields of a template's sections as one table, in order."""
-    rows = []
-    for key, block in BLOCKS.items():
-        source = template.get("records", {}) if block == "record" and "records" in template else template
-        pos = 0
-        for section in source.get(key) or []:
-            if extra := section.keys() - SECTION_KEYS:
-                raise ConfigError(f"{block}: unknown keys {sorted(extra)} in a section")
-            for field in section.get("fields") or []:
-                rows.append(field_row(block, section, field, pos))
-                pos += 1
-        names = [r[5] for r in rows if r[0] == block]
-        if twice := sorted({n for n in names if names.count(n) > 1}):
-            raise ConfigError(f"{block}: variables {twice} are there twice")
-    if sum(r[13] == "summary" for r in rows) > 1:
-        raise ConfigError("role summary is there twice")
-    return spark.createDataFrame(rows, CATALOGUE)
+def load_template(path: str) -> Template:
+    return parse_template(strict_yaml(Path(path).read_text(encoding="utf-8")))
+
+
+def parse_list(raw, name: str) -> tuple[str | None, list]:
+    """(label, entries) of a list file: a list, or a mapping with one list and perhaps a label."""
+    if isinstance(raw, list):
+        return None, raw
+    if isinstance(raw, Mapping) and len(keys := [k for k, v in raw.items() if isinstance(v, list)]) == 1:
+        known_keys(raw, {keys[0], "label"}, name)
+        return raw.get("label"), raw[keys[0]]
+    raise ConfigError(f"{name}: neither a list nor a mapping with one")
 
 
 def reference_entries(spark: SparkSession, lists: dict[str, list]) -> DataFrame:
@@ -92,15 +193,54 @@ def reference_entries(spark: SparkSession, lists: dict[str, list]) -> DataFrame:
     rows = []
     for name in sorted(lists):
         for pos, entry in enumerate(lists[name] or []):
-            if isinstance(entry, str):
-                entry = {"tool_name": entry}
-            if extra := entry.keys() - {"tool_name", "search_terms", "aliases"}:
-                raise ConfigError(f"{name}: unknown keys {sorted(extra)}")
+            entry = {"tool_name": entry} if isinstance(entry, str) else entry
+            known_keys(entry, {"tool_name", "search_terms", "aliases"}, name)
             rows.append((name, pos, entry["tool_name"], entry.get("search_terms"), list(entry.get("aliases") or [])))
     return spark.createDataFrame(rows, ENTRY)
 
 
+def read_lists(folder: str) -> tuple[dict[str, list], dict[str, str]]:
+    """Entries and labels of the YAML files of a folder, each under its file's name."""
+    found = {p.stem: parse_list(strict_yaml(p.read_text(encoding="utf-8")), p.stem) for p in sorted(Path(folder).glob("*.yaml"))}
+    return {k: v[1] for k, v in found.items()}, {k: v[0] for k, v in found.items() if v[0]}
+
+
 def load_reference_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """The YAML files of a folder of the driver, each a list under its file's name."""
-    read = {p.stem: strict_yaml(p.read_text(encoding="utf-8")) for p in sorted(Path(folder).glob("*.yaml"))}
-    return reference_entries(spark, {k: v.get("entries") if isinstance(v, dict) else v for k, v in read.items()})
+    return reference_entries(spark, read_lists(folder)[0])
+
+
+# Settings that belong to a stage which may be switched off.
+STAGE_SETTINGS = {
+    "checker": ("checker_model", "checker_max_tokens", "checker_decoding", "checker_concurrency", "checker_context_chars"),
+    "review": ("review_model", "review_max_tokens", "review_decoding", "max_review_tool_calls"),
+}
+POSITIVE = ("max_tool_calls", "max_review_tool_calls", "checker_concurrency", "extractor_max_tokens", "checker_max_tokens", "review_max_tokens")
+NATURAL = ("max_checks_per_field", "checker_context_chars")
+
+
+def ignored_settings(settings: Mapping) -> dict[str, list[str]]:
+    """Settings written for a stage that is off, by stage."""
+    off = {"checker": not settings.get("max_checks_per_field"), "review": not settings.get("final_review", True)}
+    return {stage: found for stage, keys in STAGE_SETTINGS.items() if off[stage] and (found := [k for k in keys if settings.get(k) is not None])}
+
+
+def setting_problems(settings: Mapping) -> list[str]:
+    """Every number that is none or out of range; true is not a number."""
+    whole = lambda v: isinstance(v, int) and not isinstance(v, bool)
+    out = [f"{k} must be a positive whole number" for k in POSITIVE if settings.get(k) is not None and not (whole(settings[k]) and settings[k] > 0)]
+    return out + [f"{k} must be a whole number, 0 or more" for k in NATURAL if settings.get(k) is not None and not (whole(settings[k]) and settings[k] >= 0)]
+
+
+RATES = ("input_per_1m", "output_per_1m", "cache_read_per_1m", "cache_write_per_1m")
+
+
+def rate_problems(rates: Mapping) -> list[str]:
+    """Every fault of the rate cards by role: four rates each, one more for hour-long cache writes, none negative."""
+    out = []
+    for role, card in rates.items():
+        if role not in ("extractor", "checker", "review"):
+            out.append(f"{role} is no role")
+            continue
+        out += [f"{role}: {k} is missing" for k in RATES if k not in card] + [f"{role}: {k} is unknown" for k in sorted(card.keys() - {*RATES, "cache_write_1h_per_1m"})]
+        out += [f"{role}: {k} must be a number, 0 or more" for k, v in card.items() if isinstance(v, bool) or not isinstance(v, (int, float)) or v < 0]
+    return out
