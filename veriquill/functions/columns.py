@@ -18,10 +18,11 @@ def option_form(value: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(value, BLANKS, " ")))
 
 
-def match_option(value: Column, options: Column) -> Column:
-    """The option itself if there; else the only one with the same form; else null."""
-    hits = F.filter(options, lambda o: option_form(o) == option_form(value))
-    return F.when(F.array_contains(options, value), value).when(F.size(hits) == 1, F.get(hits, F.lit(0)))
+def match_option(value: Column, options: Column, forms: Column | None = None) -> Column:
+    """The option itself if there; else the only one with the same form; else null. forms: those of the options, if at hand."""
+    forms = forms if forms is not None else F.transform(options, option_form)
+    hits = F.filter(forms, lambda f: f == option_form(value))
+    return F.when(F.array_contains(options, value), value).when(F.size(hits) == 1, F.get(options, (F.array_position(forms, F.get(hits, F.lit(0))) - 1).cast("int")))
 
 
 def json_kind(raw: Column) -> Column:
@@ -38,9 +39,11 @@ def json_kind(raw: Column) -> Column:
     )
 
 
-def json_string(raw: Column) -> Column:
+def json_string(raw: Column, kind: Column | None = None) -> Column:
     """The string that a JSON text holds; null for anything else."""
-    return F.when(json_kind(raw) == "string", F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"])
+    t = F.trim(raw)
+    bare = F.substring(t, F.lit(2), F.length(t) - 2)
+    return F.when((kind if kind is not None else json_kind(raw)) == "string", F.when(~F.contains(t, F.lit("\\")), bare).otherwise(F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"]))
 
 
 def json_strings(raw: Column) -> Column:
@@ -57,11 +60,15 @@ def integral_year(raw: Column) -> Column:
     return F.when(number == F.floor(number), F.when(F.abs(number) < 2.0**62, number.cast("long")).otherwise(F.signum(number).cast("long") * (1 << 62)))
 
 
-def type_problem(raw: Column, field_type: Column, options: Column, allow_other: Column) -> Column:
-    """The code of what is wrong with a value of a field type; null if nothing is. Null passes for all types but boolean."""
-    kind, text, year = json_kind(raw), json_string(raw), integral_year(raw)
-    mismatch = F.lit("type_mismatch")
-    blank = F.trim(F.regexp_replace(text, BLANKS, " ")) == ""
+def type_problem(raw: Column, field_type: Column, options: Column, allow_other: Column, kind: Column | None = None, text: Column | None = None, matched: Column | None = None) -> Column:
+    """The code of what is wrong with a value of a field type; null if nothing is. Null passes for all types but boolean.
+
+    kind, text and matched are json_kind, json_string and the matched option, where a plan has them as columns already.
+    """
+    kind = kind if kind is not None else json_kind(raw)
+    text = text if text is not None else json_string(raw, kind)
+    matched = matched if matched is not None else match_option(text, F.coalesce(options, F.array().cast("array<string>")))
+    year, mismatch = integral_year(raw), F.lit("type_mismatch")
     return (
         F.when(kind == "null", F.when(field_type == "boolean", mismatch))
         .when(field_type == "boolean", F.when(kind != "boolean", mismatch))
@@ -70,8 +77,8 @@ def type_problem(raw: Column, field_type: Column, options: Column, allow_other:
         .when(field_type == "year", F.when(year.isNull(), mismatch).when(~year.between(*YEARS), "year_out_of_range"))
         .when(field_type == "date", F.when(kind != "string", mismatch).when(~text.rlike(DATE), "date_format"))
         .when(field_type == "string_list", F.when(json_strings(raw).isNull(), mismatch))
-        .when((field_type == "categorical") & F.coalesce(allow_other, F.lit(False)), F.when(kind != "string", mismatch).when(blank, "empty_value"))
-        .when(field_type == "categorical", F.when(kind != "string", mismatch).when(match_option(text, F.coalesce(options, F.array().cast("array<string>"))).isNull(), "invalid_option"))
+        .when((field_type == "categorical") & F.coalesce(allow_other, F.lit(False)), F.when(kind != "string", mismatch).when(F.trim(F.regexp_replace(text, BLANKS, " ")) == "", "empty_value"))
+        .when(field_type == "categorical", F.when(kind != "string", mismatch).when(matched.isNull(), "invalid_option"))
         .otherwise(F.when(kind != "string", mismatch))
     )
 

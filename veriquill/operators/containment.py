@@ -14,22 +14,26 @@ from pyspark.sql import functions as F
 SHINGLE = 6
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+def word_hashes(text: Column) -> Column:
+    return F.transform(F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def candidates(passages: DataFrame, texts: DataFrame, n: int = SHINGLE) -> DataFrame:
+def key(hashes: Column, at: Column, n: Column) -> Column:
+    """The hash of n word hashes from a place on."""
+    return F.xxhash64(*[F.when(n > k, F.get(hashes, at + k)) for k in range(SHINGLE)])
+
+
+def candidates(passages: DataFrame, texts: DataFrame) -> DataFrame:
     """(item_id, doc_id): pairs that share the passage's key. passages: item_id, text; texts: doc_id, text."""
-    w = words(F.col("text"))
-    size = F.greatest(F.lit(0), F.least(F.lit(n), F.size(w) - 2))
-    keyed = passages.where(F.size(w) > 0).select("item_id", size.alias("n"), F.xxhash64(F.array_join(F.slice(w, F.lit(2), size), " ")).alias("key"))
-    offered = texts.select("doc_id", w.alias("w"))
-    of_length = lambda k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " "))))
-    long = offered.select("doc_id", F.lit(n).alias("n"), F.explode(of_length(F.lit(n))).alias("key"))
-    short_lengths = keyed.where(F.col("n") < n).select("n").distinct()
-    short = offered.crossJoin(F.broadcast(short_lengths))  # at most n rows
-    short = short.select("doc_id", "n", F.explode(of_length(F.col("n"))).alias("key"))
-    return long.unionByName(short).join(keyed, ["n", "key"]).select("item_id", "doc_id").distinct()
+    hashed = passages.select("item_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") > 0)
+    size = F.greatest(F.lit(0), F.least(F.lit(SHINGLE), F.size("h") - 2))
+    keyed = hashed.select("item_id", size.alias("n"), key(F.col("h"), F.lit(1), size).alias("key"))
+    lengths = keyed.groupBy().agg(F.collect_set("n").alias("lengths"))  # at most SHINGLE + 1 numbers
+    offered = texts.select("doc_id", word_hashes(F.col("text")).alias("h")).crossJoin(F.broadcast(lengths))  # one row
+    last = lambda n: F.greatest(F.size("h") - n, F.lit(0))
+    pairs = F.flatten(F.transform("lengths", lambda n: F.transform(F.sequence(F.lit(0), last(n)), lambda i: F.struct(n.alias("n"), key(F.col("h"), i, n).alias("key")))))
+    rows = offered.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.n", "p.key")
+    return rows.join(keyed, ["n", "key"]).select("item_id", "doc_id").distinct()
 
 
 def contained(passages: DataFrame, texts: DataFrame) -> DataFrame:

@@ -33,21 +33,25 @@ def checked(cells: DataFrame, catalogue: DataFrame) -> DataFrame:
     The catalogue is configuration and is broadcast. A variable the block does not have is `unknown_field`, and nothing
     else is said about it.
     """
-    spec = catalogue.select("block", "variable", "field_type", "options", "allow_other", "evidence_rule", "canonical_reference", F.lit(True).alias("known"))
+    spec = catalogue.select("block", "variable", "field_type", "options", "allow_other", "evidence_rule", "canonical_reference", F.transform("options", option_form).alias("forms"), F.lit(True).alias("known"))
     joined = cells.join(F.broadcast(spec), ["block", "variable"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    raw = F.col("value")
-    code = type_problem(raw, F.col("field_type"), F.col("options"), F.col("allow_other"))
+    raw, kind, text = F.col("value"), F.col("__kind"), F.col("__text")
+    # each step is a column of its own, so that what a value holds is found once
+    joined = joined.withColumn("__kind", json_kind(raw))
+    joined = joined.withColumn("__text", F.when(F.col("field_type").isin("date", "categorical"), json_string(raw, kind)))
+    joined = joined.withColumn("__matched", F.when(F.col("field_type") == "categorical", match_option(text, F.col("options"), F.col("forms"))))
+    code = type_problem(raw, F.col("field_type"), F.col("options"), F.col("allow_other"), kind, text, F.col("__matched"))
     at = F.concat("path", F.lit(".value"))
     out = joined.withColumn("type_code", F.when(F.col("known"), code))
-    spelled = match_option(json_string(raw), F.col("options"))
+    spelled = F.col("__matched")
     quoted = F.regexp_extract(F.to_json(F.array(spelled)), r"(?s)^\[(.*)\]$", 1)
     value = (
         F.when(~F.col("known") | F.col("type_code").isNotNull(), raw)
-        .when((F.col("field_type") == "year") & (json_kind(raw) == "number"), integral_year(raw).cast("string"))
-        .when((F.col("field_type") == "categorical") & spelled.isNotNull() & (spelled != json_string(raw)), quoted)
+        .when((F.col("field_type") == "year") & (kind == "number"), integral_year(raw).cast("string"))
+        .when((F.col("field_type") == "categorical") & spelled.isNotNull() & (spelled != text), quoted)
         .otherwise(raw)
     )
-    return out.withColumn("value_out", value).withColumn("errors", problems((~F.col("known"), F.col("path"), F.lit("unknown_field")), (F.col("type_code").isNotNull(), at, F.col("type_code"))))
+    return out.withColumn("value_out", value).withColumn("errors", problems((~F.col("known"), F.col("path"), F.lit("unknown_field")), (F.col("type_code").isNotNull(), at, F.col("type_code")))).drop("__kind", "__text", "__matched", "forms")
 
 
 def referenced(cells: DataFrame, entries: DataFrame) -> DataFrame:
