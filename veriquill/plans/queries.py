@@ -251,7 +251,7 @@ def field_history_events(spark, d):
     return history.history(event_steps(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT 'study.u' || user_id AS path, count_if(event_type IN ('purchase', 'click')) AS writes, count_if(event_type = 'signup') AS rejections, count_if(event_type IN ('view', 'error')) AS checks,
+@query("""SELECT 'study.u' || user_id AS path, CAST(count_if(event_type IN ('purchase', 'click')) AS BIGINT) AS writes, CAST(count_if(event_type = 'signup') AS BIGINT) AS rejections, CAST(count_if(event_type IN ('view', 'error')) AS BIGINT) AS checks,
 arg_max(CASE event_type WHEN 'error' THEN 'challenge' ELSE 'ok' END, event_id) FILTER (event_type IN ('view', 'error')) AS last_verdict,
 coalesce(arg_max(event_type, event_id) FILTER (event_type IN ('view', 'error')) = 'error', false) AS unresolved_challenge FROM events GROUP BY user_id""")
 def last_verdict(spark, d):
@@ -264,7 +264,7 @@ def check_counts(spark, d):
 
 
 @query("""WITH m AS (SELECT user_id, event_id, event_type = 'error' AS f, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events)
-SELECT user_id, max(n) AS longest FROM (SELECT user_id, g, count_if(f) AS n FROM m GROUP BY ALL) GROUP BY user_id""")
+SELECT user_id, CAST(max(n) AS BIGINT) AS longest FROM (SELECT user_id, g, count_if(f) AS n FROM m GROUP BY ALL) GROUP BY user_id""")
 def failure_streak(spark, d):
     fails = F.col("event_type") == "error"
     return log.streaks(t(spark, d, "events"), ["user_id"], "event_id", fails, F.lit("error")).groupBy("user_id").agg(F.max("streak").cast("long").alias("longest"))
@@ -276,7 +276,7 @@ def turn_islands(spark, d):
     return log.islands(t(spark, d, "conversations"), ["conv_id"], "turn", F.col("role")).groupBy("conv_id").agg(F.max("island").alias("islands"))
 
 
-@query("""SELECT user_id, count_if(r) AS in_review, count_if(NOT r) AS before FROM (SELECT user_id, max(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) GROUP BY user_id""")
+@query("""SELECT user_id, CAST(count_if(r) AS BIGINT) AS in_review, CAST(count_if(NOT r) AS BIGINT) AS before FROM (SELECT user_id, max(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) GROUP BY user_id""")
 def stage_split(spark, d):
     marked = log.stage_split(t(spark, d, "events"), ["user_id"], "event_id", F.col("event_type") == "purchase")
     return marked.groupBy("user_id").agg(F.count_if("in_review").alias("in_review"), F.count_if(~F.col("in_review")).alias("before"))
@@ -388,16 +388,16 @@ def cost_ledger(spark, d):
     return calls.groupBy("l_returnflag").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("calls"))
 
 
-@query(f"""SELECT l_orderkey, CASE WHEN bool_or(receipted AND c IS NULL) THEN NULL WHEN count_if(receipted AND c IS NOT NULL) > 0 THEN CAST(coalesce(sum(c) FILTER (receipted), 0) AS DOUBLE) / 100000000 END AS cost_usd, count_if(NOT receipted) > 0 AS cost_incomplete, count_if(NOT receipted) AS unreceipted_calls FROM ({LINE_SQL}) GROUP BY l_orderkey""")
+@query(f"""SELECT l_orderkey, CASE WHEN bool_or(receipted AND c IS NULL) THEN NULL WHEN count_if(receipted AND c IS NOT NULL) > 0 THEN CAST(coalesce(sum(c) FILTER (receipted), 0) AS DOUBLE) / 100000000 END AS cost_usd, count_if(NOT receipted) > 0 AS cost_incomplete, CAST(count_if(NOT receipted) AS BIGINT) AS unreceipted_calls FROM ({LINE_SQL}) GROUP BY l_orderkey""")
 def null_poisoned_cost(spark, d):
     return ledger.recorded_cost(line_calls(spark, d), ["l_orderkey"]).drop("calls")
 
 
-@query("""SELECT sum(five) AS five_minutes, sum(hour) AS one_hour FROM (SELECT CAST(l_quantity AS BIGINT) % 5 + greatest(0, CAST(l_quantity AS BIGINT) - CAST(l_quantity AS BIGINT) % 5 - l_linenumber) AS five, l_linenumber AS hour FROM lineitem)""")
+@query("""SELECT CAST(sum(five) AS BIGINT) AS five_minutes, CAST(sum(hour) AS BIGINT) AS one_hour FROM (SELECT CAST(l_quantity AS BIGINT) % 5 + greatest(0, CAST(l_quantity AS BIGINT) - CAST(l_quantity AS BIGINT) % 5 - l_linenumber) AS five, l_linenumber AS hour FROM lineitem)""")
 def cache_write_split(spark, d):
     q = F.col("l_quantity").cast("long")
     five, hour = ledger.cache_writes(q, q % 5, F.col("l_linenumber").cast("long"))
-    return t(spark, d, "lineitem").select(five.alias("five"), hour.alias("hour")).agg(F.sum("five").cast("decimal(38,0)").alias("five_minutes"), F.sum("hour").cast("decimal(38,0)").alias("one_hour"))
+    return t(spark, d, "lineitem").select(five.alias("five"), hour.alias("hour")).agg(F.sum("five").alias("five_minutes"), F.sum("hour").alias("one_hour"))
 
 
 # ---- identity
