@@ -118,12 +118,12 @@ def ratios(df: DataFrame, target: DataFrame, buckets: int = BUCKETS, prior: floa
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
     )
-    total = counted.agg(F.struct(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("target"))).scalar()
-    expected = F.col("raw") * total["target"] / total["raw"]
-    weighed = counted.select("bucket", F.log((F.col("target") + prior) / (expected + prior)).alias("ratio"))
-    spread = df.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(weighed, "bucket", "left")
-    in_order = F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))))
-    return spread.agg(F.transform(in_order, lambda x: x["ratio"]).alias("ratios"))
+    spread = df.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(counted, "bucket", "left").fillna(0)
+    rows = F.array_sort(F.collect_list(F.struct("bucket", "raw", "target")))
+    # the totals come out of the same pass as the counts
+    whole = spread.agg(rows.alias("rows"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    share = F.when(F.col("raw") > 0, F.col("target") / F.col("raw")).otherwise(0.0)
+    return whole.select("rows", share.alias("share")).select(F.transform("rows", lambda x: F.log((x["target"] + prior) / (x["raw"] * F.col("share") + prior))).alias("ratios"))
 
 
 def quality_rules(
