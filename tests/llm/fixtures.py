@@ -2,7 +2,7 @@
 
 import random
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, id long, N_TOKENS int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, id long, N_TOKENS int, rows long, mix_slot string, print string"
 
 
 def prose(seed: int, n: int) -> str:
@@ -39,5 +39,5 @@ def texts() -> list:
 def frame(spark, rows=None):
     rows = texts() if rows is None else rows
     sources = ["a", "a", "b", None, "zzz"]
-    full = [(i, t, "en", sources[k % 5], None if t is None else len(t), 0.5, "f", 7, 1) for k, (i, t) in enumerate(rows)]
+    full = [(i, t, "en", sources[k % 5], None if t is None else len(t), 0.5, "f", 7, 1, 2, "m", "p") for k, (i, t) in enumerate(rows)]
     return spark.createDataFrame(full, DOCS).repartition(3)

@@ -61,3 +61,18 @@ def cut(df: DataFrame) -> DataFrame:
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed names; other columns of the input cannot clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+
+
+def positional(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """df with columns c0, c1, ... in place of its own names, and the new names of the given ones.
+
+    Whatever an operator adds cannot clash then; `renamed_back` undoes it.
+    """
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{df.columns.index(c)}" for c in columns]
+
+
+def renamed_back(df: DataFrame, like: DataFrame, *added: str) -> DataFrame:
+    """The positional columns under the names of `like`, and the added ones, which take the place of any of the same name."""
+    taken = {a.lower() for a in added}
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(like.columns) if c.lower() not in taken]
+    return df.select(*own, *added)

@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriquill.llm.common import cut
+from veriquill.llm.common import cut, positional, renamed_back
 
 BLOCK_BYTES = 64 << 10
 #: Documents in one bucket of a source, about.
@@ -27,6 +27,7 @@ BUCKET_ROWS = 4096
 #: The name under which sources without a weight of their own are pooled.
 OTHERS = "*"
 MOST_SLOTS = 10_000
+COLUMNS = ("mix_source", "mix_bytes", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_start")
 
 
 def period(weights: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
@@ -75,7 +76,7 @@ def phases(weights: Mapping[str, int], blocks: Mapping[str, int]) -> list[dict]:
 def schedule(
     df: DataFrame, weights: Mapping[str, int], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_bytes: int = BLOCK_BYTES, bucket_rows: int = BUCKET_ROWS, seed: int = 1
 ) -> DataFrame:
-    """df with mix_source, mix_bytes, mix_block, mix_release, mix_deadline, mix_slot and mix_start (bytes of the source before the row).
+    """df (columns of these names give way) with mix_source, mix_bytes, mix_block, mix_release, mix_deadline, mix_slot and mix_start (bytes of the source before the row).
 
     Ordering by mix_slot, then mix_start and the id, is the mixture. A source that is null or has no weight is pooled as
     `*`, which then needs a weight. A null text has no bytes. Documents longer than a block take the slots of the blocks
@@ -84,7 +85,8 @@ def schedule(
     """
     if any(w < 0 for w in weights.values()) or not 0 < sum(weights.values()) <= MOST_SLOTS:
         raise ValueError(f"weights are natural numbers with a sum of at most {MOST_SLOTS}")
-    spark = df.sparkSession
+    spark, like = df.sparkSession, df
+    df, (id_col, text_col, source_col) = positional(df, id_col, text_col, source_col)
     named = [s for s, w in weights.items() if w > 0 and s != OTHERS]
     buckets = max(1, -(-df.count() // bucket_rows))
     key = F.xxhash64(F.lit(seed), df[id_col].cast("string"))
@@ -122,19 +124,12 @@ def schedule(
     found = placed.join(F.broadcast(plan), on)
     j = F.col("mix_block") - F.col("mix_from")
     entry, offset = F.get("mix_slots", (j % F.col("mix_w")).cast("int")), F.col("mix_at") + F.floor(j / F.col("mix_w")).cast("long") * F.col("mix_q")
-    return found.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        "mix_source",
-        "mix_bytes",
-        "mix_block",
-        (offset + entry["release"]).alias("mix_release"),
-        (offset + entry["deadline"]).alias("mix_deadline"),
-        (offset + entry["slot"]).alias("mix_slot"),
-        "mix_start",
-    )
+    timed = found.withColumns({f"mix_{name}": offset + entry[name] for name in ("release", "deadline", "slot")})
+    return renamed_back(timed, like, *COLUMNS)
 
 
 def mix(df: DataFrame, weights: Mapping[str, int], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of df with their columns only, laid out in the order of the mixture: partitions by ranges of slots, sorted inside."""
-    scheduled = schedule(df, weights, id_col, text_col, source_col, **options)
-    return scheduled.repartitionByRange("mix_slot", "mix_start").sortWithinPartitions("mix_slot", "mix_start", id_col).select(*[F.col(f"`{c}`") for c in df.columns])
+    plain, names = positional(df, id_col, text_col, source_col)
+    scheduled = schedule(plain, weights, *names, **options)
+    return renamed_back(scheduled.repartitionByRange("mix_slot", "mix_start").sortWithinPartitions("mix_slot", "mix_start", names[0]), df)

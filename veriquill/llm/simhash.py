@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from veriquill.llm.common import cut, id_field, map_batches, narrow
+from veriquill.llm.common import cut, id_field, map_batches, narrow, positional, renamed_back
 from veriquill.llm.graph import components
 
 SHINGLE, SEED = 3, 42
@@ -113,15 +113,14 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     found = cut(near_duplicates(narrow(df, id=id_col, text=text_col), "id", "text"))
     heads = found.where(F.col("id").eqNullSafe(F.col("component_id")))
-    once = heads.where("id is not null").groupBy("id").agg(F.count("*").alias("__rows"))
-    kept = df.join(once.select(F.col("id").alias("__id"), "__rows"), df[id_col] == F.col("__id")).drop("__id")
-    single, several = kept.where("__rows = 1").drop("__rows"), kept.where("__rows > 1").drop("__rows")
-    several = several.dropDuplicates([id_col])
+    like, (df, (i, t)) = df, positional(df, id_col, text_col)
+    once = heads.where("id is not null").groupBy("id").agg(F.count("*").alias("rows"))
+    kept = df.join(once, df[i] == F.col("id")).drop("id")
+    single, several = kept.where("rows = 1").drop("rows"), kept.where("rows > 1").drop("rows").dropDuplicates([i])
     nameless = heads.where("id is null").select("fingerprint").distinct()
-    bare = df.where(df[id_col].isNull())
-    hexed = bare.withColumn("__fp", _fingerprint_udf()(bare[text_col]))
-    bare = hexed.join(nameless, hexed["__fp"] == nameless["fingerprint"], "left_semi").dropDuplicates(["__fp"]).drop("__fp")
-    return single.unionByName(several).unionByName(bare)
+    bare = df.where(df[i].isNull()).withColumn("print", _fingerprint_udf()(df[t]))
+    bare = bare.join(nameless, bare["print"] == nameless["fingerprint"], "left_semi").dropDuplicates(["print"]).drop("print")
+    return renamed_back(single.unionByName(several).unionByName(bare), like)
 
 
 def _fingerprint_udf():
