@@ -473,3 +473,26 @@ def test_containment_is_brute_force(spark):
 def test_sql_functions(spark):
     register(spark)
     assert spark.sql("select locate_quote('B c', 'a b c').tier, normalise_quote(' A  b'), canonical_json('{\"b\": 1, \"a\": \"é\"}'), seq_ratio('ab', 'ab')").collect()[0] == ("case_folded", "a b", '{"a":"\\u00e9","b":1}', 1.0)
+
+
+def test_structure_of_outputs(spark):
+    document = {"study": {"a": 3, "b": {"value": 1, "evidence": 5, "notes": []}, "c": {"value": "x", "evidence": None}, "d": None, "notes": 7}, "records": [{"record_id": "r_1", "notes": {"x": 1}, "e": ["no"]}], "quality_check": {"review": "no", "extractor": {}}}
+    got = {(r.path, r.code) for r in files.structure_problems(spark.createDataFrame([("s", json.dumps(document)), ("t", "{}")], "study_id string, output string")).collect()}
+    assert got == {
+        ("study.a", "not_an_envelope"), ("study.d", "not_an_envelope"), ("study.b.evidence", "type_mismatch"), ("study.b.notes", "type_mismatch"), ("study.notes", "type_mismatch"), ("record.r_1.notes", "type_mismatch"),
+        ("record.r_1.e", "not_an_envelope"), ("quality_check.review", "not_a_role_block"),
+    }
+
+
+def test_driver_side_hashes(spark):
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert identity.tool_set_hash([{"b": 1, "a": "é"}]) == sha(b'[{"a":"\\u00e9","b":1}]') and identity.texts_hash({"b": "x", "a": "y"}) == sha(b'{"a":"y","b":"x"}')
+    df = spark.createDataFrame([("b.py", bytearray(b"2")), ("a.py", bytearray(b"1"))], "path string, content binary").repartition(2)
+    assert identity.tree_hash(df).collect()[0].hash == sha(b"a.py\x001b.py\x002")
+
+
+def test_schemas():
+    schema = lambda **f: config.value_schema({"options": None, "allow_other": False, **f})
+    assert schema(field_type="boolean") == {"type": "boolean"} and schema(field_type="year") == {"type": ["integer", "null"]}
+    assert schema(field_type="categorical", options=["A"]) == {"enum": ["A", None]} and schema(field_type="categorical", options=["A"], allow_other=True) == {"type": ["string", "null"]}
+    assert config.envelope_schema({"field_type": "string_list", "options": None, "allow_other": False})["properties"]["value"] == {"type": ["array", "null"], "items": {"type": "string"}}

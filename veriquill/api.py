@@ -103,4 +103,9 @@ def validate_extraction_output(outputs: DataFrame, bundle: ConfigBundle, papers:
     """(study_id, path, code, severity) for stored outputs (study_id, output JSON) of any number of studies."""
     spark = outputs.sparkSession
     entries = config.reference_entries(spark, bundle.lists) if bundle.lists else spark.createDataFrame([], lists.ENTRY)
-    return sweep(files.cells_of(outputs), bundle.template.catalogue(spark), entries, bundle.template.gate_rows(spark), papers, labels, producer)
+    found = sweep(files.cells_of(outputs), bundle.template.catalogue(spark), entries, bundle.template.gate_rows(spark), papers, labels, producer)
+    shape = files.structure_problems(outputs)
+    # evidence that is no text is one problem, not two
+    owed = F.col("code") == "evidence_required"
+    found = found.where(~owed).unionByName(found.where(owed).join(shape.select("study_id", "path"), ["study_id", "path"], "left_anti"))
+    return found.unionByName(shape.withColumn("severity", F.lit("error")))

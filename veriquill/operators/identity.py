@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriquill.functions.arrow import canonical_json
+from veriquill.functions.arrow import canonical, canonical_json
 
 #: What stands for a stage that does not run.
 ABSENT = "none"
@@ -97,3 +100,22 @@ def drift(recorded: DataFrame, now: DataFrame, key: str, axes: list[str]) -> Dat
     """(key, drifted): the axes on which a run that is taken up again differs from what it recorded."""
     both = recorded.select(key, *[F.col(a).alias(f"old_{a}") for a in axes]).join(now.select(key, *axes), key)
     return both.select(key, F.array_compact(F.array(*[F.when(~F.col(f"old_{a}").eqNullSafe(F.col(a)), a) for a in axes])).alias("drifted"))
+
+
+def tool_set_hash(tools: list[dict]) -> str:
+    """Of a tool catalogue as it is sent, in its order."""
+    return hashlib.sha256(canonical(tools).encode()).hexdigest()
+
+
+def texts_hash(texts: Mapping[str, str]) -> str:
+    """Of named texts, such as prompts, whatever order they come in."""
+    return hashlib.sha256(canonical(dict(texts)).encode()).hexdigest()
+
+
+def tree_hash(sources: DataFrame) -> DataFrame:
+    """One row with `hash`: of source files (path, content binary) in order of path, each as its path, a zero byte and its bytes.
+
+    For the files of a program; all of them meet in one row.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("path", F.hex(F.concat(F.col("path").cast("binary"), F.unhex(F.lit("00")), F.col("content"))).alias("h"))))
+    return sources.agg(F.sha2(F.unhex(F.array_join(F.transform(rows, lambda r: r["h"]), "")), 256).alias("hash"))

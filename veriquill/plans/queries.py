@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriquill.functions import arrow, columns
-from veriquill.operators import containment, evidence, history, identity, ledger, lists, log, records, values
+from veriquill.operators import containment, evidence, history, identity, ledger, lists, log, records, runs, values
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -431,3 +431,71 @@ def drift(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
     recorded = o.select("o_orderkey", F.lit("O").alias("status"), F.lit("5-LOW").alias("priority"))
     return identity.drift(recorded, o, "o_orderkey", ["status", "priority"])
+
+
+# ---- runs and the rest of the log
+
+
+@query("""SELECT event_id, row_number() OVER (ORDER BY event_id) AS check_no, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS field_check_no FROM events WHERE event_type = 'error'""")
+def check_ordinals(spark, d):
+    e = t(spark, d, "events").where("event_type = 'error'").select(F.lit("s").alias("session_id"), F.col("event_id").alias("line_no"), F.col("user_id").alias("path"))
+    return runs.ordinals(e).select(F.col("line_no").alias("event_id"), F.col("check_no").cast("long").alias("check_no"), F.col("field_check_no").cast("long").alias("field_check_no"))
+
+
+@query("""SELECT user_id, string_agg(event_type, '>' ORDER BY event_id) AS trail FROM events GROUP BY user_id""")
+def mention_trails(spark, d):
+    e = t(spark, d, "events").select(F.lit("s").alias("session_id"), F.col("user_id").alias("path"), F.col("event_id").alias("line_no"), F.col("event_type").alias("label"))
+    return runs.trails(e).select(F.col("path").alias("user_id"), F.array_join("trail", ">").alias("trail"))
+
+
+@query("""SELECT CASE event_type WHEN 'view' THEN 'complete' WHEN 'click' THEN 'in_progress' WHEN 'error' THEN 'error' ELSE 'failed_validation' END AS status, CASE event_type WHEN 'purchase' THEN 'surrendered' WHEN 'signup' THEN 'review_stalled' END AS reason, count(*) AS n FROM events GROUP BY ALL""")
+def loop_endings(spark, d):
+    names = {"view": "review_complete", "click": "tool_cap_hit", "error": "extractor_refused", "purchase": "extractor_abandoned", "signup": "review_stalled"}
+    outcome = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("event_type")]
+    status, reason = runs.ending(outcome)
+    return t(spark, d, "events").select(status.alias("status"), reason.alias("reason")).groupBy("status", "reason").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT conv_id, coalesce(arg_min(text, turn) FILTER (role = 'assistant'), '') AS text FROM conversations GROUP BY conv_id""")
+def turn_texts(spark, d):
+    c = t(spark, d, "conversations").select(F.lit("s").alias("session_id"), F.col("conv_id").alias("turn_id"), F.col("turn").alias("line_no"), F.when(F.col("role") == "assistant", "assistant_text").otherwise("user").alias("event"), "text", F.lit(None).cast("string").alias("stop_reason"))
+    return runs.turn_texts(c).select(F.col("turn_id").alias("conv_id"), "text")
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS study_id, 'record.order_' || o_orderkey || '.' || v AS path, CAST(1 + o_orderkey % 2 AS BIGINT) AS check_index FROM orders, (VALUES ('o_comment'), ('o_orderdate')) AS x(v) WHERE o_orderkey % 4 <> 2 AND (v <> 'o_comment' OR o_orderkey % 3 <> 1)""")
+def checkable_fields(spark, d):
+    cells = order_cells(spark, d).where("variable in ('o_comment', 'o_orderdate')").withColumn("k", F.regexp_extract("record_id", r"(\d+)$", 1).cast("long"))
+    made = cells.where("k % 2 = 1").select("study_id", "path", F.lit(1).alias("checks"))
+    shown = cells.withColumn("evidence", F.when(F.col("k") % 4 == 2, " ").otherwise("words"))
+    return runs.checkable(shown, order_catalogue(spark), made, 2).select("study_id", "path", F.col("check_index").cast("long").alias("check_index"))
+
+
+@query("""SELECT user_id, CAST(sum(event_id) AS BIGINT) AS input_tokens, CAST(count(*) AS BIGINT) AS output_tokens FROM events GROUP BY user_id""")
+def usage_by_role(spark, d):
+    calls = t(spark, d, "events").select("user_id", F.col("event_id").alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"), F.lit(None).cast("long").alias("cache_read_tokens"), F.lit(0).cast("long").alias("cache_write_tokens"))
+    return ledger.usage(calls, ["user_id"]).select("user_id", "input_tokens", "output_tokens")
+
+
+@query("""SELECT p_partkey, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS label FROM part""")
+def derived_labels(spark, d):
+    return t(spark, d, "part").select("p_partkey", columns.label_from_name(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("label"))
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT CASE event_id % 6 WHEN 0 THEN 'object' WHEN 1 THEN 'number' WHEN 2 THEN 'integer' WHEN 3 THEN 'string' WHEN 4 THEN 'array' ELSE 'null' END AS kind FROM events) GROUP BY kind""")
+def json_kinds(spark, d):
+    k = F.col("event_id") % 6
+    raw = F.when(k == 0, F.col("props")).when(k == 1, F.format_string("%.2f", "value")).when(k == 2, F.col("event_id").cast("string")).when(k == 3, text_json("event_type")).when(k == 4, F.concat(F.lit("["), "event_id", F.lit("]"))).otherwise("null")
+    return t(spark, d, "events").select(columns.json_kind(raw).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, 2 - (event_id % 2) AS n_keys FROM events""")
+def public_results(spark, d):
+    result = F.create_map(F.lit("status"), F.lit("ok"), F.when(F.col("event_id") % 2 == 1, "_private").otherwise("shown"), F.col("event_type"))
+    return t(spark, d, "events").select("event_id", F.size(runs.public(result)).cast("long").alias("n_keys"))
+
+
+@query()
+def summary_agreement(spark, d):
+    docs = t(spark, d, "documents").where("length(text) < 4000").select("doc_id", "text")
+    shortened = F.when(F.col("doc_id") % 2 == 0, F.upper(F.substring("text", 1, 60))).otherwise(F.reverse("text"))
+    return docs.select("doc_id", runs.summaries_match(F.col("text"), shortened).alias("match"))

@@ -244,3 +244,21 @@ def rate_problems(rates: Mapping) -> list[str]:
         out += [f"{role}: {k} is missing" for k in RATES if k not in card] + [f"{role}: {k} is unknown" for k in sorted(card.keys() - {*RATES, "cache_write_1h_per_1m"})]
         out += [f"{role}: {k} must be a number, 0 or more" for k, v in card.items() if isinstance(v, bool) or not isinstance(v, (int, float)) or v < 0]
     return out
+
+
+def value_schema(f: Mapping) -> dict:
+    """The JSON schema that a value of a field must fit; null is allowed for all types but boolean."""
+    kind = f["field_type"]
+    if kind == "boolean":
+        return {"type": "boolean"}
+    if kind == "string_list":
+        return {"type": ["array", "null"], "items": {"type": "string"}}
+    if kind == "categorical" and not f["allow_other"]:
+        return {"enum": [*f["options"], None]}
+    return {"type": [{"integer": "integer", "year": "integer", "number": "number"}.get(kind, "string"), "null"]}
+
+
+def envelope_schema(f: Mapping) -> dict:
+    """A value with its evidence and notes."""
+    text = {"type": ["string", "null"]}
+    return {"type": "object", "properties": {"value": value_schema(f), "evidence": text, "notes": text}, "required": ["value", "evidence", "notes"], "additionalProperties": False}

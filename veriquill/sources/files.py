@@ -68,14 +68,8 @@ def cells_of(outputs: DataFrame) -> DataFrame:
 
     Values stay JSON text, so that 1 and 1.0 are told apart. Bare notes are no fields.
     """
-    envelope = "struct<value:string,evidence:string,notes:string>"
     part = lambda name, kind: F.from_json(F.get_json_object("output", f"$.{name}"), kind)
-    study = outputs.select("study_id", F.explode(part("study", "map<string,string>")).alias("variable", "cell")).where("variable <> 'notes'")
-    study = study.select("study_id", F.lit("study").alias("block"), F.lit(None).cast("string").alias("record_id"), F.lit(None).cast("string").alias("role"), "variable", F.concat(F.lit("study."), "variable").alias("path"), F.col("cell"))
-    records = outputs.select("study_id", F.explode(part("records", "array<string>")).alias("record")).select("study_id", F.get_json_object("record", "$.record_id").alias("record_id"), F.explode(F.from_json("record", "map<string,string>")).alias("variable", "cell"))
-    records = records.where("variable not in ('record_id', 'notes')").select("study_id", F.lit("record").alias("block"), "record_id", F.lit(None).cast("string").alias("role"), "variable", F.concat(F.lit("record."), "record_id", F.lit("."), "variable").alias("path"), F.col("cell"))
-    cells = study.unionByName(records).withColumn("e", F.from_json("cell", envelope))
-    filled = cells.select("study_id", "block", "record_id", "role", "variable", "path", json_value("cell").alias("value"), "e.evidence", "e.notes")
+    filled = _envelopes(outputs).where(F.col("is_envelope")).select("study_id", "block", "record_id", "role", "variable", "path", json_value("cell").alias("value"), _text_of("evidence").alias("evidence"), _text_of("notes").alias("notes"))
     for block in ("initial_check", "quality_check"):
         roles = outputs.select("study_id", F.explode(part(block, "map<string,string>")).alias("role", "answers")).select("study_id", "role", F.explode(F.from_json("answers", "map<string,string>")).alias("variable", "value"))
         nothing = [F.lit(None).cast("string").alias(c) for c in ("evidence", "notes")]
@@ -90,3 +84,48 @@ def json_value(cell: str) -> Column:
     text = F.get_json_object(cell, "$.value")
     is_text = F.schema_of_variant(kept) == "STRING"
     return F.when(text.isNull(), "null").when(is_text, F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)).otherwise(text)
+
+
+def _envelopes(outputs: DataFrame) -> DataFrame:
+    """Every field of study and records with its raw cell, parsed as far as it is an envelope."""
+    nothing = F.lit(None).cast("string")
+    study = outputs.select("study_id", F.explode(F.from_json(F.get_json_object("output", "$.study"), "map<string,string>")).alias("variable", "cell")).where("variable <> 'notes'")
+    study = study.select("study_id", F.lit("study").alias("block"), nothing.alias("record_id"), nothing.alias("role"), "variable", F.concat(F.lit("study."), "variable").alias("path"), "cell")
+    records = _records(outputs).select("study_id", "record_id", F.explode(F.from_json("record", "map<string,string>")).alias("variable", "cell")).where("variable not in ('record_id', 'notes')")
+    records = records.select("study_id", F.lit("record").alias("block"), "record_id", nothing.alias("role"), "variable", F.concat(F.lit("record."), "record_id", F.lit("."), "variable").alias("path"), "cell")
+    cells = study.unionByName(records).withColumn("cell", F.coalesce("cell", F.lit("null")))
+    is_envelope = F.coalesce(F.schema_of_variant(F.try_parse_json("cell")).startswith("OBJECT"), F.lit(False))
+    return cells.withColumn("is_envelope", is_envelope).withColumn("e", F.when(F.col("is_envelope"), F.from_json("cell", "struct<value:variant,evidence:variant,notes:variant>")))
+
+
+def _records(outputs: DataFrame) -> DataFrame:
+    return outputs.select("study_id", F.explode(F.from_json(F.get_json_object("output", "$.records"), "array<string>")).alias("record")).withColumn("record_id", F.get_json_object("record", "$.record_id"))
+
+
+def _text_of(name: str) -> Column:
+    """A part of an envelope if it is a string."""
+    kind = F.schema_of_variant(F.col(f"e.{name}"))
+    return F.when(kind == "STRING", F.col(f"e.{name}").cast("string"))
+
+
+def _no_text(value: Column) -> Column:
+    """Whether a variant is there and neither a string nor null."""
+    return F.coalesce(~F.schema_of_variant(value).isin("STRING", "VOID"), F.lit(False))
+
+
+def structure_problems(outputs: DataFrame) -> DataFrame:
+    """(study_id, path, code): cells that are no envelopes, evidence and notes that are no text, roles that hold no answers."""
+    cells = _envelopes(outputs)
+    bare = cells.where(~F.col("is_envelope")).select("study_id", "path", F.lit("not_an_envelope").alias("code"))
+    parts = [cells.where(F.col("is_envelope") & _no_text(F.col(f"e.{name}"))).select("study_id", F.concat("path", F.lit(f".{name}")).alias("path"), F.lit("type_mismatch").alias("code")) for name in ("evidence", "notes")]
+    note = lambda c: F.from_json(c, "struct<notes:variant>")["notes"]
+    study = outputs.where(_no_text(note(F.get_json_object("output", "$.study")))).select("study_id", F.lit("study.notes").alias("path"), F.lit("type_mismatch").alias("code"))
+    records = _records(outputs).where(_no_text(note(F.col("record")))).select("study_id", F.concat(F.lit("record."), "record_id", F.lit(".notes")).alias("path"), F.lit("type_mismatch").alias("code"))
+    found = bare.unionByName(study).unionByName(records)
+    for part in parts:
+        found = found.unionByName(part)
+    for block in ("initial_check", "quality_check"):
+        roles = outputs.select("study_id", F.explode(F.from_json(F.get_json_object("output", f"$.{block}"), "map<string,string>")).alias("role", "answers"))
+        holds = F.coalesce(F.schema_of_variant(F.try_parse_json("answers")).startswith("OBJECT"), F.lit(False))
+        found = found.unionByName(roles.where(~holds).select("study_id", F.concat_ws(".", F.lit(block), "role").alias("path"), F.lit("not_a_role_block").alias("code")))
+    return found
