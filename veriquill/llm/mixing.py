@@ -14,6 +14,7 @@ and within each. No task holds a source.
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
@@ -117,8 +118,10 @@ def schedule(
     placed = placed.join(named_before, (F.col("mix_source") == F.col("mix_source_")) & (F.col("mix_bucket") == F.col("mix_bucket_")))
     start = F.col("mix_within") + F.col("mix_before_")
     placed = placed.withColumn("mix_start", start).withColumn("mix_block", F.least(F.floor(F.col("mix_start") / block_bytes).cast("long"), F.col("mix_last_block_")))
-    plan_rows = [(p["source"], p["first"], p["first"] + p["n"], p["start"], p["weight"], p["q"], p["slots"]) for p in planned]
-    plan = spark.createDataFrame(plan_rows, "mix_s string, mix_from long, mix_to long, mix_at long, mix_w long, mix_q long, mix_slots array<struct<slot: long, release: long, deadline: long>>")
+    kind = "array<struct<mix_s: string, mix_from: long, mix_to: long, mix_at: long, mix_w: long, mix_q: long, mix_slots: array<struct<slot: long, release: long, deadline: long>>>>"
+    names = ("slot", "release", "deadline")
+    told = [{"mix_s": p["source"], "mix_from": p["first"], "mix_to": p["first"] + p["n"], "mix_at": p["start"], "mix_w": p["weight"], "mix_q": p["q"], "mix_slots": [dict(zip(names, x)) for x in p["slots"]]} for p in planned]
+    plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(told)), kind)))
     # at most one row for each source and phase, with one entry for each unit of weight: bounded by the weights
     on = (F.col("mix_source") == F.col("mix_s")) & (F.col("mix_block") >= F.col("mix_from")) & (F.col("mix_block") < F.col("mix_to"))
     found = placed.join(F.broadcast(plan), on)
