@@ -232,8 +232,11 @@ def unknown_keys(spark, d):
 
 
 def event_steps(spark, d) -> DataFrame:
+    return steps_of(t(spark, d, "events"))
+
+
+def steps_of(e: DataFrame) -> DataFrame:
     """Events as a log of a field for each user: purchases and clicks write, errors challenge, views pass, signups are refused."""
-    e = t(spark, d, "events")
     kind = F.col("event_type")
     what = F.when(kind.isin("purchase", "click"), "write").when(kind == "signup", "reject").otherwise("verdict")
     given = {
@@ -499,3 +502,14 @@ def summary_agreement(spark, d):
     docs = t(spark, d, "documents").where("length(text) < 4000").select("doc_id", "text")
     shortened = F.when(F.col("doc_id") % 2 == 0, F.upper(F.substring("text", 1, 60))).otherwise(F.reverse("text"))
     return docs.select("doc_id", runs.summaries_match(F.col("text"), shortened).alias("match"))
+
+
+@query("""SELECT 'study.u' || user_id AS path, CAST(count_if(event_type IN ('purchase', 'click')) AS BIGINT) AS writes, CAST(count_if(event_type = 'signup') AS BIGINT) AS rejections, CAST(count_if(event_type IN ('view', 'error')) AS BIGINT) AS checks,
+arg_max(CASE event_type WHEN 'error' THEN 'challenge' ELSE 'ok' END, event_id) FILTER (event_type IN ('view', 'error')) AS last_verdict FROM events GROUP BY user_id""")
+def stream_states(spark, d):
+    """The states of fields from the log as a stream, micro-batch by micro-batch until the input is read."""
+    from veriquill.streaming.history import drained
+
+    events = spark.readStream.schema(t(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]")  # a pattern may name a file as well as a folder
+    states = drained(steps_of(events)).groupBy("path").agg(F.max_by(F.struct("writes", "rejections", "checks", "last_verdict"), "line_no").alias("s"))
+    return states.select("path", "s.*")
