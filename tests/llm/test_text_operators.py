@@ -379,12 +379,12 @@ def plain_removal(rows, window=50):
     return Counter(out)
 
 
-@pytest.mark.parametrize("window", [50, 12])
-def test_repeated_passages_go(spark, window):
+@pytest.mark.parametrize(("window", "crowd"), [(50, 1000), (50, 3), (12, 1)])
+def test_repeated_passages_go(spark, window, crowd):
     shared = prose(50, 70)
     rows = texts() + [(600 + k, prose(100 + k, 20) + " " + shared + " " + prose(200 + k, 20)) for k in range(6)]
     rows += [(1, prose(3, 120) + " more"), (700, prose(3, 49)), (701, prose(3, 49)), (702, prose(3, 50)), (703, prose(3, 51)), (12, "b c a " * 40)]
-    got = substring.remove_repeats(frame(spark, rows), window=window, gram=min(10, window // 2)).collect()
+    got = substring.remove_repeats(frame(spark, rows), window=window, gram=min(10, window // 2), crowd=crowd).collect()
     assert Counter(map(tuple, got)) == plain_removal(rows, window)
     assert substring.remove_repeats(frame(spark, [])).collect() == []
 

@@ -15,16 +15,19 @@ id; everything else that moves is narrow, pre-aggregated where a hot value could
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriquill.llm.common import cut, id_field, map_batches
 
 WINDOW, GRAM = 50, 10
+#: Windows whose anchor more documents than this share are spread over so many tasks each.
+CROWD, SALTS = 1000, 16
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -125,7 +128,7 @@ def factors(starts: list[int], window: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 (of the kept words joined by one blank).
 
     A word is removed if a window of `window` words over it also starts in a document with a smaller id, judged on the
@@ -154,29 +157,44 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = long_enough.groupBy("sha").agg(F.min("id").alias("head"))
     # joined by id too, so that a text with very many copies is no hot key where arrays move
     anchors = long_enough.join(heads.withColumnRenamed("head", "id"), ["id", "sha"]).select("id", F.explode("anchors").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     several = parsed.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("id", F.lit(True).alias("several"))
-    marks = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors")).join(several, "id", "left")
+    crowded = F.collect_list(F.when(F.col("n") > crowd, F.col("anchor")))
+    marks = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors"), crowded.alias("crowded")).join(several, "id", "left")
     marked = docs.join(marks.hint("shuffle_merge"), "id")
 
-    def index(batch: pa.RecordBatch) -> dict[str, list]:
-        out: dict[str, list] = {"id": [], "digest": [], "place": [], "hi": [], "lo": []}
-        for i, text, wanted, several in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            words = Words(text)
-            places = np.flatnonzero(np.isin(words.anchors(window, gram), np.array(wanted, np.int64)))
-            if len(places):
-                hi, lo = words.windows(places, window)
-                out["id"] += [i] * len(places)
-                out["digest"] += [words.digest() if several else 0] * len(places)  # tells rows that repeat an id apart
-                out["place"] += places.tolist()
-                out["hi"] += hi
-                out["lo"] += lo
-        return out
-
-    blocks_schema = T.StructType([*key, T.StructField("place", T.IntegerType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())])
-    blocks = map_batches(marked.select("id", "text", "anchors", "several"), index, blocks_schema)
-    first = blocks.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("hi", "lo", "first")
-    found = blocks.join(first, ["hi", "lo"]).where("id > first").groupBy("id").agg(F.collect_list(F.struct("digest", "place")).alias("found"))
+    def index(crowded_only: bool):
+        def make(batch: pa.RecordBatch) -> dict[str, list]:
+            out: dict[str, list] = {"id": [], "digest": [], "place": [], "hi": [], "lo": [], "salt": []}
+            for i, text, wanted, crowded, several in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                words = Words(text)
+                own = words.anchors(window, gram)
+                names = np.array(crowded, np.int64) if crowded_only else np.setdiff1d(np.array(wanted, np.int64), np.array(crowded, np.int64))
+                places = np.flatnonzero(np.isin(own, names))
+                if len(places):
+                    hi, lo = words.windows(places, window)
+                    out["id"] += [i] * len(places)
+                    out["digest"] += [words.digest() if several else 0] * len(places)  # tells rows that repeat an id apart
+                    out["place"] += places.tolist()
+                    out["hi"] += hi
+                    out["lo"] += lo
+                    out["salt"] += [zlib.crc32(str(i).encode()) % SALTS] * len(places)
+            return out
+
+        return make
+
+    fields = [*key, T.StructField("place", T.IntegerType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("salt", T.IntegerType())]
+    read_in = marked.select("id", "text", "anchors", "crowded", "several")
+    # Windows of few documents meet by digest, and the least id among them is the first.
+    few = map_batches(read_in, index(False), T.StructType(fields)).drop("salt")
+    plain = few.withColumn("first", F.min("id").over(Window.partitionBy("hi", "lo"))).where("id > first")
+    # Windows that very many may hold: the least id is combined before it is moved, and goes to every salt of its window, so
+    # that the places of one window are in as many tasks.
+    many = map_batches(read_in.where(F.size("crowded") > 0), index(True), T.StructType(fields))
+    least = many.groupBy("hi", "lo").agg(F.min("id").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = many.join(least, ["hi", "lo", "salt"]).where("id > first")
+    places = [df.select("id", "digest", "place") for df in (plain, salted)]
+    found = places[0].unionByName(places[1]).groupBy("id").agg(F.collect_list(F.struct("digest", "place")).alias("found"))
 
     def parse(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {"id": [], "digest": [], "n_removed": [], "kept": []}
