@@ -209,11 +209,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut_schema = T.StructType([*key, T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     parts = map_batches(marked.select("id", "text", "several").join(found, "id").select("id", "text", "several", "found"), parse, cut_schema).dropDuplicates(["id", "digest"])
 
-    copies = long_enough.select("id", "sha").join(heads, "sha").where("id > head").select("id", F.col("sha").alias("copy_of")).distinct()
+    # a row that is not its text's head is a copy; asked by id and text, so that no text is a hot key
+    is_head = heads.select(F.col("head").alias("head_id"), F.col("sha").alias("head_sha"))
     everything = parsed.select("id", "digest", "n_words", "sha").join(parts, ["id", "digest"], "left")
-    is_copy = everything["sha"] == copies["copy_of"]
-    everything = everything.join(copies.withColumnRenamed("id", "copy_id"), (F.col("id") == F.col("copy_id")) & is_copy, "left")
-    whole = F.col("copy_of").isNotNull()
+    everything = everything.join(is_head, (F.col("id") == F.col("head_id")) & (F.col("sha") == F.col("head_sha")), "left")
+    whole = (F.col("n_words") >= window) & F.col("id").isNotNull() & F.col("head_id").isNull()
     return everything.select(
         F.col("id").alias(id_col),
         "n_words",
