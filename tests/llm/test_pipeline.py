@@ -1,6 +1,9 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from veriquill.llm import mixing
 from veriquill.llm.simhash import near_duplicates
 from veriquill.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -51,3 +54,43 @@ def test_stages_on_empty_tables(spark, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_sequences_follow_the_mixture(spark, tmp_path):
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(350)), lambda k: F.concat(F.lit("w"), (F.col("id") * k) % 97)))
+    source = F.when(F.col("id") % 10 < 3, 0).otherwise(1 + F.floor(F.col("id") / 10) % 20).cast("string")
+    rows = spark.range(0, 12_000, 1, 6).select(F.col("id").alias("doc_id"), words.alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("src"), source).alias("source"), F.lit(0).alias("n_chars"))
+    rows.write.parquet(f"{tmp_path}/unmixed")
+    stages, unmixed = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{tmp_path}/unmixed")
+    stages["mixing"](spark, unmixed, str(tmp_path)).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    of = {r.doc_id: r.source for r in unmixed.select("doc_id", "source").collect()}
+
+    def shares(docs):
+        """Per 300 consecutive sequences, the share of ids that come from src0."""
+        pieces = stages["packing"](spark, docs, str(tmp_path)).collect()
+        assert {r.doc_id for r in pieces} == of.keys() and sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+        ids = sorted({r.sequence_id for r in pieces})
+        place, first, total = {s: k // 300 for k, s in enumerate(ids)}, Counter(), Counter()
+        for r in pieces:
+            total[place[r.sequence_id]] += r.length
+            first[place[r.sequence_id]] += r.length * (of[r.doc_id] == "src0")
+        return [first[k] / total[k] for k in sorted(total)], {(r.doc_id, r.start, r.sequence_id) for r in pieces}, ids
+
+    got, pieces, ids = shares(mixed)
+    assert {i >> 31 for i in ids} == {0, 1, 2}
+    half = len(got) // 2  # no source has run out
+    assert half >= 3 and all(abs(x - 0.2) < 0.05 for x in got[:half]), got
+    plain, others, _ = shares(unmixed)
+    assert all(abs(x - 0.3) < 0.05 for x in plain[:half]) and pieces != others
+
+
+def test_ranks_are_those_of_the_layout(spark, tmp_path):
+    docs = frame(spark, texts() + [(5000 + k, prose(k, 50)) for k in range(300)]).select(*COLUMNS)
+    want = mixing.schedule(docs, {"a": 3, "b": 1, "*": 2}, block_bytes=2000).orderBy("mix_slot", "mix_start", "doc_id").collect()
+    laid = mixing.mix(docs, {"a": 3, "b": 1, "*": 2}, block_bytes=2000)
+    laid.write.option("maxRecordsPerFile", 20).parquet(f"{tmp_path}/laid")
+    got = sorted(mixing.ranked(spark.read.parquet(f"{tmp_path}/laid")).collect(), key=lambda r: r.mix_rank)
+    assert [r.mix_rank for r in got] == list(range(docs.count()))
+    assert [r.doc_id for r in got if r.doc_id is not None and r.doc_id >= 5000] == [r.doc_id for r in want if r.doc_id is not None and r.doc_id >= 5000]
+    assert mixing.ranked(docs.limit(0)).collect() == []

@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,3 +138,25 @@ def mix(df: DataFrame, weights: Mapping[str, int], id_col: str = "doc_id", text_
     plain, names = positional(df, id_col, text_col, source_col)
     scheduled = schedule(plain, weights, *names, **options)
     return renamed_back(scheduled.repartitionByRange("mix_slot", "mix_start").sortWithinPartitions("mix_slot", "mix_start", names[0]), df)
+
+
+def ranked(df: DataFrame, name: str = "mix_rank") -> DataFrame:
+    """df with the place of each row, from 0, in the order in which it was written: what `mix` laid out, read again.
+
+    Spark reads files in any order, so the place comes from the number in a file's name and the row's place in it; only
+    the files' sizes in rows go to the driver. Rows that come from no file count in the order of their partitions.
+    """
+    try:
+        at = df.select("*", F.col("_metadata.file_path").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+    except AnalysisException:
+        place = F.monotonically_increasing_id()
+        at = df.select("*", F.shiftright(place, 33).cast("string").alias("mix_file"), place.bitwiseAND((1 << 33) - 1).alias("mix_row"))
+    sizes = at.groupBy("mix_file").agg(F.max("mix_row").alias("last")).collect()
+    number = lambda path: int(m[1]) if (m := re.search(r"(?:part-|^)(\d+)[^/]*$", path)) else -1
+    told, before = [], 0
+    for r in sorted(sizes, key=lambda r: (number(r["mix_file"]), r["mix_file"])):
+        told.append({"mix_path": r["mix_file"], "mix_before": before})
+        before += r["last"] + 1
+    files = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(told)), "array<struct<mix_path: string, mix_before: long>>")))
+    found = at.join(F.broadcast(files), at["mix_file"] == files["mix_path"])
+    return found.select(*[at[c] for c in df.columns if c.lower() != name.lower()], (F.col("mix_before") + F.col("mix_row")).alias(name))

@@ -103,6 +103,7 @@ def pack(
     end_id: int = 1,
     group_docs: int = GROUP_DOCS,
     seed: int = SEED,
+    rank_col: str | None = None,
 ) -> DataFrame:
     """Sequences of at most `length` ids: per piece its document, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -110,11 +111,13 @@ def pack(
     first-fit decreasing within groups of about group_docs documents, chosen by a seeded hash of id and text, so that a
     group's task is bounded however long its documents are: only lengths and checksums are moved, never ids or texts.
 
+    With rank_col, which numbers the rows from 0, a group is a run of group_docs ranks instead: sequence ids rise with the
+    groups, and the sequences of a group are numbered in a seeded random order, since first-fit decreasing goes by length.
+
     A null or empty text is the end id alone. Repeated rows are packed as often as they come; null ids are kept. An
     empty table gives an empty result. Other columns of df are ignored.
     """
     bounded_batches(df.sparkSession)
-    groups = max(1, -(-df.count() // group_docs))
     fields = [id_field(df, id_col), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens"))]
     cut_schema = T.StructType([T.StructField("bucket", T.LongType()), *fields])
     packed_schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -142,13 +145,20 @@ def pack(
                 [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, pa.int64()) for c in (starts, lengths, crcs, totals))], schema=out
             )
 
-    bucket = F.pmod(F.xxhash64(F.lit(seed), df[id_col].cast("string"), df[text_col]), F.lit(groups))
+    if rank_col is None:
+        groups = max(1, -(-df.count() // group_docs))
+        bucket = F.pmod(F.xxhash64(F.lit(seed), df[id_col].cast("string"), df[text_col]), F.lit(groups))
+    else:
+        bucket = F.floor(df[rank_col] / group_docs).cast("long")
 
     def group(key, rows):
         keys = [rows.column(c).to_pylist() for c in (id_col, "ids_crc32", "doc_tokens", "start")]
         order = sorted(range(rows.num_rows), key=lambda i: (keys[0][i] is None, *(k[i] or 0 for k in keys)))
         rows = rows.take(pa.array(order, pa.int64()))
         bins, offsets = first_fit_decreasing(rows.column("length").to_pylist(), length)
+        if rank_col is not None:
+            numbers = np.random.default_rng([seed, key[0].as_py()]).permutation(max(bins) + 1).tolist()
+            bins = [numbers[b] for b in bins]
         base = key[0].as_py() << 31  # a group has fewer bins, so ids of different groups differ
         return rows.drop_columns(["bucket"]).append_column("sequence_id", pa.array([base + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
