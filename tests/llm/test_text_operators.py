@@ -166,6 +166,37 @@ def test_clean_texts_have_no_spans(text):
     assert pii.base_spans(text) == [] and pii.added_spans(text, []) == []
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("ask jane at example.com today", "jane at example.com"),
+        ("ask jean arobase exemple.fr today", "jean arobase exemple.fr"),
+        ("ask juan arroba ejemplo.es today", "juan arroba ejemplo.es"),
+        ("call plus 49 155 1234567 now", "plus 49 155 1234567"),
+        ("(four-111-1111-1111-1111)", "four-111-1111-1111-1111"),
+        ("4111\u00a01111\u00a01111\u00a01111", "4111\u00a01111\u00a01111\u00a01111"),
+        ("ask jane@example\u00b7com today", "jane@example\u00b7com"),
+        ("10.0.0.¹", "10.0.0.¹"),
+    ],
+)
+def test_plain_disguises_are_found(text, found):
+    assert [text[a:b] for a, _, b in pii.added_spans(text, pii.base_spans(text))] == [found]
+
+
+def test_the_gate_loses_nothing(monkeypatch):
+    import random
+
+    r = random.Random(8)
+    words = [*pii.AT_WORDS, *pii.DOT_WORDS, *pii.PLUS_WORDS, *pii.NAMED, "jane", "example.com", "a@b", "the", "FİVE", "ſix", "Arobase", "x\u0301", "@", "[at]", "( dot )", "{.}", ".com", "4111", "10.0.0", "1", "7"]
+    marks = [" ", " ", " ", "-", ",", ".", "(", ")", "“", "—", "\n", "\u00a0", "\u00b7", "", "\x1f", "\u200b"]
+    texts = ["".join(r.choice(words) + r.choice(marks) for _ in range(r.randint(2, 9))) for _ in range(6000)]
+    texts += [f"1.2.3.{c}" for c in [*pii.LOOKALIKES, *pii.INVISIBLE]] + [f"jane@ex{c}ample.com" for c in pii.LOOKALIKES]
+    gated = [pii.added_spans(t, pii.base_spans(t)) for t in texts]
+    monkeypatch.setattr(pii, "disguised", lambda text: True)
+    whole = [pii.added_spans(t, pii.base_spans(t)) for t in texts]
+    assert sum(map(bool, whole)) > 100 and [t for t, a, b in zip(texts, gated, whole) if a != b] == []
+
+
 def test_redaction_keeps_rows_and_counts(spark):
     df = frame(spark, [(1, "to a@b.cd or 1.2.3.4"), (2, None), (None, ""), (2, "clean")])
     got = pii.redact(df).collect()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
 from bisect import bisect_right
 
@@ -110,25 +111,43 @@ _GAP = r"\s{0,3}"
 #: A digit or its name, for runs of three or more of which one at least is spelled.
 _UNIT = rf"(?:\b(?:{_NAME})\b|[0-9])"
 RUN = rf"(?:\b(?:{_PLUS})\b[\s-]{{0,3}})?{_UNIT}(?:(?:[\s,-]{{0,2}}|\s{{1,3}}(?:{_DOT})\s{{1,3}}){_UNIT}){{2,}}"
+BARE_AT = rf"(?<=\w)\s{{1,3}}(?:{_AT})\s{{1,3}}(?!(?:{'|'.join(NO_HOST)})\b)(?=[\w-]+(?:\s{{1,3}}(?:{_DOT})\s{{1,3}}|{_GAP}{_OPEN}{_GAP}(?:{_DOT}|\.)|\.\w))"
 STAGES = re.compile(
     rf"(?P<at>{_GAP}{_OPEN}{_GAP}(?:{_AT}|@){_GAP}{_CLOSE}{_GAP})"
     rf"|(?P<dot>{_GAP}{_OPEN}{_GAP}(?:{_DOT}|\.){_GAP}{_CLOSE}{_GAP})"
-    rf"|(?P<bareat>(?<=\w)\s{{1,3}}(?:{_AT})\s{{1,3}}(?!(?:{'|'.join(NO_HOST)})\b)(?=[\w-]+(?:\s{{1,3}}(?:{_DOT})\s{{1,3}}|{_GAP}{_OPEN}{_GAP}(?:{_DOT}|\.)|\.\w)))"
+    rf"|(?P<bareat>{BARE_AT})"
     rf"|(?P<baredot>(?<=\w)\s{{1,3}}(?:{_DOT})\s{{1,3}}(?=\w))"
     rf"|(?P<spaced>(?<=\w)\s{{1,3}}@\s{{0,3}}(?=\w)|(?<=\w)@\s{{1,3}}(?=\w+\.\w))"
     rf"|(?P<run>{RUN})",
     re.I,
 )
 UNIT = re.compile(rf"(?P<plus>\b(?:{_PLUS})\b)|\b(?P<name>{_NAME})\b|(?P<digit>[0-9])", re.I)
-#: A text can only hold something new if it has one of these, or a spelled digit or dot among its words.
-ODD = re.compile(r"[^\x00-¬®-İĲ-ɐ‘-‟•…€]")
-BRACKETED = re.compile(rf"{_OPEN}\s{{0,3}}(?:{_AT}|{_DOT}|@|\.)\s{{0,3}}{_CLOSE}", re.I)
-SPACED_AT = re.compile(r"\s@|@\s")
-APART = str.maketrans(",-", "  ")
 
 
+def _ascii_of(c: str) -> str | None:
+    """What a character is rewritten to; None if it stays."""
+    if c in INVISIBLE:
+        return ""
+    if (new := LOOKALIKES.get(c)) is not None:
+        return new
+    if c.isascii():
+        return None
+    if (d := unicodedata.digit(c, None)) is not None:
+        return str(d)
+    new = unicodedata.normalize("NFKC", c)
+    return new if new.isascii() else None
+
+
+#: Every character that is rewritten, and to what.
+FOLDED = {c: new for c in map(chr, range(0x80, sys.maxunicode + 1)) if (new := _ascii_of(c)) is not None}
+#: A text can only hold something new if one of these patterns matches, or one of these words stands in it.
+ODD = re.compile(f"[{''.join(map(re.escape, FOLDED))}]")
+BRACKETED = re.compile(rf"{_OPEN}{_GAP}(?:{_AT}|{_DOT}|@|\.){_GAP}{_CLOSE}", re.I)
+SPACED_AT = re.compile(r"\s@|@\s")
+HOST_AT = re.compile(BARE_AT, re.I)
+WORD = re.compile(r"\w+")
 SPELLED = re.compile(RUN, re.I)
-DOTS = frozenset(DOT_WORDS)
+ATS, DOTS, UNITS = frozenset(AT_WORDS), frozenset(DOT_WORDS), frozenset([*NAMED, *PLUS_WORDS])
 
 
 class Copy:
@@ -169,18 +188,8 @@ def fold_characters(text: str) -> Copy:
     """First transducer: look-alikes and compatibility forms to ASCII, invisible characters to nothing."""
     out = Copy(text)
     for m in ODD.finditer(text):
-        c = m[0]
-        if c in INVISIBLE:
-            new = ""
-        elif (new := LOOKALIKES.get(c)) is None:
-            if (d := unicodedata.digit(c, None)) is not None:
-                new = str(d)
-            else:
-                new = unicodedata.normalize("NFKC", c)
-                if new == c or not new.isascii():
-                    continue
         out.keep(m.start())
-        out.put(new, m.end())
+        out.put(FOLDED[m[0]], m.end())
     out.keep(len(text))
     return out
 
@@ -198,7 +207,7 @@ def fold_words(text: str) -> Copy:
                     out.keep(u.start())
                 else:
                     out.put("." if text[out.read : u.start()].strip(" \t\n\r,-") else "", u.start())
-                out.put("+" if u["plus"] else u["digit"] or NAMED[u["name"].lower()], u.end())
+                out.put("+" if u["plus"] else u["digit"] or NAMED[lowered(u["name"])], u.end())
         else:
             out.keep(m.start())
             out.put("@" if m.lastgroup in ("at", "bareat", "spaced") else ".", m.end())
@@ -206,13 +215,19 @@ def fold_words(text: str) -> Copy:
     return out
 
 
+def lowered(text: str) -> str:
+    """Lower case as patterns without case see it, to which a dotted capital I is an i."""
+    return text.lower().replace("i\u0307", "i")
+
+
 def disguised(text: str) -> bool:
+    """Whether a transducer may rewrite something; a text for which this is false is its own copy."""
     if not text.isascii() and ODD.search(text) or BRACKETED.search(text) or "@" in text and SPACED_AT.search(text):
         return True
-    words = text.lower().translate(APART).split()
-    if not DOTS.isdisjoint(words):
+    words = set(WORD.findall(lowered(text)))
+    if not DOTS.isdisjoint(words) or not ATS.isdisjoint(words) and HOST_AT.search(text):
         return True
-    return not NAMED.keys().isdisjoint(words) and any(not all(u["digit"] for u in UNIT.finditer(m[0])) for m in SPELLED.finditer(text))
+    return not UNITS.isdisjoint(words) and any(not all(u["digit"] for u in UNIT.finditer(m[0])) for m in SPELLED.finditer(text))
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
