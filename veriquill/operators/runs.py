@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriquill.functions.arrow import normalise_text, sequence_ratio
+from veriquill.functions.arrow import normalise_text, sequences_alike
 from veriquill.functions.columns import json_kind
 
 # What a loop's outcome makes of the run, and the reason it records.
@@ -50,7 +50,7 @@ def verdicts(answers: DataFrame) -> DataFrame:
 def summaries_match(a: Column, b: Column) -> Column:
     """Whether two summaries may be of one study: one holds the other, or they are alike by 0.6; with nothing to compare, yes."""
     x, y = normalise_text(a), normalise_text(b)
-    return (x == "") | (y == "") | F.contains(x, y) | F.contains(y, x) | (sequence_ratio(x, y) >= 0.6)
+    return (x == "") | (y == "") | F.contains(x, y) | F.contains(y, x) | sequences_alike(x, y, F.lit(0.6))
 
 
 def identity_text(summary: Column, role_value: Column, title: Column, doi: Column) -> Column:
