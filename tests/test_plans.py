@@ -29,3 +29,14 @@ def test_alikeness_is_that_of_the_ratio():
         assert arrow._alike(a, b, 0.6) == want
         seen.add(want)
     assert seen == {True, False}
+
+
+def test_evidence_tags_are_read_to_the_end(spark, tmp_path):
+    import re
+
+    pages = [(1, "x" * 5000 + "<li>late</li>"), (2, "<li>" + "y" * 4500 + "</li><li>z</li>"), (3, "<li>a<b>c</b></li>" + "w" * 4000), (4, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.n_quotes, r.first_quote, r.plain) for r in queries.QUERIES["evidence_tags"](spark, str(tmp_path)).collect()}
+    for i, html in pages[:3]:
+        found, inner = re.findall(r"(?s)<li>(.*?)</li>", html), re.findall(r"(?s)<li>([^<]*)</li>", html)
+        assert got[i] == (len(found), found[0], found == inner and "<li><li>" not in html)

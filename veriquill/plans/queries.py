@@ -92,7 +92,7 @@ def nearest_wording(spark, d):
 regexp_extract_all(e, '(?s)<q>(.*?)</q>', 1) = regexp_extract_all(e, '(?s)<q>([^<]*)</q>', 1) AND NOT contains(e, '<q><q>') AS plain
 FROM (SELECT page_id, replace(replace(substr(html, 1, 4000), '<li>', '<q>'), '</li>', '</q>') AS e FROM pages)""")
 def evidence_tags(spark, d):
-    e = t(spark, d, "pages").select("page_id", F.replace(F.replace(F.substring("html", 1, 4000), F.lit("<li>"), F.lit("<q>")), F.lit("</li>"), F.lit("</q>")).alias("e"))
+    e = t(spark, d, "pages").select("page_id", F.replace(F.replace("html", F.lit("<li>"), F.lit("<q>")), F.lit("</li>"), F.lit("</q>")).alias("e"))
     found = columns.tag_texts(F.col("e"), "q")
     inner = F.regexp_extract_all("e", F.lit("(?s)<q>([^<]*)</q>"), F.lit(1))
     return e.select("page_id", F.size(found).cast("long").alias("n_quotes"), F.get(found, F.lit(0)).alias("first_quote"), ((found == inner) & ~F.contains("e", F.lit("<q><q>"))).alias("plain"))
