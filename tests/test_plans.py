@@ -3,7 +3,7 @@
 from difflib import SequenceMatcher
 
 from veriquill.functions import arrow
-from veriquill.functions.quotes import normalised
+from veriquill.functions.quotes import nearest_wording, normalised
 from veriquill.plans import queries
 
 from .llm.fixtures import prose
@@ -40,3 +40,14 @@ def test_evidence_tags_are_read_to_the_end(spark, tmp_path):
     for i, html in pages[:3]:
         found, inner = re.findall(r"(?s)<li>(.*?)</li>", html), re.findall(r"(?s)<li>([^<]*)</li>", html)
         assert got[i] == (len(found), found[0], found == inner and "<li><li>" not in html)
+
+
+def test_nearest_wording_searches_whole_quotes(spark, tmp_path):
+    quote = prose(7, 36).replace("\n", " ").strip()
+    text = prose(8, 80) + " " + quote[:80] + " " + prose(9, 80) + " " + quote + " " + prose(10, 80)
+    assert 200 < len(quote) < 300
+    spark.createDataFrame([(4, quote)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.nearest for r in queries.QUERIES["nearest_wording"](spark, str(tmp_path)).collect()]
+    # the prefix alone stands nearest at its first place, the whole quote at its second
+    assert got == [nearest_wording(quote.replace("e", "o"), text)] and len(got[0]) > 150

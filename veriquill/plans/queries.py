@@ -81,7 +81,7 @@ def context_windows(spark, d):
 @query()
 def nearest_wording(spark, d):
     papers = t(spark, d, "documents").select("doc_id", "text")
-    broken = _near_pairs(spark, d).withColumn("quote", F.regexp_replace(F.substring("quote", 1, 80), "e", "o"))
+    broken = _near_pairs(spark, d).withColumn("quote", F.regexp_replace("quote", "e", "o"))
     return broken.join(papers, "doc_id").select("item_id", "doc_id", arrow.nearest_wording("quote", "text").alias("nearest"))
 
 
