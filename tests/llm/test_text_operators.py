@@ -183,6 +183,53 @@ def test_plain_disguises_are_found(text, found):
     assert [text[a:b] for a, _, b in pii.added_spans(text, pii.base_spans(text))] == [found]
 
 
+@pytest.mark.parametrize("gap", [1, 3, 4, 10, 5000])
+def test_blanks_around_a_disguise_have_no_bound(gap):
+    b = " " * gap
+    for found in (f"john{b}[at]{b}example{b}[dot]{b}com", f"john{b}at{b}example{b}dot{b}com", f"john{b}@{b}example.com", f"plus{b}four{b}nine one five five{b}one two three four five six"):
+        text = f"write {found}, or not"
+        assert [text[a:b] for a, _, b in pii.added_spans(text, pii.base_spans(text))] == [found]
+
+
+def test_long_runs_are_read_in_linear_time():
+    import time
+
+    n = 100_000
+    for text in (" " * n + "[at", "[ " * n, "a" + " " * n, ("a" + " " * 50) * (n // 50), "one " * n, "a at " * n, "a at " + "b" * n, "plus" + "-" * n, "a@" + " " * n, "1" + " " * n + "x"):
+        began = time.process_time()
+        pii.added_spans(text, [])
+        assert time.process_time() - began < 20
+
+
+def test_planted_disguises_are_found_where_they_were_planted():
+    """Every identifier is disguised character by character, so that its place and its plain form are known."""
+    import random
+
+    r = random.Random(21)
+    alike = defaultdict(list)
+    for c, plain in pii.LOOKALIKES.items():
+        alike[plain].append(c)
+    names = {str(d): n for d, n in enumerate(("zero", "one", "zwei", "trois", "four", "fünf", "six", "siete", "eight", "neuf"))}
+    at, dot = ("[at]", "( at )", " at ", "{AT}", " arobase ", "@"), ("[dot]", " ( dot ) ", " dot ", " punkt ", ".")
+    for _ in range(600):
+        if r.random() < 0.6:
+            local, host = "".join(r.choice("bdfgjqz") for _ in range(5)), "".join(r.choice("bdfgjqz") for _ in range(6))
+            plain, shown, kind = f"{local}@{host}.net", local + (a := r.choice(at)) + host + r.choice(dot[:-1] if a == "@" else dot[2:3] if a.startswith(" ") else dot) + "net", "email"
+        else:
+            digits = [r.choice("123456789"), *(r.choice("0123456789") for _ in range(10))]
+            plain, shown, kind = "+" + "".join(digits), "plus " + " ".join(names[d] if r.random() < 0.7 or k == 0 else d for k, d in enumerate(digits)), "phone"
+        if kind == "email" and r.random() < 0.3:
+            i = r.randrange(3)
+            shown = shown[:i] + r.choice(alike.get(shown[i], [shown[i]])) + shown[i + 1 :]
+        if kind == "email" and r.random() < 0.3:
+            shown = shown[:2] + r.choice(pii.INVISIBLE) + shown[2:]
+        before, after = prose(r.randrange(99), 6) + " : ", " ; " + prose(r.randrange(99), 6)
+        text = before + shown + after
+        base = pii.base_spans(text)
+        spans = sorted(base + pii.added_spans(text, base))
+        assert [(pii.KINDS[k], text[a:b]) for a, k, b in spans] == [(kind, shown)], text
+
+
 def test_the_gate_loses_nothing(monkeypatch):
     import random
 

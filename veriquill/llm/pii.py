@@ -106,18 +106,19 @@ NAMED = {name: str(d) for d, names in enumerate(DIGIT_NAMES) for name in names}
 _NAME = "|".join(sorted(NAMED, key=lambda n: (-len(n), n)))
 _AT, _DOT, _PLUS = "|".join(AT_WORDS), "|".join(DOT_WORDS), "|".join(PLUS_WORDS)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-#: White space around a disguise is read over, but not without bound.
-_GAP = r"\s{0,3}"
+#: White space around a disguise, however much of it. A run of blanks is entered at its beginning only and never given
+#: back, so that reading stays linear in the text.
+_GAP, _LEAD = r"\s*+", r"(?:(?<!\s)\s++)?"
 #: A digit or its name, for runs of three or more of which one at least is spelled.
 _UNIT = rf"(?:\b(?:{_NAME})\b|[0-9])"
-RUN = rf"(?:\b(?:{_PLUS})\b[\s-]{{0,3}})?{_UNIT}(?:(?:[\s,-]{{0,2}}|\s{{1,3}}(?:{_DOT})\s{{1,3}}){_UNIT}){{2,}}"
-BARE_AT = rf"(?<=\w)\s{{1,3}}(?:{_AT})\s{{1,3}}(?!(?:{'|'.join(NO_HOST)})\b)(?=[\w-]+(?:\s{{1,3}}(?:{_DOT})\s{{1,3}}|{_GAP}{_OPEN}{_GAP}(?:{_DOT}|\.)|\.\w))"
+RUN = rf"(?:\b(?:{_PLUS})\b[\s-]*+)?{_UNIT}(?:(?:[\s,-]*+|\s++(?:{_DOT})\s++){_UNIT}){{2,}}"
+BARE_AT = rf"(?<=\w)\s++(?:{_AT})\s++(?!(?:{'|'.join(NO_HOST)})\b)(?=[\w-]++(?:\s++(?:{_DOT})\s|{_GAP}{_OPEN}{_GAP}(?:{_DOT}|\.)|\.\w))"
 STAGES = re.compile(
-    rf"(?P<at>{_GAP}{_OPEN}{_GAP}(?:{_AT}|@){_GAP}{_CLOSE}{_GAP})"
-    rf"|(?P<dot>{_GAP}{_OPEN}{_GAP}(?:{_DOT}|\.){_GAP}{_CLOSE}{_GAP})"
+    rf"(?P<at>{_LEAD}{_OPEN}{_GAP}(?:{_AT}|@){_GAP}{_CLOSE}{_GAP})"
+    rf"|(?P<dot>{_LEAD}{_OPEN}{_GAP}(?:{_DOT}|\.){_GAP}{_CLOSE}{_GAP})"
     rf"|(?P<bareat>{BARE_AT})"
-    rf"|(?P<baredot>(?<=\w)\s{{1,3}}(?:{_DOT})\s{{1,3}}(?=\w))"
-    rf"|(?P<spaced>(?<=\w)\s{{1,3}}@\s{{0,3}}(?=\w)|(?<=\w)@\s{{1,3}}(?=\w+\.\w))"
+    rf"|(?P<baredot>(?<=\w)\s++(?:{_DOT})\s++(?=\w))"
+    rf"|(?P<spaced>(?<=\w)\s++@{_GAP}(?=\w)|(?<=\w)@\s++(?=\w++\.\w))"
     rf"|(?P<run>{RUN})",
     re.I,
 )
@@ -206,7 +207,7 @@ def fold_words(text: str) -> Copy:
                 if out.read < m.start():
                     out.keep(u.start())
                 else:
-                    out.put("." if text[out.read : u.start()].strip(" \t\n\r,-") else "", u.start())
+                    out.put("." if WORD.search(text, out.read, u.start()) else "", u.start())
                 out.put("+" if u["plus"] else u["digit"] or NAMED[lowered(u["name"])], u.end())
         else:
             out.keep(m.start())
