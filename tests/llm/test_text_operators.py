@@ -111,6 +111,85 @@ def test_neighbours_decide_short_blocks():
     assert "tiny" not in html_text.main_text(f"{prose_block}{links}<div>tiny</div>{links}")
 
 
+PROSE = "<p>The cat sat on the mat and it was of the opinion that this is a good place to be for all the day.</p><p>It is the way of the world that all of this was to be in the end, as they say.</p>"
+PLAIN = html_text.main_text(f"<article>{PROSE}</article>")
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "post no-sidebar", "search-results", "article-comments-open", "has-banner", "page social-ready", "sidebar", "noticeBoard", "cookie-banner"])
+def test_a_wrapper_keeps_the_page_whatever_its_name(name):
+    around = '<nav><a href="/">Home</a></nav><div class="sidebar"><p>The sidebar is of the opinion that it is not the article at all, and it is to go.</p></div>'
+    assert PLAIN.count("\n") == 1
+    for page in (f'<div class="{name}">{PROSE}</div>', f'<div id="{name}">{PROSE}{around}</div>', f'<div class="{name}"><article>{PROSE}</article></div>{around}'):
+        assert html_text.main_text(page) == PLAIN
+
+
+@pytest.mark.parametrize("name", ["sidebar", "comments", "comment-list", "commentList", "ad", "ad-slot", "cookie-banner", "site-footer", "related-posts", "share", "newsletter-form", "sidebar-left"])
+def test_marked_elements_beside_the_article_go(name):
+    assert html_text.main_text(f'<div>{PROSE}</div><div class="{name}">{PROSE}{PROSE}</div>') == PLAIN
+    assert html_text.main_text(f'<article>{PROSE}<div class="{name}">{PROSE}</div></article>') == PLAIN
+    assert html_text.main_text(f'<article><p>One <span class="{name}">not this</span> and two.</p>{PROSE}</article>') == "One and two.\n" + PLAIN
+
+
+def test_names_that_only_hold_a_mark_keep_their_paragraphs():
+    for name in ("notice-period", "share-price", "menu-costs", "searching"):
+        assert html_text.main_text(f'<article>{PROSE}<p class="{name}">It is of three months.</p></article>') == PLAIN + "\nIt is of three months."
+
+
+def test_languages_without_listed_stop_words():
+    it = "Il gatto nero dormiva sopra una vecchia sedia di legno mentre fuori pioveva senza sosta, e nessuno osava svegliarlo."
+    zh = "今天天气很好，我们去公园散步，看到了很多花和树，孩子们在草地上玩耍，老人们在长椅上聊天。" * 2
+    for text in (it, zh, "кот спал на старом стуле, пока за окном весь день шёл дождь и никто не решался его разбудить."):
+        page = f'<ul><li><a href="/">Home</a></li></ul><div><p>{text}</p><p>{text}</p></div><div><p>We use the cookies for all of you and it is that.</p></div>'
+        assert html_text.main_text(page).split("\n")[:2] == [text, text]
+
+
+def test_the_second_pass_is_the_plain_one():
+    import random
+
+    r = random.Random(12)
+    for _ in range(2000):
+        n = r.randint(0, 12)
+        labels, inside = [r.choice([None, None, True, False]) for _ in range(n)], [r.random() < 0.3 for _ in range(n)]
+        want = []
+        for i, label in enumerate(labels):
+            decided = [j for j in range(n) if labels[j] is not None]
+            sides = [[j for j in decided if j < i][-1:], [j for j in decided if j > i][:1]]
+            near = sorted((abs(i - j), not labels[j]) for side in sides for j in side)
+            want.append(label if label is not None else (bool(near) and not near[0][1]) or (True not in labels and inside[i]))
+        assert html_text.spread(labels, inside) == want
+
+
+def labelled_pages():
+    """Pages put together from parts, with their main text: layouts as sites of several kinds have them, in five languages."""
+    import random
+
+    r = random.Random(31)
+    sentences = {
+        "en": "The river rose in the night and by morning it had reached the lower streets of the town. Nobody had been warned, and many of the shops were open as usual.",
+        "de": "Der Fluss stieg in der Nacht und am Morgen hatte er die unteren Straßen der Stadt erreicht. Niemand war gewarnt, und viele der Läden waren wie immer offen.",
+        "fr": "La rivière est montée dans la nuit et au matin elle avait atteint les rues basses de la ville. Personne n'avait été averti, et les magasins étaient ouverts.",
+        "es": "El río subió en la noche y por la mañana había llegado a las calles bajas de la ciudad. Nadie había sido avisado, y las tiendas estaban abiertas.",
+        "it": "Il fiume salì nella notte e al mattino aveva raggiunto le strade basse della città. Nessuno era stato avvertito, e molti negozi erano aperti come sempre.",
+    }
+    frames = ["<article>{}</article>", "<main>{}</main>", '<div class="content with-sidebar">{}</div>', "<div>{}</div>", '<div id="page" class="has-banner"><section>{}</section></div>', '<form id="aspnetForm">{}</form>']
+    for k in range(300):
+        lang, frame_of = list(sentences)[k % 5], frames[k % len(frames)]
+        paragraphs = [f"{sentences[lang]} {j}." * r.randint(1, 3) for j in range(r.randint(2, 6))]
+        notes = [f'<div class="{c}"><p>{sentences[lang]}</p></div>' for c in r.sample(["sidebar", "comments", "cookie-banner", "related-posts", "ad", "newsletter"], 2)]
+        menu = "<ul>" + "".join(f'<li><a href="/{j}">Item {j} of the menu</a></li>' for j in range(8)) + "</ul>"
+        body = "<h1>The flood</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + (notes[0] if r.random() < 0.5 else "")
+        yield f'<html><body><header>{menu}</header><nav>{menu}</nav>{frame_of.format(body)}{notes[1]}<div>{menu}</div><footer>© 2020 all rights of the site</footer></body></html>', "\n".join(["The flood", *paragraphs])
+
+
+def test_words_of_labelled_pages():
+    found = kept = whole = 0
+    for page, text in labelled_pages():
+        got, want = Counter(html_text.main_text(page).split()), Counter(text.split())
+        found, kept, whole = found + (got & want).total(), kept + got.total(), whole + want.total()
+    print(f"precision {found / kept:.4f}, recall {found / whole:.4f}")
+    assert found / kept > 0.98 and found / whole > 0.98
+
+
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -506,3 +585,49 @@ def test_mixture_keeps_and_orders_every_row(spark):
         mixing.schedule(df, {"a": 1})
     with pytest.raises(ValueError):
         mixing.schedule(df, {"a": -1, "*": 2})
+
+
+def test_words_that_differ_late_are_different_features():
+    a, b = toxicity.features("a" * 45), toxicity.features("a" * 40 + "bcdef")
+    assert a[0] != b[0] and a[1:] == b[1:] and toxicity.features("dolt")[0] == "=dolt"
+
+
+def test_extreme_values_are_found_again():
+    """Best scores drawn from the distribution itself, those under the least score seen as none."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    for rate, k in ((1.0, 0.01), (0.7, 0.05), (2.0, 0.3)):
+        n = r.integers(20, 2000, 20_000)
+        best = np.log(k * n / -np.log(r.random(len(n)))) / rate
+        best[best < toxicity.LEAST] = 0
+        got = toxicity.extreme_values(best, n)
+        assert abs(got[0] / rate - 1) < 0.05 and abs(got[1] / k - 1) < 0.25
+        model = toxicity.ToxicityModel(rate=got[0], k=got[1])
+        surprising = np.mean([model.surprise(s, int(m)) > 3 for s, m in zip(best, n) if s > 0])
+        assert abs(surprising * (best > 0).mean() - np.exp(-3)) < 0.01
+    assert toxicity.extreme_values(np.zeros(0), np.zeros(0, int))[0] > 0
+
+
+def test_toxicity_scores_do_not_fall_with_evidence():
+    model = toxicity.ToxicityModel(without=0.1, intercept=-9.0, slope=1.4)
+    found = [model.probability(e / 10) for e in range(200)]
+    assert found == sorted(found) and model.probability(0) == 0.1 and 0 <= min(found) and max(found) <= 1
+
+
+def test_equal_evidence_has_equal_scores(spark):
+    model = toxicity.ToxicityModel({"=dolt": 5.0, "=knave": 5.0}, without=0.01, intercept=-3.0, slope=1.0)
+    rows = [(1, "a dolt here"), (2, "a knave here"), (3, "here a dolt"), (4, None), (5, ""), (6, "dolt " * 30_000)]
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(frame(spark, rows), model).collect()}
+    assert got[1] == got[2] == got[3] and got[4] == got[5] == 0.01 and got[6] > got[1]
+    assert toxicity.keep_clean(frame(spark, []), model).collect() == []
+
+
+def test_copies_count_once_and_labels_do_not_mix(spark):
+    """Many copies of one toxic text teach no more than one; a clean text with a toxic copy of its beginning stays clean."""
+    rows, labels = labelled(spark)
+    once = toxicity.fit_toxicity(frame(spark, rows), labels)
+    copies = [(10_000 + k, rows[4][1]) for k in range(300)]
+    more = labels.union(spark.createDataFrame([(i, 1, 1, "x") for i, _ in copies], labels.schema))
+    many = toxicity.fit_toxicity(frame(spark, rows + copies), more)
+    assert set(many.scores) == set(once.scores)
