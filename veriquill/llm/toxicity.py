@@ -2,19 +2,23 @@
 
 Tokens get log-odds of toxic against other labelled documents under a Dirichlet prior, less a margin of standard errors,
 so that only well-supported tokens score above nothing; every other token costs a small gap. One linear scan finds all
-maximal scoring segments of a text. Scores are log-likelihood ratios, for which the extreme-value parameter lambda is 1:
-a segment of score S in n tokens has the expectation K n exp(-S) by chance, and what it falls short of one, in logs, is its
-evidence. A document's evidence is that of all its significant segments; a logistic curve makes it a probability.
+maximal scoring segments of a text. The best segment of a text of n tokens that is not toxic has an extreme-value
+distribution: it reaches S with probability p = 1 - exp(-K n exp(-lambda S)). Lambda and K are the most likely ones for
+labelled rows that are not toxic, scored with weights that they had no part in. -log p is a segment's evidence; a
+document's is that of all its significant segments; a logistic curve over the labelled rows that have any, scored likewise, makes it a probability, and
+texts without have the share of toxic ones among theirs. For that the labelled rows are dealt into folds, each scored with the weights of the others; the model's own
+weights come from all.
 
 The model is fitted on a bounded sample of labelled rows (`sample_rows`); scoring covers every token of every text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass, field
-from math import exp, log, log1p
+from math import exp, expm1, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -28,22 +32,25 @@ from veriquill.llm.common import bounded_batches, cut, id_field, map_batches, na
 
 #: Labelled rows that the model is fitted on, those with the smallest hashes of their ids.
 SAMPLE_ROWS = 20_000
-#: Features that the model keeps, the most significant first.
-FEATURES = 20_000
+#: Parts of these that are scored with the weights of the others.
+FOLDS = 3
 #: Weight of the Dirichlet prior as a share of all counts; it is spread as the features are in both classes together.
 PRIOR = 0.01
 #: Standard errors taken off a feature's log-odds, and the least that must remain.
 MARGIN, LEAST = 2.5, 1.0
 #: Cost of a token that is no toxic feature.
 GAP = 0.05
-#: The extreme-value constant K.
-K = 0.01
+#: A segment counts if chance makes one as good in fewer than this share of texts of that length.
+CHANCE = 0.05
+#: Lambda and K of a scale of log-likelihood ratios, and how many observations that prior is worth.
+PRIOR_LAMBDA, PRIOR_K, PRIOR_ROWS = 1.0, 0.01, 5.0
 CUTOFF = 0.3
 #: Features of a word are the word and its beginnings of these lengths, for stems that take many endings.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: A beginning is no stem if one word has more than this share of its toxic counts.
 ONE_WORD = 0.6
 WORD = re.compile(r"\w+")
+#: Longer words are known by their beginning and their digest.
 LONGEST_WORD = 40
 
 
@@ -53,14 +60,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def features(word: str) -> list[str]:
-    return [f"={word[:LONGEST_WORD]}", *(f"^{word[:n]}" for n in BEGINNINGS if len(word) >= n)]
+    whole = word if len(word) <= LONGEST_WORD else f"{word[: BEGINNINGS[-1]]}~{hashlib.blake2b(word.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
+    return [f"={whole}", *(f"^{word[:n]}" for n in BEGINNINGS if len(word) >= n)]
 
 
 @dataclass
 class ToxicityModel:
-    """Feature scores, and the curve from evidence to probability. Bounded by `FEATURES`, whatever the corpus."""
+    """Feature scores, the extreme-value constants, and the curve from evidence to probability. As large as the sample it was fitted on allows."""
 
     scores: dict[str, float] = field(default_factory=dict)
+    rate: float = PRIOR_LAMBDA
+    k: float = PRIOR_K
+    without: float = 0.0  # the probability of a text without evidence
     intercept: float = -30.0
     slope: float = 0.0
 
@@ -82,15 +93,22 @@ class ToxicityModel:
         words = WORD.findall(text.lower())
         return maximal_segments(self.hits(words)), len(words)
 
+    def surprise(self, score: float, n: int) -> float:
+        """-log of the probability that the best of n words' segments reaches the score by chance."""
+        expected = self.k * n * exp(-self.rate * score)
+        return -log(-expm1(-expected)) if expected > 1e-12 else self.rate * score - log(self.k * n)
+
     def evidence(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The text's evidence, and its significant segments with theirs."""
         found, n = self.segments(text)
-        chance = log(max(K * n, 1e-9))
-        strong = [(a, b, s - chance) for a, b, s in found if s > chance]
+        strong = [(a, b, e) for a, b, s in found if (e := self.surprise(s, n)) > -log(CHANCE)]
         return sum(e for _, _, e in strong), strong
 
     def probability(self, evidence: float) -> float:
-        return 1 / (1 + exp(-max(-30.0, min(30.0, self.intercept + self.slope * log1p(evidence)))))
+        """It never falls as evidence grows."""
+        if evidence <= 0:
+            return self.without
+        return max(self.without, 1 / (1 + exp(-max(-30.0, min(30.0, self.intercept + self.slope * evidence)))))
 
 
 def maximal_segments(hits: list[tuple[int, float]], gap: float = GAP) -> list[tuple[int, int, float]]:
@@ -119,17 +137,36 @@ def maximal_segments(hits: list[tuple[int, float]], gap: float = GAP) -> list[tu
     return [(a, b, end - start) for a, b, start, end, _ in stack]
 
 
+def extreme_values(best: np.ndarray, n: np.ndarray, least: float = LEAST) -> tuple[float, float]:
+    """The most likely lambda and K for texts of n words whose best segments score `best`; 0 is a text without a segment.
+
+    No segment scores under `least`, so a text without one says that its best is lower than that. The prior is worth
+    PRIOR_ROWS observations; lambda is searched on a grid, K is then in closed form.
+    """
+    order = np.lexsort((n, best))  # the same sums whatever order the rows come in
+    best, n = best[order], n[order].astype(float)
+    seen, at_least = best > 0, np.maximum(best, least)
+    weight = seen.sum() + PRIOR_ROWS
+    top = (0.0, PRIOR_LAMBDA, PRIOR_K)
+    for i, rate in enumerate(np.geomspace(0.05, 5, 400).tolist()):
+        k = weight / ((n * np.exp(-rate * at_least)).sum() + PRIOR_ROWS / PRIOR_K)
+        likelihood = weight * log(rate * k) - rate * (best[seen].sum() + PRIOR_ROWS / PRIOR_LAMBDA)
+        if i == 0 or likelihood > top[0]:
+            top = (likelihood, rate, k)
+    return top[1], float(top[2])
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fit on at most sample_rows labelled rows that are not held out.
 
-    Labels that are null or whose id is null are not used; of an id labelled twice the larger label counts. Copies of a
-    text among the sample count once (by a sketch of its shingles). Without both classes no feature scores, and the
-    probability is the share of toxic labels, or about 0 if there are none.
+    Labels that are null or whose id is null are not used; of an id labelled twice the larger label counts, of rows that
+    repeat an id the one with the smallest sketch. Copies of a text with one label count once (by three minima of its
+    shingles' hashes). Without both classes no feature scores, and the probability is about 1 if all labels are toxic,
+    else about 0. What reaches the driver is counts of the sample's features and a few numbers for each of its rows.
     """
     named = narrow(labels, id=id_col, label=label_col).where(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id")))
     sample = named.groupBy("id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64(F.lit("toxicity"), "id"), "id").limit(sample_rows)
-    texts = narrow(docs, id=id_col, text=text_col)
-    train = texts.join(F.broadcast(sample), "id").select("id", "label", "text")
+    train = narrow(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id").select("id", "label", "text")
 
     def sketches(batch: pa.RecordBatch) -> dict[str, list]:
         import xxhash
@@ -137,48 +174,73 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         out = []
         for text in batch.column(2).to_pylist():
             w = (text or "").split()
-            out.append(min((xxhash.xxh64_intdigest(" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))), default=0) >> 1)
-        return {"id": batch.column(0), "sketch": out}
+            hashes = {xxhash.xxh64_intdigest(" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))}
+            least = [min((h for h in hashes if h % 3 == part), default=0) for part in range(3)]
+            out.append(xxhash.xxh64_intdigest(repr(least)) >> 1)
+        return {"id": batch.column(0), "label": batch.column(1), "text": batch.column(2), "sketch": out}
 
-    sketched = map_batches(train, sketches, T.StructType([T.StructField("id", train.schema["id"].dataType), T.StructField("sketch", T.LongType())]))
-    distinct = sketched.groupBy("sketch").agg(F.min("id").alias("id")).select("id").distinct().join(sample, "id")
-    once = texts.join(F.broadcast(distinct), "id").select("id", "label", "text")
+    kept = T.StructType([T.StructField("id", train.schema["id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("sketch", T.LongType())])
+    read = cut(map_batches(train, sketches, kept))  # the one pass over documents
+    heads = read.groupBy("id", "label").agg(F.min("sketch").alias("sketch")).groupBy("sketch", "label").agg(F.min("id").alias("id"))
+    once = cut(read.join(heads, ["id", "label", "sketch"]).groupBy("id", "label", "sketch").agg(F.first("text").alias("text")).withColumn("fold", F.pmod("sketch", F.lit(FOLDS)).cast("int")))
 
     def counts(batch: pa.RecordBatch) -> dict[str, list]:
-        found: tuple[Counter, Counter] = (Counter(), Counter())
-        for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        found: dict[tuple[int, bool], Counter] = {}
+        for label, text, fold in zip(*(batch.column(c).to_pylist() for c in range(3))):
             words = set(WORD.findall((text or "").lower()))  # each once a document, so that no document decides
-            of = found[label > 0]
+            of = found.setdefault((fold, label > 0), Counter())
             of[""] += len(words)
             of.update([f for w in words for f in features(w)])
-        names = list(found[1].keys() | found[0].keys())
-        return {"feature": names, "toxic": [found[1][f] for f in names], "other": [found[0][f] for f in names]}
-
-    counted = map_batches(once, counts, T.StructType([T.StructField("feature", T.StringType()), T.StructField("toxic", T.LongType()), T.StructField("other", T.LongType())]))
-    counted = cut(counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where("toxic > 2 or feature = ''"))
-    size = counted.where("feature = ''").collect()
-    n1, n0 = (size[0]["toxic"], size[0]["other"]) if size else (0, 0)
-    if not n1 or not n0:
-        return ToxicityModel(intercept=30.0 if n1 else -30.0)
-    whole = counted.where("feature like '=%'").select(F.expr("substr(feature, 2)").alias("word"), "toxic")
-    stems = [F.when(F.length("word") >= n, F.concat(F.lit("^"), F.substring("word", 1, n))) for n in BEGINNINGS]
-    largest = whole.select(F.explode(F.array_compact(F.array(*stems))).alias("feature"), "toxic").groupBy("feature").agg(F.max("toxic").alias("largest"))
-    alpha, mass = PRIOR * (F.col("toxic") + F.col("other")), PRIOR * (n1 + n0)
-    odds = lambda c, n: F.log((F.col(c) + alpha) / (n + mass - F.col(c) - alpha))
-    error = F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("other") + alpha))
-    kinds = counted.join(largest, "feature", "left").where("feature <> ''").where(F.coalesce(F.col("largest") <= ONE_WORD * F.col("toxic"), F.lit(True)))
-    scored = kinds.select("feature", (odds("toxic", n1) - odds("other", n0) - MARGIN * error).alias("score"))
-    best = scored.where(F.col("score") >= LEAST).orderBy(F.desc("score"), "feature").limit(FEATURES).collect()
-    model = ToxicityModel({r["feature"]: r["score"] for r in best})
-
-    def evidence(batch: pa.RecordBatch) -> dict[str, list]:
-        return {"label": batch.column(1), "evidence": [model.evidence(t or "")[0] for t in batch.column(2).to_pylist()]}
-
-    seen = map_batches(once, evidence, T.StructType([T.StructField("label", T.IntegerType()), T.StructField("evidence", T.DoubleType())])).toPandas()
-    model.intercept, model.slope = logistic(np.log1p(seen["evidence"].to_numpy()), (seen["label"].to_numpy() > 0).astype(float))
+        names = sorted(set().union(*found.values()))
+        return {"feature": names} | {f"{kind}{k}": [found.get((k, kind == "toxic"), {}).get(f, 0) for f in names] for k in range(FOLDS) for kind in ("toxic", "other")}
+
+    columns = [f"{kind}{k}" for kind in ("toxic", "other") for k in range(FOLDS)]
+    counted = map_batches(once.select("label", "text", "fold"), counts, T.StructType([T.StructField("feature", T.StringType()), *(T.StructField(c, T.LongType()) for c in columns)]))
+    counted = counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in columns])
+    table = counted.where(f"{' + '.join(columns[:FOLDS])} > 2 or feature = ''").orderBy("feature").toPandas()  # features of the sample's toxic rows at most
+    names = table["feature"].tolist()
+    toxic, other = table[columns[:FOLDS]].to_numpy(), table[columns[FOLDS:]].to_numpy()
+    if not len(names) or not toxic[0].sum() or not other[0].sum():
+        return ToxicityModel(without=1.0 if len(names) and toxic[0].sum() else 0.0)
+    without = [weights(names, toxic.sum(1) - toxic[:, k], other.sum(1) - other[:, k]) for k in range(FOLDS)]
+    model = ToxicityModel(weights(names, toxic.sum(1), other.sum(1)))
+
+    def segments(batch: pa.RecordBatch) -> dict[str, list]:
+        models = [ToxicityModel(w) for w in without]
+        found = [models[k].segments(t or "") for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        return {"label": batch.column(0), "n": [n for _, n in found], "scores": [[s for _, _, s in segs] for segs, _ in found]}
+
+    shape = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("scores", T.ArrayType(T.DoubleType()))])
+    seen = map_batches(once.select("label", "text", "fold"), segments, shape).toPandas()  # at most sample_rows rows
+    is_toxic, n, scores = seen["label"].to_numpy() > 0, seen["n"].to_numpy(), [list(x) for x in seen["scores"]]
+    clean = ~is_toxic & (n > 0)
+    model.rate, model.k = extreme_values(np.array([max(scores[i], default=0.0) for i in np.flatnonzero(clean)]), n[clean])
+    evidence = np.array([sum(e for s in x if (e := model.surprise(s, words)) > -log(CHANCE)) for x, words in zip(scores, n.tolist())], float)
+    some = evidence > 0
+    model.without = (is_toxic & ~some).sum().item() / (1 + (~some).sum().item())
+    model.intercept, model.slope = logistic(evidence[some], is_toxic[some].astype(float))
+    model.slope = max(0.0, model.slope)
     return model
 
 
+def weights(names: list[str], toxic: np.ndarray, other: np.ndarray) -> dict[str, float]:
+    """The scores of features, from how many toxic and other documents have them; the feature "" counts all words."""
+    n1, n0 = (int(x[names.index("")]) for x in (toxic, other))
+    largest: dict[str, int] = {}
+    for name, count in zip(names, toxic.tolist()):
+        if name[:1] == "=":
+            for n in BEGINNINGS:
+                if len(name) > n:
+                    stem = f"^{name[1 : n + 1]}"
+                    largest[stem] = max(largest.get(stem, 0), count)
+    alpha, mass = PRIOR * (toxic + other), PRIOR * (n1 + n0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odds = [np.log((c + alpha) / (n + mass - c - alpha)) for c, n in ((toxic, n1), (other, n0))]
+        scores = odds[0] - odds[1] - MARGIN * np.sqrt(1 / (toxic + alpha) + 1 / (other + alpha))
+    found = zip(names, toxic.tolist(), scores.tolist())
+    return {f: s for f, c, s in found if f and c > 2 and s >= LEAST and largest.get(f, 0) <= ONE_WORD * c}
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
     """Intercept and slope of a logistic curve, the slope held by a ridge, by Newton's steps."""
     order = np.lexsort((y, x))  # the same sums whatever order the rows come in
@@ -222,7 +284,11 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
 
 
 def keep_clean(df: DataFrame, model: ToxicityModel, text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of df that are not predicted toxic, with all their columns; a null text is clean."""
+    """The rows of df that are not predicted toxic, with all their columns.
+
+    A null or empty text has no evidence, so it stays unless all labels were toxic. Repeated rows and null ids are judged
+    row by row; an empty table gives an empty one. Whole texts are read, however long, in time linear in them.
+    """
 
     bounded_batches(df.sparkSession)
 
