@@ -141,8 +141,9 @@ def _ascii_of(c: str) -> str | None:
 
 #: Every character that is rewritten, and to what.
 FOLDED = {c: new for c in map(chr, range(0x80, sys.maxunicode + 1)) if (new := _ascii_of(c)) is not None}
-#: A text can only hold something new if one of these patterns matches, or one of these words stands in it.
-ODD = re.compile(f"[{''.join(map(re.escape, FOLDED))}]")
+#: A text can only hold something new if it has one of these characters, one of these patterns matches, or one of these words
+#: stands in it.
+ODD = frozenset(FOLDED)
 BRACKETED = re.compile(rf"{_OPEN}{_GAP}(?:{_AT}|{_DOT}|@|\.){_GAP}{_CLOSE}", re.I)
 SPACED_AT = re.compile(r"\s@|@\s")
 HOST_AT = re.compile(BARE_AT, re.I)
@@ -188,9 +189,10 @@ class Copy:
 def fold_characters(text: str) -> Copy:
     """First transducer: look-alikes and compatibility forms to ASCII, invisible characters to nothing."""
     out = Copy(text)
-    for m in ODD.finditer(text):
-        out.keep(m.start())
-        out.put(FOLDED[m[0]], m.end())
+    if odd := ODD.intersection(text):
+        for m in re.finditer(f"[{''.join(map(re.escape, sorted(odd)))}]", text):
+            out.keep(m.start())
+            out.put(FOLDED[m[0]], m.end())
     out.keep(len(text))
     return out
 
@@ -223,7 +225,7 @@ def lowered(text: str) -> str:
 
 def disguised(text: str) -> bool:
     """Whether a transducer may rewrite something; a text for which this is false is its own copy."""
-    if not text.isascii() and ODD.search(text) or BRACKETED.search(text) or "@" in text and SPACED_AT.search(text):
+    if not text.isascii() and not ODD.isdisjoint(text) or BRACKETED.search(text) or "@" in text and SPACED_AT.search(text):
         return True
     words = set(WORD.findall(lowered(text)))
     if not DOTS.isdisjoint(words) or not ATS.isdisjoint(words) and HOST_AT.search(text):
