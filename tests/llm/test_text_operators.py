@@ -536,16 +536,72 @@ def plain_removal(rows, window=50):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("window", "crowd"), [(50, 1000), (50, 3), (12, 1)])
+def plain_parse(rows, window):
+    """Per row, greedily: the longest match of the words from a place on along the document that is first to have its window."""
+    words = [(i, WORDS.findall(t or "")) for i, t in rows]
+    home = {}
+    for i, w in sorted((x for x in words if x[0] is not None), key=lambda x: x[0]):
+        for k in range(len(w) - window + 1):
+            home.setdefault(tuple(w[k : k + window]), (i, k))
+    out = []
+    for i, w in words:
+        at, found = 0, []
+        while i is not None and at + window <= len(w):
+            reference, offset = home[tuple(w[at : at + window])]
+            if reference == i:
+                at += 1
+                continue
+            n = window
+            while at + n < len(w) and home[tuple(w[at + n - window + 1 : at + n + 1])] == (reference, offset + n - window + 1):
+                n += 1
+            found.append((at, n, reference, offset))
+            at += n - window + 1
+        out.append((i, tuple(found)))
+    return out
+
+
+@pytest.mark.parametrize(("window", "crowd"), [(50, 20_000), (50, 3), (12, 1)])
 def test_repeated_passages_go(spark, window, crowd):
     shared = prose(50, 70)
     rows = texts() + [(600 + k, prose(100 + k, 20) + " " + shared + " " + prose(200 + k, 20)) for k in range(6)]
     rows += [(1, prose(3, 120) + " more"), (700, prose(3, 49)), (701, prose(3, 49)), (702, prose(3, 50)), (703, prose(3, 51)), (12, "b c a " * 40)]
     got = substring.remove_repeats(frame(spark, rows), window=window, gram=min(10, window // 2), crowd=crowd).collect()
-    assert Counter(map(tuple, got)) == plain_removal(rows, window)
+    assert Counter(tuple(r)[:4] for r in got) == plain_removal(rows, window)
     assert substring.remove_repeats(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("crowd", [20_000, 2])
+def test_factors_are_the_longest_matches_along_one_reference(spark, crowd):
+    """Documents made of parts of each other, of different ids: each factor is the plain parse's, and reads as its reference does."""
+    import random
+
+    r = random.Random(17)
+    texts_of = {}
+    for k in range(40):
+        parts = [prose(1000 + k, r.randint(5, 40))]
+        for _ in range(r.randint(0, 3)):
+            if texts_of:
+                w = texts_of[r.choice(list(texts_of))].split()
+                a = r.randrange(len(w))
+                parts += [" ".join(w[a : a + r.randint(10, 90)]), prose(r.randrange(9999), r.randint(0, 12))]
+        texts_of[k] = " ".join(parts)
+    rows = [*texts_of.items(), (900, texts_of[7]), (901, texts_of[7]), (902, "la " * 500), (903, "la " * 400 + "lu " * 80)]
+    got = {x.doc_id: tuple(map(tuple, x.factors)) for x in substring.remove_repeats(frame(spark, rows), window=12, gram=4, crowd=crowd).collect()}
+    want = dict(plain_parse(rows, 12))
+    assert got.pop(900) == got.pop(901) == ((0, len(texts_of[7].split()), None, 0),)
+    assert got == {i: f for i, f in want.items() if i not in (900, 901)} and sum(map(len, got.values())) > 30
+    for i, found in got.items():
+        mine = dict(rows)[i].split()
+        for start, length, reference, offset in found:
+            assert mine[start : start + length] == dict(rows)[reference].split()[offset : offset + length] and reference < i
+
+
+def test_two_texts_of_one_word(spark):
+    rows = [(1, "word " * 100_000), (2, "word " * 99_999 + "end"), (3, prose(4, 60))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {1: (100_000, 0), 2: (100_000, 99_999), 3: (60, 0)}
+
+
 def test_anchors_are_few_and_equal_for_equal_windows():
     import numpy as np
 

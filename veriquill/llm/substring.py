@@ -1,15 +1,19 @@
-"""Substring dedup by greedy parsing of documents against an index of all reference blocks before them.
-
-Reference blocks are the windows of `window` words of every document, but only those around anchors that two documents
-share are ever indexed. An anchor is the least hash among a window's grams of `gram` words, so equal windows have equal
-anchors, and about one value in twenty words of a text is one. The index maps the digest of a window to the smallest
-document that has it. A document is then parsed greedily: a factor starts at the first indexed window of an earlier
-document and goes on while the next window is indexed too; both of its boundaries are windows checked by digest, and
-whatever lies in a factor is a duplicate span.
-
-Copies of a whole word sequence are set aside first: only the smallest document of each is parsed and indexed. Per text,
-anchors and windows are vectorised over its bytes. The texts of documents with shared anchors are shuffled once, by
-id; everything else that moves is narrow, pre-aggregated where a hot value could meet in one place.
+"""Substring dedup by relative Lempel-Ziv parsing of documents against the indexed reference blocks of all of them.
+
+The reference is made of what each document is the first to say: a reference block is a run of consecutive windows of
+`window` words whose first occurrence, by document id and place, it holds. So every window has one home in the reference, and
+a document's longest match from any place on is a run along one block. The index maps the 128-bit digest of a window to its
+home. A document is parsed greedily: at the first place whose window is at home in an earlier document a factor begins
+there, and it goes on along that block as long as the document's next window is at home at the block's next place. The
+digests that open and close a factor check its boundaries. The parse goes on behind the factor's last window, so factors may
+overlap by less than a window; every factor is (start, length, reference document, place in it), and whatever lies in one is
+a duplicate span.
+
+Only windows around anchors that two documents share are ever indexed: an anchor is the least hash among a window's grams of
+`gram` words, so equal windows have equal anchors, and about one value in twenty words of a text is one. Copies of a whole
+word sequence are set aside first: only the smallest document of each is parsed and indexed, the others are one factor.
+Per text, anchors and windows are vectorised over its bytes. The texts of documents with shared anchors are shuffled once, by
+id and content; everything else that moves is narrow, pre-aggregated where a hot value could meet in one place.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from pyspark.sql import types as T
 from veriquill.llm.common import cut, id_field, map_batches
 
 WINDOW, GRAM = 50, 10
-#: Windows whose anchor more documents than this share are spread over so many tasks each.
-CROWD, SALTS = 1000, 16
+#: Windows whose anchor more windows than this share are spread over so many tasks each.
+CROWD, SALTS = 20_000, 16
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -44,7 +48,6 @@ class Powers:
             self.up, self.down = self.grown(BASE, size), self.grown(pow(BASE, -1, 1 << 64), size)
         return self.up[:n], self.down[:n]
 
-
     @staticmethod
     def grown(base: int, size: int) -> np.ndarray:
         factors = np.full(size, base, np.uint64)
@@ -66,11 +69,6 @@ class Words:
         self.ends = np.cumsum(lengths + 1) - 1
         self.starts = self.ends - lengths
 
-    def digest(self) -> int:
-        import xxhash
-
-        return int.from_bytes(xxhash.xxh3_128_digest(self.joined)[:8], "little", signed=True)
-
     def anchors(self, window: int, gram: int) -> np.ndarray:
         """The anchor of each window, as a signed 64-bit hash."""
         if self.n < window:
@@ -102,71 +100,82 @@ class Words:
         halves = np.frombuffer(raw, "<i8").reshape(-1, 2)
         return halves[:, 0].tolist(), halves[:, 1].tolist()
 
-    def without(self, factors: list[tuple[int, int]]) -> tuple[int, str]:
-        """Words in the factors, and the digest of the others joined by one blank."""
-        if not factors:
+    def without(self, spans: list[tuple[int, int]]) -> tuple[int, str]:
+        """Words in the spans, which are in order and may overlap, and the digest of the others joined by one blank."""
+        if not spans:
             return 0, hashlib.sha256(self.joined).hexdigest()
         kept, read, removed = [], 0, 0
-        for a, b in factors:
+        for a, b in spans:
             if a > read:
                 kept.append(self.joined[self.starts[read] : self.ends[a - 1]])
-            removed += b - a
-            read = b
+            if b > read:
+                removed += b - max(a, read)
+                read = b
         if read < self.n:
             kept.append(self.joined[self.starts[read] :])
         return removed, hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def factors(starts: list[int], window: int) -> list[tuple[int, int]]:
-    """Word spans of the greedy factors, from the starts of indexed windows; factors that touch or overlap are one span."""
-    spans: list[list[int]] = []
-    for i in sorted(starts):
-        if spans and i <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], i + window)
+def factors(homes: list[tuple[int, object, int]], window: int) -> list[tuple[int, int, object, int]]:
+    """The greedy parse: (start, length, reference, offset) of each factor.
+
+    `homes` are the places of a document whose windows are at home elsewhere, each with the reference and the place there.
+    """
+    found: list[list] = []
+    for place, reference, offset in sorted(homes, key=lambda h: h[0]):
+        last = found[-1] if found else None
+        along = last and reference == last[2] and place + window == last[0] + last[1] + 1 and offset - place == last[3] - last[0]
+        if along:
+            last[1] += 1
         else:
-            spans.append([i, i + window])
-    return [(a, b) for a, b in spans]
+            found.append([place, window, reference, offset])
+    return [tuple(f) for f in found]
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """Per row: id, n_words, n_removed, kept_sha256 (of the kept words joined by one blank).
+    """Per row: id, n_words, n_removed, kept_sha256 (of the kept words joined by one blank), and its factors:
+    (start, length, reference, offset) in words. A copy of a whole earlier text is one factor whose reference is null.
 
     A word is removed if a window of `window` words over it also starts in a document with a smaller id, judged on the
     input. A null or empty text has no words. Rows that repeat an id are no earlier than each other; a null id is
-    neither earlier nor later than any, so nothing of such a row is removed or indexed. An empty table gives an empty
-    one; other columns are ignored.
+    neither earlier nor later than any, so nothing of such a row is removed or indexed. Of two earlier occurrences the
+    one in the document with the smaller id counts, then the one further in front. Texts are read whole, however long, in
+    time linear in them. An empty table gives an empty one; other columns are ignored.
     """
     id_type = df.schema[id_col].dataType
-    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    key = [T.StructField("id", id_type), T.StructField("digest", T.LongType())]
+    docs = df.select(df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("key"), df[text_col].alias("text"))  # the key tells rows that repeat an id apart
+    key = [T.StructField("id", id_type), T.StructField("key", T.LongType())]
 
     def read(batch: pa.RecordBatch) -> dict[str, list]:
-        words = [Words(t) for t in batch.column(1).to_pylist()]
+        words = [Words(t) for t in batch.column(2).to_pylist()]
+        anchors = [np.unique(w.anchors(window, gram), return_counts=True) for w in words]
         return {
             "id": batch.column(0),
-            "digest": [w.digest() for w in words],
+            "key": batch.column(1),
             "n_words": [w.n for w in words],
             "sha": [w.without([])[1] for w in words],
-            "anchors": [np.unique(w.anchors(window, gram)) for w in words],
+            "anchors": [a for a, _ in anchors],
+            "times": [n for _, n in anchors],
         }
 
-    parsed_schema = T.StructType([*key, T.StructField("n_words", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("anchors", T.ArrayType(T.LongType()))])
-    parsed = cut(map_batches(docs, read, parsed_schema))
+    arrays = [T.StructField("anchors", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType()))]
+    parsed = cut(map_batches(docs, read, T.StructType([*key, T.StructField("n_words", T.LongType()), T.StructField("sha", T.StringType()), *arrays])))
 
     long_enough = parsed.where((F.col("n_words") >= window) & F.col("id").isNotNull())
     heads = long_enough.groupBy("sha").agg(F.min("id").alias("head"))
     # joined by id too, so that a text with very many copies is no hot key where arrays move
-    anchors = long_enough.join(heads.withColumnRenamed("head", "id"), ["id", "sha"]).select("id", F.explode("anchors").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    several = parsed.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("id", F.lit(True).alias("several"))
-    crowded = F.collect_list(F.when(F.col("n") > crowd, F.col("anchor")))
-    marks = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors"), crowded.alias("crowded")).join(several, "id", "left")
-    marked = docs.join(marks.hint("shuffle_merge"), "id")
+    first_of_text = long_enough.join(heads.withColumnRenamed("head", "id"), ["id", "sha"])
+    anchors = first_of_text.select("id", "key", F.inline(F.arrays_zip("anchors", "times"))).withColumnRenamed("anchors", "anchor")
+    spread = [f(c).alias(f"{f.__name__}_{c}") for c in ("id", "key") for f in (F.min, F.max)]
+    shared = anchors.groupBy("anchor").agg(*spread, F.sum("times").alias("windows")).where("min_id < max_id or min_key < max_key").select("anchor", "windows")
+    crowded = F.collect_set(F.when(F.col("windows") > crowd, F.col("anchor")))  # sets, as rows may repeat
+    marks = anchors.join(shared, "anchor").groupBy("id", "key").agg(F.collect_set("anchor").alias("anchors"), crowded.alias("crowded"))
+    marked = docs.join(marks.hint("shuffle_merge"), ["id", "key"])
 
     def index(crowded_only: bool):
         def make(batch: pa.RecordBatch) -> dict[str, list]:
-            out: dict[str, list] = {"id": [], "digest": [], "place": [], "hi": [], "lo": [], "salt": []}
-            for i, text, wanted, crowded, several in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            out: dict[str, list] = {"id": [], "key": [], "place": [], "hi": [], "lo": [], "salt": []}
+            for i, k, text, wanted, crowded in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 words = Words(text)
                 own = words.anchors(window, gram)
                 names = np.array(crowded, np.int64) if crowded_only else np.setdiff1d(np.array(wanted, np.int64), np.array(crowded, np.int64))
@@ -174,44 +183,46 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if len(places):
                     hi, lo = words.windows(places, window)
                     out["id"] += [i] * len(places)
-                    out["digest"] += [words.digest() if several else 0] * len(places)  # tells rows that repeat an id apart
+                    out["key"] += [k] * len(places)
                     out["place"] += places.tolist()
                     out["hi"] += hi
                     out["lo"] += lo
-                    out["salt"] += [zlib.crc32(str(i).encode()) % SALTS] * len(places)
+                    out["salt"] += [zlib.crc32(f"{i} {p >> 10}".encode()) % SALTS for p in places.tolist()]
             return out
 
         return make
 
     fields = [*key, T.StructField("place", T.IntegerType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("salt", T.IntegerType())]
-    read_in = marked.select("id", "text", "anchors", "crowded", "several")
-    # Windows of few documents meet by digest, and the least id among them is the first.
+    read_in = marked.select("id", "key", "text", "anchors", "crowded")
+    here = F.struct("id", "place")
+    elsewhere = F.struct("place", F.col("home.id").alias("reference"), F.col("home.place").alias("offset")).alias("found")
+    # Windows of few documents meet by digest; the least of them is their home.
     few = map_batches(read_in, index(False), T.StructType(fields)).drop("salt")
-    plain = few.withColumn("first", F.min("id").over(Window.partitionBy("hi", "lo"))).where("id > first")
-    # Windows that very many may hold: the least id is combined before it is moved, and goes to every salt of its window, so
-    # that the places of one window are in as many tasks.
+    plain = few.withColumn("home", F.min(here).over(Window.partitionBy("hi", "lo"))).where("id > home.id").select("id", "key", elsewhere)
+    # Of windows that very many may hold, the home is combined before it is moved, and goes to every salt, so that the places of
+    # one window are in as many tasks.
     many = map_batches(read_in.where(F.size("crowded") > 0), index(True), T.StructType(fields))
-    least = many.groupBy("hi", "lo").agg(F.min("id").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = many.join(least, ["hi", "lo", "salt"]).where("id > first")
-    places = [df.select("id", "digest", "place") for df in (plain, salted)]
-    found = places[0].unionByName(places[1]).groupBy("id").agg(F.collect_list(F.struct("digest", "place")).alias("found"))
+    homes = many.groupBy("hi", "lo").agg(F.min(here).alias("home")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = many.join(homes, ["hi", "lo", "salt"]).where("id > home.id").select("id", "key", elsewhere)
+    found = plain.unionByName(salted).groupBy("id", "key").agg(F.collect_set("found").alias("found"))
 
     def parse(batch: pa.RecordBatch) -> dict[str, list]:
-        out: dict[str, list] = {"id": [], "digest": [], "n_removed": [], "kept": []}
-        for i, text, several, found in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            words = Words(text)
-            digest = words.digest()
-            removed, kept = words.without(factors([f["place"] for f in found if not several or f["digest"] == digest], window))
-            for name, value in zip(out, (i, digest, removed, kept)):
+        out: dict[str, list] = {"id": [], "key": [], "n_removed": [], "kept": [], "factors": []}
+        for i, k, text, found in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            parse = factors([(f["place"], f["reference"], f["offset"]) for f in found], window)
+            removed, kept = Words(text).without([(a, a + n) for a, n, _, _ in parse])
+            for name, value in zip(out, (i, k, removed, kept, [dict(zip(("start", "length", "reference", "offset"), f)) for f in parse])):
                 out[name].append(value)
         return out
 
-    cut_schema = T.StructType([*key, T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    parts = map_batches(marked.select("id", "text", "several").join(found, "id").select("id", "text", "several", "found"), parse, cut_schema).dropDuplicates(["id", "digest"])
+    factor = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("reference", id_type), T.StructField("offset", T.LongType())])
+    many_factors, none = T.ArrayType(factor), F.lit(None).cast(id_type)
+    cut_schema = T.StructType([*key, T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("factors", many_factors)])
+    parts = map_batches(marked.select("id", "key", "text").join(found, ["id", "key"]).select("id", "key", "text", "found"), parse, cut_schema).dropDuplicates(["id", "key"])
 
     # a row that is not its text's head is a copy; asked by id and text, so that no text is a hot key
     is_head = heads.select(F.col("head").alias("head_id"), F.col("sha").alias("head_sha"))
-    everything = parsed.select("id", "digest", "n_words", "sha").join(parts, ["id", "digest"], "left")
+    everything = parsed.select("id", "key", "n_words", "sha").join(parts, ["id", "key"], "left")
     everything = everything.join(is_head, (F.col("id") == F.col("head_id")) & (F.col("sha") == F.col("head_sha")), "left")
     whole = (F.col("n_words") >= window) & F.col("id").isNotNull() & F.col("head_id").isNull()
     return everything.select(
@@ -219,4 +230,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(whole, F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("length"), none.alias("reference"), F.lit(0).alias("offset"))).cast(many_factors)).otherwise(F.coalesce("factors", F.array().cast(many_factors))).alias("factors"),
     )
