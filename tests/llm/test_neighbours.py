@@ -1,10 +1,11 @@
 import numpy as np
 
-from veriquill.llm.neighbours import InvertedFiles, nearest, prefixes
+import pytest
 
+from veriquill.llm.neighbours import InvertedFiles, nearest, prefixes, tiles
 
-def plain(rows, k, every=5):
-    size = 8
+
+def plain(rows, k, every=5, size=8):
     good = {}
     for i, v in rows:
         if i is not None and v is not None and len(v) == size and all(x is not None and np.isfinite(x) for x in v) and any(v):
@@ -18,18 +19,19 @@ def plain(rows, k, every=5):
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(i, v, 1, 0.5, 9) for i, v in rows], "vec_id long, embedding array<float>, label int, score double, id long").repartition(3)
+    columns = "vec_id long, embedding array<float>, label int, score double, id long, v string, twin int, rank long, asks boolean, part int, block int"
+    return spark.createDataFrame([(i, v, 1, 0.5, 9, "v", 3, 4, False, 1, 1) for i, v in rows], columns).repartition(3)
 
 
-def sample(n, seed=0):
+def sample(n, seed=0, size=8):
     r = np.random.default_rng(seed)
-    return [(k, [float(np.float32(x)) for x in r.normal(size=8)]) for k in range(n)]
+    return [(k, [float(np.float32(x)) for x in r.normal(size=size)]) for k in range(n)]
 
 
-def test_small_tables_are_exact(spark):
+def test_reranking_all_is_exact(spark):
     rows = sample(60) + [(100 + k, sample(60)[7][1]) for k in range(40)]  # many equal vectors
     rows += [(200, None), (205, [0.0] * 8), (210, [float("nan")] + [1.0] * 7), (215, [None] + [1.0] * 7), (220, [1.0]), (None, [1.0] * 8), (5, sample(60)[5][1])]
-    got = sorted(map(tuple, nearest(table(spark, rows), "id % 5 = 0", k=6).collect()))
+    got = sorted(map(tuple, nearest(table(spark, rows), "id % 5 = 0", k=6, share=1.0).collect()))
     assert [g[:3] for g in got] == [w[:3] for w in plain(rows, 6)]
     assert np.allclose([g[3] for g in got], [w[3] for w in plain(rows, 6)], rtol=0, atol=1e-12)
 
@@ -41,11 +43,27 @@ def test_few_candidates_and_none(spark):
 
 def test_recall_of_the_index(spark):
     rows = sample(1500, 3)
-    want, got = plain(rows, 10), nearest(table(spark, rows), "id % 5 = 0", k=10, pivots=64, prefix=24, share=0.15, least=20, query_block=100, index_block=500).collect()
-    found = {(r.query_id, r.vec_id) for r in got}
+    got = nearest(table(spark, rows), "id % 5 = 0", k=10, pivots=64, prefix=24, asked=24, share=0.15, spare=2, index_tile=(300, 500), query_tile=100).collect()
+    want, found = plain(rows, 10), {(r.query_id, r.vec_id) for r in got}
     assert len(got) == len(want) and sum((q, i) in found for q, _, i, _ in want) / len(want) >= 0.9
 
 
+@pytest.mark.parametrize("n", [500, 2000])
+def test_recall_as_in_production(spark, n, monkeypatch):
+    """64 dimensions without structure, the hardest case, with the parameters of the query; the index decides, not a scan."""
+    rows = sample(n, 9, 64)
+    got = nearest(table(spark, rows), "id % 20 = 0").collect()
+    want, found = plain(rows, 20, 20, 64), {(r.query_id, r.vec_id) for r in got}
+    recall = sum((q, i) in found for q, _, i, _ in want) / len(want)
+    assert len(got) == len(want) and 0.9 <= recall < 1
+
+
+def test_tiles_are_bounded():
+    assert tiles(500, 25) == (1, 1) and tiles(10_000, 500) == (3, 1) and tiles(1_000_000, 50_000) == (64, 1)
+    blocks, parts = tiles(100_000_000, 5_000_000)
+    assert 100_000_000 / blocks <= 65536 and 5_000_000 / parts <= 65536
+
+
 def test_closeness_is_the_footrule():
     r = np.random.default_rng(1)
     orders = prefixes(r.normal(size=(50, 8)), r.normal(size=(20, 8)), 6)

@@ -3,12 +3,13 @@
 Every vector is represented by its `prefix` nearest of `pivots` reference vectors, in order, and posted under each of them
 with its rank. Two such prefixes are compared by Spearman's footrule with missing pivots ranked last; that distance is a
 constant less twice the sum, over the pivots they share, of prefix - max(rank, rank). The sums are accumulated from the
-inverted files of the query's pivots. The share of vectors with the smallest footrule distance is then reranked by the
-exact measure.
+inverted files of the `asked` nearest pivots of the query, whose shares weigh most. The vectors with the smallest footrule
+distance are then reranked by the exact measure: a share of the table, and a small multiple of k.
 
-Queries and vectors meet in blocks: every block of queries with every block of the index, each pair one bounded task
-that returns its best `k` for each query. The share that is reranked is one of each block, so it does not stop growing
-with the table.
+Queries and vectors meet in tiles: every part of the queries with every block of the index, each pair one bounded task that
+builds the block's inverted files once for all queries of the part and returns its best `k` for each. There are as many
+tiles as keep a cluster busy while the table is small, and tiles of a size bounded by memory beyond: a vector is copied once
+for every QUERY_TILE queries, a query once for every INDEX_TILE vectors. There is no other path for small tables.
 """
 
 from __future__ import annotations
@@ -22,10 +23,17 @@ from pyspark.sql import types as T
 from veriquill.llm.common import bounded_batches
 
 #: Pivots are a bounded sample: the rows with the smallest hashes of their ids.
-PIVOTS, PREFIX = 256, 64
-#: Part of each index block that is reranked, and the least number of vectors in any block.
-SHARE, LEAST = 0.12, 600
-QUERY_BLOCK, INDEX_BLOCK = 2048, 8192
+PIVOTS, PREFIX, ASKED = 256, 96, 48
+#: What is reranked: part of the vectors, and a multiple of k over all blocks together.
+SHARE, SPARE = 0.08, 8
+#: Vectors and queries of a tile, at least and at most, and the number of blocks up to which the former holds.
+INDEX_TILE, QUERY_TILE, BUSY = (4096, 65536), 65536, 64
+
+
+def tiles(vectors: int, queries: int, index_tile: tuple[int, int] = INDEX_TILE, query_tile: int = QUERY_TILE) -> tuple[int, int]:
+    """How many blocks of vectors, and how many parts of queries."""
+    few, many = index_tile
+    return max(1, min(BUSY, -(-vectors // few)), -(-vectors // many)), max(1, -(-queries // query_tile))
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -56,7 +64,7 @@ class InvertedFiles:
         self.rows, self.weights, self.n, self.kind = np.split(rows, ends[:-1]), np.split(weights, ends[:-1]), n, kind
 
     def closeness(self, order: np.ndarray) -> np.ndarray:
-        """For every vector the sum over shared pivots; the footrule distance falls by two for each unit."""
+        """For every vector the sum over the pivots it shares with the query; the footrule distance falls by two for each unit."""
         total = np.zeros(self.n, self.kind)
         for rank, pivot in enumerate(order.tolist()):
             total[self.rows[pivot]] += np.minimum(self.weights[pivot], self.kind(self.length - rank))  # a vector is once in a file
@@ -79,10 +87,11 @@ def nearest(
     k: int = 20,
     pivots: int = PIVOTS,
     prefix: int = PREFIX,
+    asked: int = ASKED,
     share: float = SHARE,
-    least: int = LEAST,
-    query_block: int = QUERY_BLOCK,
-    index_block: int = INDEX_BLOCK,
+    spare: int = SPARE,
+    index_tile: tuple[int, int] = INDEX_TILE,
+    query_tile: int = QUERY_TILE,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for every query its k nearest found, by largest inner product in double precision.
 
@@ -92,7 +101,7 @@ def nearest(
     rows; an empty table gives an empty result; other columns are ignored.
 
     Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest, so only they are searched: that is
-    exact, and a vector that fills much of the table crowds nothing out.
+    exact, and a vector that fills much of the table crowds nothing out. Ties of the footrule distance are all reranked.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -101,14 +110,14 @@ def nearest(
     sample = rows.select("v", F.xxhash64(F.lit("pivot"), "id").alias("h")).groupBy("v").agg(F.min("h").alias("h")).orderBy("h", "v").limit(pivots).collect()
     reference = np.array([r["v"] for r in sample], dtype=np.float64)
 
-    asked = rows.where(queries)
+    wanting = rows.where(queries)
     twins = Window.partitionBy("v").orderBy("id")
     listed = rows.withColumn("twin", F.row_number().over(twins)).where(F.col("twin") <= k + 1).select("id", "v")
-    n, q = rows.count(), asked.count()
-    blocks, parts = max(1, -(-n // index_block)), max(1, -(-q // query_block))
+    n, q = rows.count(), wanting.count()
+    blocks, parts = tiles(n, q, index_tile, query_tile)
     place = lambda count, name: F.pmod(F.xxhash64(F.lit(name), "id"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = asked.select(place(parts, "q").alias("part"), every(blocks).alias("block"), F.lit(True).alias("asks"), "id", "v")
+    left = wanting.select(place(parts, "q").alias("part"), every(blocks).alias("block"), F.lit(True).alias("asks"), "id", "v")
     right = listed.select(every(parts).alias("part"), place(blocks, "i").alias("block"), F.lit(False).alias("asks"), "id", "v")
     out = T.StructType([T.StructField("query_id", id_type), T.StructField("vec_id", id_type), T.StructField("score", T.DoubleType())])
 
@@ -124,14 +133,11 @@ def nearest(
             by_component = np.ascontiguousarray(v_in.T)
             length = min(prefix, len(reference))
             files = InvertedFiles(prefixes(v_in, reference, length), len(reference))
-            wanted = max(least, k + 1, int(np.ceil(share * len(have))))
+            wanted = min(len(have), int(np.ceil(share * len(have) + spare * k / blocks)) + 1)  # one may be the query itself
             asking = np.flatnonzero(asks)
-            for at, order in zip(asking.tolist(), prefixes(v[asking], reference, length)):
-                if wanted < len(have):
-                    close = files.closeness(order)
-                    near = np.flatnonzero(close >= np.partition(close, -wanted)[-wanted])  # all that tie with the last
-                else:
-                    near = np.arange(len(have))
+            for at, order in zip(asking.tolist(), prefixes(v[asking], reference, min(asked, length))):
+                close = files.closeness(order)
+                near = np.flatnonzero(close >= np.partition(close, -wanted)[-wanted])  # all that tie with the last
                 near = near[near != place.get(ids[at], -1)]
                 scores = inner_products(by_component[:, near], v[at])
                 if len(scores) > 4 * k:  # ties with the k-th stay
