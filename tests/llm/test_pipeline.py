@@ -1,14 +1,16 @@
+import zlib
 from collections import Counter
 
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from veriquill.llm import mixing
-from veriquill.llm.simhash import near_duplicates
 from veriquill.llm.toxicity import fit_toxicity, score_toxicity
 
 from .fixtures import frame, prose, texts
-from .test_text_operators import labelled
+from .test_text_operators import labelled, plain_components, plain_fingerprint
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,7 +34,11 @@ def test_stages_take_effect(spark, tmp_path):
     assert clean.columns == COLUMNS and Counter(r.doc_id for r in clean.collect()) == Counter(r.doc_id for r in docs.collect() if (r.doc_id, 0) in scored)
     assert sum(p for _, p in scored) >= 90
     one = step("near_duplicates", clean)
-    heads = {r.doc_id for r in near_duplicates(clean).collect() if r.doc_id == r.component_id and r.doc_id is not None}
+    prints = {r.doc_id: plain_fingerprint(r.text) for r in clean.collect() if r.doc_id is not None}
+    root, smallest = plain_components(list(dict.fromkeys(prints.values()))), {}
+    for i, fp in prints.items():
+        smallest[root[fp]] = min(i, smallest.get(root[fp], i))
+    heads = set(smallest.values())
     assert sorted(r.doc_id for r in one.collect() if r.doc_id is not None) == sorted(heads)
     safe = step("personal_data", one)
     before = {r.doc_id: r for r in one.collect()}
@@ -43,7 +49,12 @@ def test_stages_take_effect(spark, tmp_path):
     mixed = step("mixing", safe)
     assert Counter(map(tuple, mixed.collect())) == Counter(map(tuple, safe.collect()))
     pieces = stages["packing"](spark, mixed, str(tmp_path)).collect()
-    assert {r.doc_id for r in pieces} == {r.doc_id for r in mixed.collect()}
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r.doc_id: [*encoder.encode(r.text or "", add_special_tokens=False).ids, 1] for r in mixed.collect()}
+    assert {r.doc_id for r in pieces} == ids.keys()
+    for r in pieces:
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in piece))
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens)
     assert Counter(map(key, whole)) == Counter(map(key, pieces))

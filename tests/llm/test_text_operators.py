@@ -687,3 +687,61 @@ def test_copies_count_once_and_labels_do_not_mix(spark):
     more = labels.union(spark.createDataFrame([(i, 1, 1, "x") for i, _ in copies], labels.schema))
     many = toxicity.fit_toxicity(frame(spark, rows + copies), more)
     assert set(many.scores) == set(once.scores)
+
+
+def test_bytes_laid_out_follow_the_weights(spark):
+    """While all sources last, each one's share of the bytes so far is off by less than a block and its longest document."""
+    rows = [(k, prose(k, 20 + 37 * (k * k % 11))) for k in range(600)]
+    weights, block = {"a": 5, "b": 2, "*": 1}, 3000
+    got = sorted(mixing.schedule(frame(spark, rows), weights, block_bytes=block, bucket_rows=50).collect(), key=lambda r: (r.mix_slot, r.mix_start, r.doc_id))
+    left, longest, have, checked = Counter(r.mix_source for r in got), {}, Counter(), 0
+    for r in got:
+        longest[r.mix_source] = max(longest.get(r.mix_source, 0), r.mix_bytes)
+    for k, r in enumerate(got):
+        have[r.mix_source] += r.mix_bytes
+        left[r.mix_source] -= 1
+        if not all(left.values()):
+            break
+        if got[k + 1].mix_slot > r.mix_slot:  # between slots
+            checked += 1
+            for s, w in weights.items():
+                target = (r.mix_slot + 1) * block * w / 8
+                assert -block < have[s] - target < block + longest[s]
+    assert checked > 20
+
+
+def test_rows_without_ids_spread_over_the_buckets(spark):
+    rows = [(None if k % 2 else 7, prose(k, 30)) for k in range(400)]
+    scheduled = mixing.schedule(frame(spark, rows), {"*": 1}, block_bytes=2000, bucket_rows=20).collect()
+    ends = sorted((r.mix_start, r.mix_start + r.mix_bytes) for r in scheduled)
+    assert [a for a, _ in ends] == [0, *(b for _, b in ends[:-1])]
+    key = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("xxhash64(1, cast(doc_id as string), text) as k")
+    assert key.distinct().count() == 400
+
+
+def test_plans_are_bounded(spark):
+    docs = frame(spark, [(k, "x") for k in range(10)])
+    for weights in ({"a": 10_001}, {"a": -1, "*": 2}, {"a": 1}):
+        with pytest.raises(ValueError):
+            mixing.schedule(docs, weights)
+
+
+def test_repeated_rows_do_not_fill_one_group(spark, monkeypatch):
+    rows = [(5, "the same text again")] * 300 + [(100 + k, prose(k, 20)) for k in range(100)]
+    got = packing.pack(frame(spark, rows), *PACK, length=64, group_docs=20).collect()
+    groups = Counter(r.sequence_id >> 31 for r in got)
+    assert len(got) >= 400 and sum(r.doc_id == 5 for r in got) == 300 and len({r.sequence_id >> 31 for r in got if r.doc_id == 5}) > 5
+    assert max(groups.values()) < 120
+
+
+def test_intermediate_data_is_in_the_shared_folder(spark, monkeypatch):
+    from veriquill.llm import common
+
+    assert common.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+    class Cluster:
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+        conf = type("F", (), {"get": staticmethod(lambda name, default=None: default)})()
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Cluster())

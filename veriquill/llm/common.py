@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -46,18 +48,34 @@ def id_field(df: DataFrame, id_col: str, name: str | None = None) -> T.StructFie
     return T.StructField(name or id_col, df.schema[id_col].dataType, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's spark.checkpoint.dir.
 
-    The folder comes from spark.checkpoint.dir; only where that is unset (tests on one machine) is one chosen here.
+    Only on a single machine, where the setting may be absent, is one chosen here; a cluster without it is an error, as
+    no folder of one machine can hold what executors write.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "veriquill")
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/veriquill")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more, by whatever file system it is on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed names; other columns of the input cannot clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

@@ -29,7 +29,8 @@ BLOCK_BYTES = 64 << 10
 BUCKET_ROWS = 4096
 #: The name under which sources without a weight of their own are pooled.
 OTHERS = "*"
-MOST_SLOTS = 10_000
+#: Bounds of the plan: blocks of a period, and entries over all phases (as many as sources end, times the period).
+MOST_SLOTS, MOST_ENTRIES = 10_000, 2_000_000
 COLUMNS = ("mix_source", "mix_bytes", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_start")
 
 
@@ -83,8 +84,9 @@ def schedule(
 
     Ordering by mix_slot, then mix_start and the id, is the mixture. A source that is null or has no weight is pooled as
     `*`, which then needs a weight. A null text has no bytes. Documents longer than a block take the slots of the blocks
-    they reach into. Rows that repeat an id stand side by side; null ids are placed like any other. Every row is kept;
-    an empty table gives an empty one.
+    they reach into; they are laid out whole at their first block's slot, so a source's share of the bytes laid out so far
+    is off its target by less than a block and its longest document. Rows alike in id and text stand side by side, other
+    rows of one id or of none anywhere. Every row is kept; an empty table gives an empty one.
     """
     if any(w < 0 for w in weights.values()) or not 0 < sum(weights.values()) <= MOST_SLOTS:
         raise ValueError(f"weights are natural numbers with a sum of at most {MOST_SLOTS}")
@@ -92,7 +94,7 @@ def schedule(
     df, (id_col, text_col, source_col) = positional(df, id_col, text_col, source_col)
     named = [s for s, w in weights.items() if w > 0 and s != OTHERS]
     buckets = max(1, -(-df.count() // bucket_rows))
-    key = F.xxhash64(F.lit(seed), df[id_col].cast("string"))
+    key = F.xxhash64(F.lit(seed), df[id_col].cast("string"), df[text_col])  # the text too, so that rows that repeat an id spread
     rows = df.withColumns(
         {
             "mix_source": F.when(df[source_col].isin(named), df[source_col]).otherwise(F.lit(OTHERS)) if named else F.lit(OTHERS),
@@ -105,6 +107,8 @@ def schedule(
     totals = {r["mix_source"]: r["bytes"] for r in sums.groupBy("mix_source").agg(F.sum("bytes").alias("bytes")).collect()}  # as many as weights
     if totals.keys() - {s for s, w in weights.items() if w > 0}:
         raise ValueError(f"there are sources without a weight, and {OTHERS!r} has none")
+    if sum(weights.values()) * len(totals) > MOST_ENTRIES:
+        raise ValueError(f"{len(totals)} sources by {sum(weights.values())} blocks of a period are more than {MOST_ENTRIES} entries of a plan; divide the weights or pool sources as {OTHERS!r}")
     planned = phases(weights, {s: max(0, n - 1) // block_bytes + 1 for s, n in totals.items()})
     source, earlier = Window.partitionBy("source"), Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("bytes").over(source)
@@ -134,7 +138,10 @@ def schedule(
 
 
 def mix(df: DataFrame, weights: Mapping[str, int], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of df with their columns only, laid out in the order of the mixture: partitions by ranges of slots, sorted inside."""
+    """The rows of df with their columns only, laid out in the order of the mixture: partitions by ranges of slots, sorted inside.
+
+    Null texts and ids, repeated rows and empty tables are as in `schedule`.
+    """
     plain, names = positional(df, id_col, text_col, source_col)
     scheduled = schedule(plain, weights, *names, **options)
     return renamed_back(scheduled.repartitionByRange("mix_slot", "mix_start").sortWithinPartitions("mix_slot", "mix_start", names[0]), df)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,8 @@ from veriquill.llm.common import bounded_batches, id_field
 #: Documents that are packed together; a group's rows are a few dozen bytes each.
 GROUP_DOCS = 4096
 SEED = 7
+#: Rows of one id and text in a task that go to the same group; further ones are dealt to others.
+TOGETHER = 16
 
 
 class Tokens:
@@ -114,8 +118,10 @@ def pack(
     With rank_col, which numbers the rows from 0, a group is a run of group_docs ranks instead: sequence ids rise with the
     groups, and the sequences of a group are numbered in a seeded random order, since first-fit decreasing goes by length.
 
-    A null or empty text is the end id alone. Repeated rows are packed as often as they come; null ids are kept. An
-    empty table gives an empty result. Other columns of df are ignored.
+    A null or empty text is the end id alone. Repeated rows are packed as often as they come; as many rows may be alike,
+    every TOGETHER of them that a task reads are dealt to a group of their own choice. Rows that are alike cannot be told
+    apart, so a task that runs again deals them the same. Null ids are kept; pieces of equal length are packed in order
+    of id. Texts are encoded whole, however long. An empty table gives an empty result. Other columns of df are ignored.
     """
     bounded_batches(df.sparkSession)
     fields = [id_field(df, id_col), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens"))]
@@ -127,8 +133,17 @@ def pack(
 
         out = to_arrow_schema(cut_schema)
         encode = tokens(json_path, ranks_path, pattern, special).ids
+        seen, task = Counter(), TaskContext.get().partitionId()
         for batch in batches:
             rows, starts, lengths, crcs, totals = [], [], [], [], []
+            buckets = batch.column(0).to_pylist()
+            if groups > 1:
+                keys = batch.column(3).to_pylist()
+                for i, row in enumerate(keys):
+                    if turn := seen[row] // TOGETHER:
+                        buckets[i] = zlib.crc32(f"{row} {task} {turn}".encode()) % groups
+                    seen[row] += 1
+            bucket_of = pa.array(buckets, pa.int64())
             for i, text in enumerate(batch.column(2).to_pylist()):
                 ids = np.append(encode(text), np.array([end_id], "<u4")) if text else np.array([end_id], "<u4")
                 n = len(ids)
@@ -142,14 +157,15 @@ def pack(
                     totals.append(n)
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, pa.int64()) for c in (starts, lengths, crcs, totals))], schema=out
+                [bucket_of.take(take), batch.column(1).take(take), *(pa.array(c, pa.int64()) for c in (starts, lengths, crcs, totals))], schema=out
             )
 
+    row_key = F.xxhash64(F.lit(seed), df[id_col].cast("string"), df[text_col])
     if rank_col is None:
         groups = max(1, -(-df.count() // group_docs))
-        bucket = F.pmod(F.xxhash64(F.lit(seed), df[id_col].cast("string"), df[text_col]), F.lit(groups))
+        bucket = F.pmod(row_key, F.lit(groups))
     else:
-        bucket = F.floor(df[rank_col] / group_docs).cast("long")
+        groups, bucket = 1, F.floor(df[rank_col] / group_docs).cast("long")
 
     def group(key, rows):
         keys = [rows.column(c).to_pylist() for c in (id_col, "ids_crc32", "doc_tokens", "start")]
@@ -162,5 +178,5 @@ def pack(
         base = key[0].as_py() << 31  # a group has fewer bins, so ids of different groups differ
         return rows.drop_columns(["bucket"]).append_column("sequence_id", pa.array([base + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    cut_up = df.select(bucket.alias("bucket"), df[id_col], df[text_col]).mapInArrow(pieces, cut_schema)
+    cut_up = df.select(bucket.alias("bucket"), df[id_col], df[text_col], row_key.alias("row_key")).mapInArrow(pieces, cut_schema)
     return cut_up.groupBy("bucket").applyInArrow(group, packed_schema)

@@ -141,7 +141,7 @@ def quality_rules(
 
     A null or empty text has no words and fails the base rules. Repeated rows and null ids each give a row (a null id is
     never trusted); an empty table gives an empty one; other columns are ignored. Without trusted documents every ratio
-    is 1 and the base rules alone decide.
+    is 1 and the base rules alone decide. Texts are read whole, however long; a ratio equal to the threshold is kept.
     """
     docs = narrow(df, id=id_col, text=text_col)
     weights = ratios(docs, target_ids(narrow(labels, **{id_col: id_col, label_col: label_col}), id_col, label_col, target_rows), buckets, prior).scalar()

@@ -93,8 +93,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: id, fingerprint (16 hex digits), component_id (smallest id reachable over links of at most two bits).
 
     A null or empty text has fingerprint zero, linked like any other. Repeated rows each give a row. A null id is no
-    component's id: such a row takes the smallest id of its component, or null if there is none. An empty table gives an
-    empty one; other columns are ignored. Only fingerprints are shuffled.
+    component's id: such a row takes the smallest id of its component, or null if there is none. A bit that just half the
+    shingles have is 0. Texts are read whole, however long, in time linear in them. An empty table gives an empty one;
+    other columns are ignored. Only fingerprints are shuffled.
     """
     prints = cut(fingerprints(df, id_col, text_col))
     distinct = prints.groupBy("fp").agg(F.min("id").alias("low"))
@@ -109,7 +110,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """The rows of df less all but one of each component: the one with the smallest id stays, with all its columns.
 
     Of rows that repeat an id, one stays. Rows without an id stay only if nothing with an id is linked to them, one for
-    each fingerprint.
+    each fingerprint. Null and empty texts have fingerprint zero, so one of them all stays. An empty table gives an empty one.
     """
     found = cut(near_duplicates(narrow(df, id=id_col, text=text_col), "id", "text"))
     heads = found.where(F.col("id").eqNullSafe(F.col("component_id")))

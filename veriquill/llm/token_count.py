@@ -92,7 +92,8 @@ def token_counts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     """Per row of df: its id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows and null ids each give a row; an empty table gives an
-    empty one. Other columns of df are ignored. No shuffle: texts pass through the workers once, counts come back.
+    empty one. Other columns of df are ignored. Texts are counted whole, however long, a batch of bounded bytes at a time.
+    No shuffle: texts pass through the workers once, counts come back.
     """
     schema = T.StructType(
         [id_field(df, id_col), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
