@@ -1,11 +1,13 @@
 import hashlib
 import json
 import random
+from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from veriquill.functions import columns
+from veriquill.functions import arrow, columns
 from veriquill.functions.arrow import canonical, register
 from veriquill.operators import containment, evidence, history, identity, ledger, lists, log, records, sweep, values
 from veriquill.sources import config, files, sinks
@@ -211,13 +213,104 @@ def test_history(spark):
     final = {r.path: r for r in history.final_states(steps).collect()}
     assert (final["study.a"].writes, final["study.a"].checks, final["study.a"].value, final["study.a"].unresolved_challenge) == (4, 3, "3", True)
     assert (final["record.r_1.b"].present, final["record.r_1.b"].value) == (False, None) and final["study.c"].rejections == 1
-    total = history.totals(steps, events).collect()[0]
+    total = history.totals(steps).collect()[0]
     assert (total.fields_written, total.fields_checked, total.challenges_raised, total.challenges_overruled, total.challenges_revised, total.check_errors) == (2, 2, 2, 1, 1, 1)
     assert total.checker_cost_usd == pytest.approx(0.7)
     again = history.history(history.steps(events.repartition(5))).orderBy("path", "seq").collect()
     assert again == got
     diagnosed = history.diagnostics(steps).collect()[0]
-    assert (diagnosed.unresolved_challenges, diagnosed.errored, diagnosed.total_checks) == (["study.a"], [], 4)
+    assert tuple(diagnosed)[1:] == (2, 4, 0, ["study.a"], [])
+
+
+def plain_history(events):
+    """The fold as it reads, event by event."""
+    fields, out = {}, []
+    for line, event, result in events:
+        stage = history.STAGES.get(event)
+        if stage is None:
+            continue
+        state = lambda path: fields.setdefault(path, {"open": False, "present": True, "value": None, "touched": False, "n": [0, 0, 0], "last": None})
+        for path, d in result.get("_field_diffs", {}).items():
+            s, changed = state(path), d["before"] != d["after"]
+            kind = "overruled" if s["open"] and not changed else "revised_by_reviewer" if stage == "review" and changed else "revised_after_challenge" if s["open"] else "applied"
+            out += [(path, line, "proposed", None, None), (path, line, kind, s["open"], changed)]
+            s.update(open=False, present=True, value=d["after"], touched=s["touched"] or stage == "review")
+            s["n"][0] += 1
+        for path in result.get("failed_fields", {}):
+            out += [(path, line, "proposed", None, None), (path, line, "rejected", None, None)]
+            state(path)["n"][1] += 1
+        if gone := result.get("applied_changes", {}).get("removed_record_id"):
+            for path, s in fields.items():
+                if path.startswith(f"record.{gone}.") and s["present"]:
+                    out.append((path, line, "removed", None, None))
+                    s.update(open=False, present=False, value=None, touched=s["touched"] or stage == "review")
+        for path, v in result.get("_checker_verdicts", {}).items():
+            s, error = state(path), bool(v.get("error_origin"))
+            out.append((path, line, "check_error" if error else "challenged" if v["verdict"] == "challenge" else "checked", None, None))
+            s["n"][2] += 1
+            s["last"] = (v["verdict"], error)
+            if not error:
+                s["open"] = v["verdict"] == "challenge"
+    return out, fields
+
+
+def test_history_is_the_plain_fold(spark):
+    """Random logs with typed values, removals and errors: the windows say what the fold says."""
+    r = random.Random(11)
+    values_of = [1, 1.0, True, "1", None, "null", [1], [1.0], [True], {"a": 1, "b": [2]}, {"b": [2.0], "a": 1}, 0, False, "", "é\n"]
+    paths = ["study.a", "study.b", "record.r_1.x", "record.r_1.y", "record.r_2.x", "record.r_10.x"]
+    some = lambda: r.sample(paths, r.randint(0, 3))
+    logs = []
+    for k in range(400):
+        result = {"_field_diffs": {p: {"before": r.choice(values_of), "after": r.choice(values_of)} for p in some()}, "failed_fields": {p: [{"code": "c", "message": "m"}] for p in some()[:1]}}
+        result["_checker_verdicts"] = {p: {"verdict": r.choice(["ok", "challenge"]), "error_origin": r.random() < 0.2, "cost_usd": 0.5} for p in some()}
+        if r.random() < 0.15:
+            result["applied_changes"] = {"removed_record_id": r.choice(["r_1", "r_2"])}
+        logs.append((f"s{k % 8}", k, r.choice([*history.STAGES, "error"]), result))
+    events = spark.createDataFrame([(s, k, e, str(k), k, "t", json.dumps(x)) for s, k, e, x in logs], "session_id string, line_no long, event string, ts string, turn_id long, tool string, result string").repartition(5)
+    steps = history.steps(events)
+    got, final, totals = history.history(steps).collect(), history.final_states(steps).collect(), {t.session_id: t for t in history.totals(steps).collect()}
+    for s in {x[0] for x in logs}:
+        out, fields = plain_history([x[1:] for x in logs if x[0] == s])
+        for path, state in fields.items():
+            mine = sorted((g for g in got if g.session_id == s and g.path == path), key=lambda g: g.seq)
+            assert [g.seq for g in mine] == list(range(len(mine)))
+            assert [(g.path, g.line_no, g.kind, g.answers_challenge, g.changed) for g in mine] == [o for o in out if o[0] == path]
+            (end,) = [f for f in final if f.session_id == s and f.path == path]
+            assert (end.present, end.reviewer_touched, [end.writes, end.rejections, end.checks]) == (state["present"], state["touched"], state["n"])
+            assert (None if end.value is None else json.loads(end.value)) == state["value"] and (end.last_verdict, end.last_verdict_error_origin) == (state["last"] or (None, False))
+            assert end.unresolved_challenge == (state["last"] == ("challenge", False))
+        t = totals[s]
+        kinds = Counter(o[2] for o in out)
+        assert (t.challenges_raised, t.challenges_overruled, t.check_errors) == (kinds["challenged"], kinds["overruled"], kinds["check_error"])
+        assert t.challenges_revised == sum(bool(o[3] and o[4]) for o in out) and t.checker_cost_usd == 0.5 * (kinds["challenged"] + kinds["checked"] + kinds["check_error"])
+        assert (t.fields_written, t.fields_reviewer_touched) == (sum(f["n"][0] > 0 for f in fields.values()), sum(f["touched"] for f in fields.values()))
+
+
+@pytest.mark.parametrize(("a", "b", "changed"), [("1", 1, True), (True, "true", True), (None, "null", True), ([1], [1.0], False), ({"a": 1, "b": 2}, {"b": 2, "a": 1}, False), (1, 1.0, False), (1, True, False), ([1, 2], [2, 1], True)])
+def test_changes_are_those_of_values(a, b, changed):
+    (row,) = arrow.field_diffs.func(pd.Series([json.dumps({"p": {"before": a, "after": b}})]))[0]
+    assert row["changed"] is changed and json.loads(row["before"]) == a
+
+
+def test_history_rows_and_document(spark):
+    results = [
+        {"_field_diffs": {"record.r_1.b": {"before": None, "after": {"x": "é"}}}, "failed_fields": {"study.c": [{"code": "type_mismatch", "message": "no"}]}},
+        {"_checker_verdicts": {"record.r_1.b": {"verdict": "challenge", "rationale": "why", "value_checked": "v", "evidence_checked": "<q>e</q>", "note_checked": "n", "cost_usd": 0.25, "reprompted": 1, "cost_incomplete": True, "unreceipted_responses": 2}}},
+        {"applied_changes": {"removed_record_id": "r_1"}},
+    ]
+    events = spark.createDataFrame([("s", k, "review_tool_call", f"t{k}", k, "tool", json.dumps(x)) for k, x in enumerate(results)], "session_id string, line_no long, event string, ts string, turn_id long, tool string, result string")
+    steps = history.steps(events)
+    rows = {(r.path, r.kind): r for r in history.history(steps).collect()}
+    applied, refused, said, gone = rows["record.r_1.b", "revised_by_reviewer"], rows["study.c", "rejected"], rows["record.r_1.b", "challenged"], rows["record.r_1.b", "removed"]
+    assert (applied.before, applied.after, applied.changed, applied.tool, applied.turn_id, applied.ts) == ("null", '{"x": "é"}', True, "tool", 0, "t0")
+    assert [tuple(e) for e in refused.errors] == [("type_mismatch", "no")] and (gone.record_id, gone.value_before) == ("r_1", '{"x": "é"}')
+    assert (said.rationale, said.value_checked, said.evidence_checked, said.note_checked, said.cost_usd) == ("why", '"v"', "<q>e</q>", "n", 0.25)
+    (document,) = history.documents(steps).collect()
+    found = json.loads(document.history)
+    assert list(found["fields"]) == ["record.r_1.b", "study.c"] and [e["kind"] for e in found["fields"]["record.r_1.b"]["events"]] == ["proposed", "revised_by_reviewer", "challenged", "removed"]
+    assert found["aggregate"]["checker_unreceipted_responses"] == 2 and found["aggregate"]["checker_cost_incomplete"] and found["aggregate"]["fields_reviewer_touched"] == 1
+    assert history.diagnostics(steps).collect()[0].checks_reprompted == 1
 
 
 def test_history_agrees_with_the_stream(spark, tmp_path):
@@ -227,7 +320,7 @@ def test_history_agrees_with_the_stream(spark, tmp_path):
     rows = []
     for k in range(60):
         what = r.choice(["write", "reject", "verdict"])
-        rows.append(("s", f"study.f{r.randrange(4)}", k, 0, 0, "extractor", k, what, None, str(k), bool(k % 2), r.choice(["ok", "challenge"]) if what == "verdict" else None, False, None, False, 0))
+        rows.append(("s", f"study.f{r.randrange(4)}", k, 0, 0, "extractor", None, k, "t", what, None, str(k), bool(k % 2), None, None, r.choice(["ok", "challenge"]) if what == "verdict" else None, None, None, None, None, False, False, None, False, 0))
     df = spark.createDataFrame(rows, history.STEPS)
     for k in range(3):
         df.where(f"line_no >= {20 * k} and line_no < {20 * k + 20}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

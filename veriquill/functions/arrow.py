@@ -73,6 +73,21 @@ def canonical_json(raw: pd.Series) -> pd.Series:
     return raw.map(lambda r: None if r is None else canonical(json.loads(r)))
 
 
+DIFFS = T.ArrayType(T.StructType([*(T.StructField(c, STRING) for c in ("path", "before", "after")), T.StructField("changed", T.BooleanType())]))
+
+
+@pandas_udf(DIFFS)
+def field_diffs(raw: pd.Series) -> pd.Series:
+    """The entries of a JSON object of {before, after}, in order: values as JSON text, and whether they differ as Python's values do."""
+
+    def entries(text):
+        given = json.loads(text) if text is not None else None
+        pairs = [(path, d.get("before"), d.get("after")) for path, d in given.items() if isinstance(d, dict)] if isinstance(given, dict) else []
+        return [{"path": path, "before": json.dumps(a, ensure_ascii=False), "after": json.dumps(b, ensure_ascii=False), "changed": a != b} for path, a, b in pairs]
+
+    return raw.map(entries)
+
+
 @pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
