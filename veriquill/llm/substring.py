@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +117,7 @@ class Words:
         return removed, hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def factors(homes: list[tuple[int, object, int]], window: int) -> list[tuple[int, int, object, int]]:
+def factors(homes: Iterable[tuple[int, object, int]], window: int) -> list[tuple[int, int, object, int]]:
     """The greedy parse: (start, length, reference, offset) of each factor.
 
     `homes` are the places of a document whose windows are at home elsewhere, each with the reference and the place there.
@@ -158,7 +159,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             "times": [n for _, n in anchors],
         }
 
-    arrays = [T.StructField("anchors", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType()))]
+    arrays = [T.StructField("anchors", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType()))]
     parsed = cut(map_batches(docs, read, T.StructType([*key, T.StructField("n_words", T.LongType()), T.StructField("sha", T.StringType()), *arrays])))
 
     long_enough = parsed.where((F.col("n_words") >= window) & F.col("id").isNotNull())
@@ -169,47 +170,54 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spread = [f(c).alias(f"{f.__name__}_{c}") for c in ("id", "key") for f in (F.min, F.max)]
     shared = anchors.groupBy("anchor").agg(*spread, F.sum("times").alias("windows")).where("min_id < max_id or min_key < max_key").select("anchor", "windows")
     crowded = F.collect_set(F.when(F.col("windows") > crowd, F.col("anchor")))  # sets, as rows may repeat
-    marks = anchors.join(shared, "anchor").groupBy("id", "key").agg(F.collect_set("anchor").alias("anchors"), crowded.alias("crowded"))
+    marks = anchors.drop("times").join(shared, "anchor").groupBy("id", "key").agg(F.collect_set("anchor").alias("anchors"), crowded.alias("crowded"))
+    # what windows are told by besides the id: the key where an id has several texts, else nothing, which costs nothing to move
+    several = parsed.groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("id", F.lit(True).alias("several"))
+    tag = F.when(F.col("several"), F.col("key")).otherwise(F.lit(0))
+    marks = cut(marks.join(several, "id", "left").withColumn("tag", tag).drop("several"))
     marked = docs.join(marks.hint("shuffle_merge"), ["id", "key"])
 
     def index(crowded_only: bool):
         def make(batch: pa.RecordBatch) -> dict[str, list]:
-            out: dict[str, list] = {"id": [], "key": [], "place": [], "hi": [], "lo": [], "salt": []}
-            for i, k, text, wanted, crowded in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            out: dict[str, list] = {f.name: [] for f in fields}
+            for i, tag, text, wanted, crowded in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 words = Words(text)
                 own = words.anchors(window, gram)
                 names = np.array(crowded, np.int64) if crowded_only else np.setdiff1d(np.array(wanted, np.int64), np.array(crowded, np.int64))
                 places = np.flatnonzero(np.isin(own, names))
                 if len(places):
                     hi, lo = words.windows(places, window)
+                    places = places.tolist()
                     out["id"] += [i] * len(places)
-                    out["key"] += [k] * len(places)
-                    out["place"] += places.tolist()
+                    out["tag"] += [tag] * len(places)
+                    out["place"] += places
                     out["hi"] += hi
                     out["lo"] += lo
-                    out["salt"] += [zlib.crc32(f"{i} {p >> 10}".encode()) % SALTS for p in places.tolist()]
-            return out
+                    if crowded_only:
+                        first: dict[tuple[int, int], int] = {}
+                        out["front"] += [first.setdefault(w, p) for w, p in zip(zip(hi, lo), places)]
+                        out["salt"] += [zlib.crc32(f"{i} {p >> 10}".encode()) % SALTS for p in places]
+            return {c: out[c] for c in out if crowded_only or c not in ("front", "salt")}
 
         return make
 
-    fields = [*key, T.StructField("place", T.IntegerType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("salt", T.IntegerType())]
-    read_in = marked.select("id", "key", "text", "anchors", "crowded")
-    here = F.struct("id", "place")
-    elsewhere = F.struct("place", F.col("home.id").alias("reference"), F.col("home.place").alias("offset")).alias("found")
+    fields = [T.StructField("id", id_type), *(T.StructField(c, T.LongType()) for c in ("tag", "hi", "lo")), *(T.StructField(c, T.IntegerType()) for c in ("place", "front", "salt"))]
+    read_in = marked.select("id", "tag", "text", "anchors", "crowded")
+    found_at = lambda home, offset: F.struct("place", F.col(home).alias("reference"), F.col(offset).alias("offset")).alias("found")
     # Windows of few documents meet by digest; the least of them is their home.
-    few = map_batches(read_in, index(False), T.StructType(fields)).drop("salt")
-    plain = few.withColumn("home", F.min(here).over(Window.partitionBy("hi", "lo"))).where("id > home.id").select("id", "key", elsewhere)
+    few = map_batches(read_in, index(False), T.StructType(fields[:-2]))
+    plain = few.withColumn("home", F.min(F.struct("id", "place")).over(Window.partitionBy("hi", "lo"))).where("id > home.id").select("id", "tag", found_at("home.id", "home.place"))
     # Of windows that very many may hold, the home is combined before it is moved, and goes to every salt, so that the places of
-    # one window are in as many tasks.
+    # one window are in as many tasks. `front` is the first place of the window in its document.
     many = map_batches(read_in.where(F.size("crowded") > 0), index(True), T.StructType(fields))
-    homes = many.groupBy("hi", "lo").agg(F.min(here).alias("home")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = many.join(homes, ["hi", "lo", "salt"]).where("id > home.id").select("id", "key", elsewhere)
-    found = plain.unionByName(salted).groupBy("id", "key").agg(F.collect_set("found").alias("found"))
+    homes = many.groupBy("hi", "lo").agg(F.min("id").alias("home"), F.min_by("front", "id").alias("offset")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = many.drop("front").join(homes, ["hi", "lo", "salt"]).where("id > home").select("id", "tag", found_at("home", "offset"))
+    found = plain.unionByName(salted).groupBy("id", "tag").agg(F.collect_list("found").alias("found"))
 
     def parse(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {"id": [], "key": [], "n_removed": [], "kept": [], "factors": []}
         for i, k, text, found in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            parse = factors([(f["place"], f["reference"], f["offset"]) for f in found], window)
+            parse = factors({(f["place"], f["reference"], f["offset"]) for f in found}, window)  # a set, as rows may repeat
             removed, kept = Words(text).without([(a, a + n) for a, n, _, _ in parse])
             for name, value in zip(out, (i, k, removed, kept, [dict(zip(("start", "length", "reference", "offset"), f)) for f in parse])):
                 out[name].append(value)
@@ -218,7 +226,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     factor = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("reference", id_type), T.StructField("offset", T.LongType())])
     many_factors, none = T.ArrayType(factor), F.lit(None).cast(id_type)
     cut_schema = T.StructType([*key, T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("factors", many_factors)])
-    parts = map_batches(marked.select("id", "key", "text").join(found, ["id", "key"]).select("id", "key", "text", "found"), parse, cut_schema).dropDuplicates(["id", "key"])
+    parts = map_batches(marked.select("id", "key", "tag", "text").join(found, ["id", "tag"]).select("id", "key", "text", "found"), parse, cut_schema).dropDuplicates(["id", "key"])
 
     # a row that is not its text's head is a copy; asked by id and text, so that no text is a hot key
     is_head = heads.select(F.col("head").alias("head_id"), F.col("sha").alias("head_sha"))
