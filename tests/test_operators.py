@@ -589,3 +589,101 @@ def test_schemas():
     assert schema(field_type="boolean") == {"type": "boolean"} and schema(field_type="year") == {"type": ["integer", "null"]}
     assert schema(field_type="categorical", options=["A"]) == {"enum": ["A", None]} and schema(field_type="categorical", options=["A"], allow_other=True) == {"type": ["string", "null"]}
     assert config.envelope_schema({"field_type": "string_list", "options": None, "allow_other": False})["properties"]["value"] == {"type": ["array", "null"], "items": {"type": "string"}}
+
+
+def test_numbered_lines_follow_files_whatever_the_splits(spark, tmp_path):
+    r = random.Random(2)
+    want = {}
+    for name in ("a", "b"):
+        rows = ["" if r.random() < 0.1 else f"{name} {k} " + "x" * r.randint(0, 40) for k in range(3000)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(rows) + "\n", encoding="utf-8")
+        want |= {(name, k): row for k, row in enumerate(rows) if row}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {(row.file[-7:-6], row.line_no): row.text for row in files.numbered_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
+
+
+def test_checks_are_numbered_over_long_sessions(spark, monkeypatch):
+    from veriquill.operators import runs
+
+    monkeypatch.setattr(runs, "LINES_TOGETHER", 7)
+    rows = [(f"s{k % 2}", k, f"p{k % 5}") for k in range(100)]
+    got = sorted(map(tuple, runs.ordinals(spark.createDataFrame(rows, "session_id string, line_no long, path string")).collect()))
+    n, m, want = Counter(), Counter(), []
+    for s, k, p in rows:
+        n[s] += 1
+        m[s, p] += 1
+        want.append((s, k, p, n[s], m[s, p]))
+    assert got == sorted(want)
+
+
+def test_short_passages_are_no_hot_key(spark, monkeypatch):
+    """Passages of one and two words are found inside words too, and a text offers no row for each of its words."""
+    monkeypatch.setattr(containment, "LIST", 2)
+    passages = spark.createDataFrame([(1, "cat"), (2, "at on"), (3, "the cat sat on the mat"), (4, "zzz"), (5, "a"), (6, " "), (7, "the cat sat")], "item_id long, text string")
+    texts = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "concatenate"), (3, "word " * 1000), (4, None)], "doc_id long, text string")
+    got = {tuple(x) for x in containment.contained(passages, texts).collect()}
+    plain = {(i, d, t.find(p)) for i, p in ((x.item_id, x.text) for x in passages.collect()) for d, t in ((x.doc_id, x.text) for x in texts.collect()) if t and p.strip() and p in t}
+    assert got == plain
+
+
+def test_rates_and_merged_yaml():
+    card = dict.fromkeys(config.RATES, 1.0)
+    assert config.rate_problems({"extractor": card | {"cache_write_1h_per_1m": None}}) == []
+    for wrong in (None, {}, [], "x", {"extractor": None}, {"extractor": "x"}, {"extractor": card | {"input_per_1m": None}}, {"extractor": card | {"input_per_1m": True}}, {"nobody": card}, {"extractor": card | {"input_per_1m": -1}}):
+        assert config.rate_problems(wrong)
+    assert config.strict_yaml("a: &a {x: 1}\nb: &b {y: 2}\nc:\n  <<: *a\n  <<: *b\n  z: 3\n")["c"]["z"] == 3
+    with pytest.raises(config.ConfigError):
+        config.strict_yaml("a: 1\nb: 2\na: 3\n")
+
+
+def test_envelopes(spark, catalogue, entries):
+    """Everything that is known of a cell in one row: what is stored, what is wrong, what was replaced, what stands in the text loosely."""
+    rows = [
+        ("s", "r_1", "gauge", '"sg"', "<q>448 PATIENTS</q>"),
+        ("s", "r_2", "gauge", '"nothing"', "<q>449 patients</q>"),
+        ("s", "r_3", "gauges", '["lc", "THIRD"]', None),
+        ("s", None, "year", "1999.0", "<q>used [...] cohort</q>"),
+        ("s", None, "nobody", "1", None),
+        ("s", None, "design", "3", None),
+    ]
+    papers = spark.createDataFrame([("s", TEXT)], "study_id string, text string")
+    labels = spark.createDataFrame([("s", "Table_1")], "study_id string, label string")
+    got = {r.path: r for r in values.envelopes(cells(spark, rows), catalogue, entries, papers, labels).collect()}
+    codes = lambda p: [e.code for e in got[p].errors]
+    first = got["record.r_1.gauge"]
+    assert (first.value_out, first.errors, [tuple(c) for c in first.canonicalisations]) == ('"Strain – Gauge"', [], [("record.r_1.gauge", "sg", "Strain – Gauge")])
+    assert [tuple(w) for w in first.weak_matches] == [("record.r_1.gauge.evidence[<q>0]", "448 PATIENTS", "case_folded")]
+    assert codes("record.r_2.gauge") == ["off_list_reference", "quote_not_in_text"] and got["record.r_2.gauge"].value_out == '"nothing"'
+    assert "448 patients" in got["record.r_2.gauge"].errors[1].message and "nearest" in got["record.r_2.gauge"].errors[0].message
+    assert json.loads(got["record.r_3.gauges"].value_out) == ["Load Cell", "Third"] and got["record.r_3.gauges"].errors == []
+    assert got["study.year"].value_out == "1999" and "another order" in got["study.year"].errors[0].message
+    assert codes("study.nobody") == ["unknown_field"] and codes("study.design") == ["type_mismatch", "evidence_required"]
+
+
+def test_texts_move_once_for_many_quotes(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "QUOTES_TOGETHER", 10)
+    quotes = spark.createDataFrame([("s", f"word {k}", k) for k in range(95)] + [("t", "nowhere", 1)], "study_id string, quote string, k long")
+    papers = spark.createDataFrame([("s", " ".join(f"word {k}" for k in range(90)))], "study_id string, text string")
+    assert evidence.with_texts(quotes, papers).count() == 11
+    found = {(r.study_id, r.k): r.found.matched for r in evidence.located(quotes, papers).collect()}
+    assert len(found) == 96 and all(found["s", k] for k in range(90)) and not found["t", 1] and not found["s", 94]
+    long = spark.createDataFrame([("s", None, "study.x", "<q>" + "W" * 130 + "</q>")], "study_id string, block string, path string, evidence string")
+    (weak,) = evidence.weak_matches(long, spark.createDataFrame([("s", "w" * 130)], "study_id string, text string")).collect()
+    assert weak.quote == "W" * 120 + "..."
+
+
+def test_suggestions_are_those_of_all_pairs(spark, entries):
+    from difflib import SequenceMatcher
+
+    r = random.Random(4)
+    names = [("".join(r.choice("abc ") for _ in range(r.randint(1, 9))), "".join(r.choice("abc") for _ in range(r.randint(1, 9)))) for _ in range(60)]
+    for _ in range(60):
+        form = "".join(r.choice("abc ") for _ in range(r.randint(0, 9)))
+        best = {}
+        for c, other in names:
+            best[c] = max(best.get(c, 0), SequenceMatcher(None, form, other).ratio())
+        assert [c for _, c in arrow._nearest_names(form, names, 5)] == sorted(best, key=lambda c: (-best[c], c))[:5]

@@ -29,17 +29,19 @@ def validate(args) -> int:
     papers = files.papers(spark, args.papers) if args.papers else None
     labels = papers.select("study_id", F.explode("exhibits.label").alias("label")) if papers is not None else None
     found = api.validate_extraction_output(outputs, api.load_config_bundle(args.config), papers.select("study_id", "text") if papers is not None else None, labels, args.producer)
-    rows = found.orderBy("study_id", "severity", "path", "code").collect()
-    for r in rows:
-        print(f"{r.severity}\t{r.study_id}\t{r.path}\t{r.code}")
-    return int(any(r.severity == "error" for r in rows))
+    wrong = False
+    for r in found.orderBy("study_id", "severity", "path", "code").toLocalIterator():  # a partition at a time
+        print(f"{r.severity}\t{r.study_id}\t{r.path}\t{r.code}\t{r.message}")
+        wrong = wrong or r.severity == "error"
+    return int(wrong)
 
 
 def validate_bundle(args) -> int:
-    rows = files.bundle_problems(files.papers(session(), args.papers)).orderBy("bundle").collect()
-    for r in rows:
+    wrong = False
+    for r in files.bundle_problems(files.papers(session(), args.papers)).orderBy("bundle").toLocalIterator():
         print(f"{r.bundle}\t{r.code}")
-    return int(bool(rows))
+        wrong = True
+    return int(wrong)
 
 
 def render_template(args) -> int:
@@ -62,7 +64,7 @@ def transcript(args) -> int:
     spark = session()
     events = files.events(files.numbered_lines(spark, args.log))
     named = events.withColumn("session_id", F.regexp_extract("file", r"([^/]+)\.jsonl$", 1))
-    for r in render.transcripts(named).orderBy("session_id").collect():
+    for r in render.transcripts(named).orderBy("session_id").toLocalIterator():
         (Path(args.out) / f"{r.session_id}.md").write_text(r.transcript, encoding="utf-8") if args.out else sys.stdout.write(r.transcript)
     return 0
 

@@ -35,7 +35,7 @@ def load_config_bundle(folder: str) -> ConfigBundle:
     template = config.load_template(str(root / "extraction_template.yaml"))
     found, labels = config.read_lists(str(root / "reference"))
     settings = config.strict_yaml((root / "pipeline.yaml").read_text(encoding="utf-8")) or {}
-    wrong = config.setting_problems(settings) + config.rate_problems(settings.get("rates") or {})
+    wrong = config.setting_problems(settings) + (config.rate_problems(settings["rates"]) if "rates" in settings else [])
     cited = {f["canonical_reference"] for s in template.sections for f in s.fields if f["canonical_reference"]}
     wrong += [f"no reference list {name}" for name in sorted(cited - found.keys())]
     if wrong:
@@ -88,19 +88,19 @@ def validate_value(
         papers = spark.createDataFrame([("s", paper_text)] if paper_text is not None else [], "study_id string, text string")
         labels = spark.createDataFrame([("s", x) for x in image_labels or []], "study_id string, label string")
         found = evidence.evidence_problems(checked.withColumn("value_out", F.lit(stored)), papers, labels, required=producer == "llm").collect()
-        errors += [{"path": r.path, "code": r.code} for r in found if paper_text is not None or r.code not in ("quote_not_in_text", "unknown_image_label")]
+        errors += [{"path": r.path, "code": r.code, "message": r.message} for r in found if paper_text is not None or r.code not in ("quote_not_in_text", "unknown_image_label")]
     checked.unpersist()
     warnings = []
     if sibling_values is not None and gates:
         plain = lambda v: v.get("value") if isinstance(v, dict) else v
         cells = [("s", "record", "r", None, k, k, json.dumps(plain(v)), None, None) for k, v in sibling_values.items()]
         rules = spark.createDataFrame(gates, "when_field string, field string, allowed array<string>")
-        warnings = [{"path": r.field, "code": r.code} for r in values.gate_warnings(spark.createDataFrame(cells, values.CELL), rules).where(F.col("field") == f["variable"]).collect()]
+        warnings = [{"path": r.field, "code": r.code, "message": r.message} for r in values.gate_warnings(spark.createDataFrame(cells, values.CELL), rules).where(F.col("field") == f["variable"]).collect()]
     return ValidationResult(not errors, json.loads(stored) if stored is not None else None, errors, warnings, events)
 
 
 def validate_extraction_output(outputs: DataFrame, bundle: ConfigBundle, papers: DataFrame | None = None, labels: DataFrame | None = None, producer: str = "llm") -> DataFrame:
-    """(study_id, path, code, severity) for stored outputs (study_id, output JSON) of any number of studies."""
+    """(study_id, path, code, message, severity) for stored outputs (study_id, output JSON) of any number of studies."""
     spark = outputs.sparkSession
     entries = config.reference_entries(spark, bundle.lists) if bundle.lists else spark.createDataFrame([], lists.ENTRY)
     found = sweep(files.cells_of(outputs), bundle.template.catalogue(spark), entries, bundle.template.gate_rows(spark), papers, labels, producer)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from difflib import SequenceMatcher, get_close_matches
 from heapq import heappop, heappush
 
@@ -44,6 +45,29 @@ def locate_quote(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
     return out.astype({"start": "Int64", "end": "Int64"})
 
 
+HINTED = T.StructType([*LOCATED.fields, T.StructField("nearest", STRING), T.StructField("reordered", T.BooleanType())])
+
+
+def _hinted(quote: str | None, text: str | None) -> dict:
+    found = _located(quote, text)
+    lost = not found["matched"] and text is not None
+    reordered = bool(lost and quotes.only_out_of_order(quote, text))
+    return found | {"nearest": quotes.nearest_wording(quote, text) if lost and not reordered else None, "reordered": reordered}
+
+
+def _each(kind: T.DataType, function):
+    """A function of a list of quotes (nulls stay null) and their text, as a column function: the text's copies are made once."""
+
+    def apply(listed: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([None if some is None else [None if q is None else function(q, t) for q in some] for some, t in zip(listed, text)], dtype=object)
+
+    apply.__annotations__ = {"listed": pd.Series, "text": pd.Series, "return": pd.Series}
+    return pandas_udf(apply, T.ArrayType(kind))
+
+
+locate_quotes, hint_quotes, nearest_wordings = _each(LOCATED, _located), _each(HINTED, _hinted), _each(STRING, quotes.nearest_wording)
+
+
 @pandas_udf(STRING)
 def nearest_wording(quote: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([quotes.nearest_wording(q, t) for q, t in zip(quote, text)], dtype=object)
@@ -54,13 +78,13 @@ def out_of_order(quote: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([bool(q and t is not None and quotes.only_out_of_order(q, t)) for q, t in zip(quote, text)])
 
 
-@pandas_udf(WINDOWS)
-def context_windows(quote: pd.Series, text: pd.Series, budget: pd.Series) -> pd.Series:
-    def one(q, t, n):
-        found = quotes.context_windows(q, t, int(n))
-        return None if found is None else [{"start": w[0], "end": w[1], "text": quotes.marked_window(t, w)} for w in found]
+def _windows(quote: str | None, text: str | None, budget: int) -> list[dict] | None:
+    found = quotes.context_windows(quote, text, budget)
+    return None if found is None else [{"start": w[0], "end": w[1], "text": quotes.marked_window(text, w)} for w in found]
+
 
-    return pd.Series([one(*row) for row in zip(quote, text, budget)], dtype=object)
+def quote_windows(budget: int):
+    return _each(WINDOWS, lambda quote, text: _windows(quote, text, budget))
 
 
 def canonical(value) -> str:
@@ -124,6 +148,34 @@ def sequences_alike(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _alike(x, y, n) for x, y, n in zip(a, b, least)], dtype=object)
 
 
+RANKED = T.ArrayType(T.StructType([T.StructField("canonical", STRING), T.StructField("ratio", T.DoubleType())]))
+
+
+def _nearest_names(form: str, names: list[tuple[str, str]], n: int) -> list[tuple[float, str]]:
+    """The n entries most like the form, best first and ties by name, from (canonical, form) pairs of names and aliases.
+
+    The characters two texts share bound their ratio, so pairs are compared from the highest bound down until the n-th best
+    entry is better than what is left can be.
+    """
+    have, matcher = Counter(form), SequenceMatcher()
+    bounds = sorted((-2.0 * (have & Counter(other)).total() / (len(form) + len(other)) if form or other else -1.0, canonical, other) for canonical, other in names)
+    best: dict[str, float] = {}
+    for bound, canonical, other in bounds:
+        if len(best) >= n and (bound, canonical) > sorted((-r, c) for c, r in best.items())[n - 1]:
+            if bound > sorted(-r for r in best.values())[n - 1]:
+                break
+            continue
+        matcher.set_seqs(form, other)
+        best[canonical] = max(best.get(canonical, 0.0), matcher.ratio())
+    return sorted((-r, c) for c, r in best.items())[:n]
+
+
+@pandas_udf(RANKED)
+def nearest_names(form: pd.Series, names: pd.Series, n: pd.Series) -> pd.Series:
+    made = [[{"canonical": c, "ratio": -r} for r, c in _nearest_names(f, [(x["canonical"], x["other"]) for x in some], int(k))] for f, some, k in zip(form, names, n)]
+    return pd.Series(made, dtype=object)
+
+
 @pandas_udf(STRINGS)
 def closest_names(name: pd.Series, candidates: pd.Series) -> pd.Series:
     """At most three candidates with a ratio of 0.6 or more, closest first."""

@@ -10,7 +10,9 @@ BLANKS = r"(?U)\s+"
 #: The years a year field accepts, and the shape (no more) of a date.
 YEARS = (1800, 2100)
 DATE = r"^\d{4}-\d{2}-\d{2}\n?$"
-Problem = "array<struct<path:string,code:string>>"
+Problem = "array<struct<path:string,code:string,message:string>>"
+#: Fixed value: how much of a quote is shown.
+SHOWN = 120
 
 
 def option_form(value: Column) -> Column:
@@ -46,29 +48,29 @@ def json_string(raw: Column, kind: Column | None = None) -> Column:
     return F.when((kind if kind is not None else json_kind(raw)) == "string", F.when(~F.contains(t, F.lit("\\")), bare).otherwise(F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"]))
 
 
-def json_strings(raw: Column) -> Column:
+def json_strings(raw: Column, kind: Column | None = None) -> Column:
     """The strings of a JSON array of nothing but strings; null for anything else."""
-    kind = F.schema_of_variant(F.try_parse_json(raw))
+    held = F.schema_of_variant(F.try_parse_json(raw))
     values = F.from_json(raw, "array<string>")
-    fine = (kind == "ARRAY<STRING>") & ~F.exists(values, lambda v: v.isNull()) | (kind == "ARRAY<VOID>") & (F.size(values) == 0)
-    return F.when((json_kind(raw) == "array") & fine, values)
+    fine = (held == "ARRAY<STRING>") & ~F.exists(values, lambda v: v.isNull()) | (held == "ARRAY<VOID>") & (F.size(values) == 0)
+    return F.when(((kind if kind is not None else json_kind(raw)) == "array") & fine, values)
 
 
-def integral_year(raw: Column) -> Column:
+def integral_year(raw: Column, kind: Column | None = None) -> Column:
     """A JSON number as a year if it is whole; null otherwise."""
-    number = F.when(json_kind(raw).isin("integer", "number"), raw.cast("double"))
+    number = F.when((kind if kind is not None else json_kind(raw)).isin("integer", "number"), raw.cast("double"))
     return F.when(number == F.floor(number), F.when(F.abs(number) < 2.0**62, number.cast("long")).otherwise(F.signum(number).cast("long") * (1 << 62)))
 
 
-def type_problem(raw: Column, field_type: Column, options: Column, allow_other: Column, kind: Column | None = None, text: Column | None = None, matched: Column | None = None) -> Column:
+def type_problem(raw: Column, field_type: Column, options: Column, allow_other: Column, kind: Column | None = None, text: Column | None = None, matched: Column | None = None, year: Column | None = None) -> Column:
     """The code of what is wrong with a value of a field type; null if nothing is. Null passes for all types but boolean.
 
-    kind, text and matched are json_kind, json_string and the matched option, where a plan has them as columns already.
+    kind, text, matched and year are json_kind, json_string, the matched option and integral_year, where a plan has them as columns.
     """
     kind = kind if kind is not None else json_kind(raw)
     text = text if text is not None else json_string(raw, kind)
     matched = matched if matched is not None else match_option(text, F.coalesce(options, F.array().cast("array<string>")))
-    year, mismatch = integral_year(raw), F.lit("type_mismatch")
+    year, mismatch = year if year is not None else integral_year(raw, kind), F.lit("type_mismatch")
     return (
         F.when(kind == "null", F.when(field_type == "boolean", mismatch))
         .when(field_type == "boolean", F.when(kind != "boolean", mismatch))
@@ -76,13 +78,29 @@ def type_problem(raw: Column, field_type: Column, options: Column, allow_other:
         .when(field_type == "number", F.when(~kind.isin("integer", "number"), mismatch))
         .when(field_type == "year", F.when(year.isNull(), mismatch).when(~year.between(*YEARS), "year_out_of_range"))
         .when(field_type == "date", F.when(kind != "string", mismatch).when(~text.rlike(DATE), "date_format"))
-        .when(field_type == "string_list", F.when(json_strings(raw).isNull(), mismatch))
+        .when(field_type == "string_list", F.when(json_strings(raw, kind).isNull(), mismatch))
         .when((field_type == "categorical") & F.coalesce(allow_other, F.lit(False)), F.when(kind != "string", mismatch).when(F.trim(F.regexp_replace(text, BLANKS, " ")) == "", "empty_value"))
         .when(field_type == "categorical", F.when(kind != "string", mismatch).when(matched.isNull(), "invalid_option"))
         .otherwise(F.when(kind != "string", mismatch))
     )
 
 
+def type_message(code: Column, raw: Column, field_type: Column, options: Column, kind: Column) -> Column:
+    """What a code of `type_problem` says of a value, for people."""
+    return (
+        F.when(code == "type_mismatch", F.concat(F.lit("expected "), field_type, F.lit(", found "), kind))
+        .when(code == "year_out_of_range", F.concat(raw, F.lit(f" is no year from {YEARS[0]} to {YEARS[1]}")))
+        .when(code == "date_format", F.concat(raw, F.lit(" is not written as YYYY-MM-DD")))
+        .when(code == "empty_value", F.lit("the value is blank"))
+        .when(code == "invalid_option", F.concat(raw, F.lit(" is none of: "), F.array_join(options, "; ")))
+    )
+
+
+def shortened(quote: Column) -> Column:
+    """A quote as it is shown: its beginning, and dots if there is more."""
+    return F.when(F.length(quote) > SHOWN, F.concat(F.substring(quote, 1, SHOWN), F.lit("..."))).otherwise(quote)
+
+
 def truthy(raw: Column) -> Column:
     """Whether a JSON value counts as set: not null, false, zero, or empty."""
     kind = json_kind(raw)

@@ -32,11 +32,11 @@ def call_cost(tokens: dict[str, Column], rates: dict[str, Column]) -> Column:
 def rate_cards(roles: DataFrame, operator: DataFrame, table: DataFrame) -> DataFrame:
     """roles (role, model, routed) with the card of each: the operator's for the role, else the table's for the model unless routed.
 
-    No role falls back on another's card. Both card tables are configuration and are broadcast.
+    No role falls back on another's card.
     """
     cards = list(COUNTERS.values())
-    own = F.broadcast(operator.select("role", F.struct(*cards).alias("own")))
-    listed = F.broadcast(table.select("model", F.struct(*cards).alias("listed")))
+    own = operator.select("role", F.struct(*cards).alias("own"))
+    listed = table.select("model", F.struct(*cards).alias("listed"))
     both = roles.join(own, "role", "left").join(listed, "model", "left")
     card = F.when(F.col("own").isNotNull(), F.col("own")).when(~F.col("routed"), F.col("listed"))
     return both.withColumn("card", card).select(*roles.columns, F.col("card").isNotNull().alias("priced"), "card.*")

@@ -1,11 +1,11 @@
-"""Reference lists: their index, what a value resolves to, and the nearest names. The lists are configuration, so they are broadcast."""
+"""Reference lists: their index, what a value resolves to, and the nearest names. Whether an index is broadcast is the planner's choice, by its size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriquill.functions.arrow import normalise_text, sequence_ratio
+from veriquill.functions.arrow import nearest_names, normalise_text
 
 ENTRY = "list string, pos int, canonical string, search_terms string, aliases array<string>"
 
@@ -22,30 +22,34 @@ def reference_index(entries: DataFrame) -> DataFrame:
 def resolved(tokens: DataFrame, index: DataFrame) -> DataFrame:
     """tokens (list, token, form, ...) with status (canonical, alias, ambiguous, no_match, empty), canonical and candidates.
 
-    Names come before aliases; several entries under one form are ambiguous. One broadcast join, no shuffle.
+    Names come before aliases; several entries under one form are ambiguous.
     """
     hits = index.groupBy("list", "form").agg(
         F.array_sort(F.collect_set(F.when(F.col("kind") == "name", F.col("canonical")))).alias("names"),
         F.array_sort(F.collect_set(F.when(F.col("kind") == "alias", F.col("canonical")))).alias("also"),
     )
     best = F.when(F.size("names") > 0, F.col("names")).otherwise(F.col("also"))
-    out = tokens.join(F.broadcast(hits), ["list", "form"], "left").withColumn("candidates", best)
+    out = tokens.join(hits, ["list", "form"], "left").withColumn("candidates", best)
     n = F.coalesce(F.size("candidates"), F.lit(0))
     status = F.when(F.col("form") == "", "empty").when(n > 1, "ambiguous").when(n == 0, "no_match").when(F.size("names") > 0, "canonical").otherwise("alias")
     return out.withColumn("status", status).withColumn("canonical", F.when(F.col("status").isin("canonical", "alias"), F.get("candidates", F.lit(0)))).drop("names", "also")
 
 
 def suggestions(tokens: DataFrame, index: DataFrame, n: int = 5) -> DataFrame:
-    """(list, form, rank, canonical, ratio): the n nearest names of each unmatched form, by its best ratio to a name or alias; ties by name."""
-    pairs = tokens.select("list", "form").distinct().join(F.broadcast(index.select("list", F.col("form").alias("other"), "canonical")), "list")
-    best = pairs.withColumn("ratio", sequence_ratio("form", "other")).groupBy("list", "form", "canonical").agg(F.max("ratio").alias("ratio"))
-    order = Window.partitionBy("list", "form").orderBy(F.desc("ratio"), "canonical")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    """(list, form, rank, canonical, ratio): the n nearest names of each unmatched form, by its best ratio to a name or alias; ties by name.
+
+    One row a distinct form and list goes to Python with the list's names, sorted once; bounds on the ratio leave out
+    what cannot be among the n. A list is configuration; its names travel as one value.
+    """
+    named = index.groupBy("list").agg(F.array_sort(F.collect_set(F.struct("canonical", F.col("form").alias("other")))).alias("names"))
+    both = tokens.where("form is not null").select("list", "form").distinct().join(named, "list")
+    ranked = both.select("list", "form", F.posexplode(nearest_names("form", "names", F.lit(n))).alias("at", "s"))
+    return ranked.select("list", "form", (F.col("at") + 1).alias("rank"), "s.canonical", "s.ratio")
 
 
 def unknown_lists(catalogue: DataFrame, entries: DataFrame) -> DataFrame:
     """Fields whose reference list is not there."""
-    return catalogue.where("canonical_reference is not null").join(F.broadcast(entries.select(F.col("list").alias("canonical_reference")).distinct()), "canonical_reference", "left_anti")
+    return catalogue.where("canonical_reference is not null").join(entries.select(F.col("list").alias("canonical_reference")).distinct(), "canonical_reference", "left_anti")
 
 
 def clashes(entries: DataFrame) -> DataFrame:

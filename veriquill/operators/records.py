@@ -78,7 +78,7 @@ def completion_problems(cells: DataFrame, catalogue: DataFrame, studies: DataFra
     fields = owed.select("study_id", F.when(F.col("path").startswith("study."), "study_field_required").otherwise("record_field_required").alias("code"), "path")
     with_records = cells.where("block = 'record'").select("study_id").distinct()
     none = studies.join(with_records, "study_id", "left_anti").select("study_id", F.lit("no_records").alias("code"), F.lit(None).cast("string").alias("path"))
-    wanted = F.broadcast(catalogue.where("required and block = 'quality_check'").select("variable"))
+    wanted = catalogue.where("required and block = 'quality_check'").select("variable")
     answered = cells.where("block = 'quality_check'").where(json_kind(F.col("value")) != "null").select("study_id", "variable").distinct()
     checks = studies.select("study_id").crossJoin(wanted).join(answered, ["study_id", "variable"], "left_anti")
     checks = checks.select("study_id", F.lit("quality_check_required").alias("code"), F.concat(F.lit("quality_check."), "variable").alias("path"))

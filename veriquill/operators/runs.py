@@ -35,7 +35,7 @@ def ending(outcome: Column) -> tuple[Column, Column]:
 def checkable(cells: DataFrame, catalogue: DataFrame, made: DataFrame, most: int) -> DataFrame:
     """Applied cells that go to the checker, with `check_index`, in order of path: fields of the study or a record that the
     template has, with a value and some evidence, and with checks left. made: study_id, path, checks."""
-    spec = F.broadcast(catalogue.select("block", "variable"))
+    spec = catalogue.select("block", "variable")
     rows = cells.where(F.col("block").isin("study", "record") & (json_kind(F.col("value")) != "null") & (F.regexp_replace(F.coalesce("evidence", F.lit("")), r"(?U)\s+", "") != "")).join(spec, ["block", "variable"])
     left = rows.join(made.select("study_id", "path", "checks"), ["study_id", "path"], "left").withColumn("check_index", F.coalesce("checks", F.lit(0)) + 1).drop("checks")
     return left.where(F.col("check_index") <= most).orderBy("study_id", "path")
@@ -83,11 +83,23 @@ def turn_texts(events: DataFrame) -> DataFrame:
     )
 
 
+#: Line numbers of a session that are counted in one place.
+LINES_TOGETHER = 1 << 16
+
+
 def ordinals(checks: DataFrame) -> DataFrame:
-    """Checks of a session with their number in it and their number for the field."""
-    return checks.withColumns(
-        {"check_no": F.row_number().over(Window.partitionBy("session_id").orderBy("line_no", "path")), "field_check_no": F.row_number().over(Window.partitionBy("session_id", "path").orderBy("line_no"))}
-    )
+    """Checks of a session with their number in it and their number for the field.
+
+    A session is numbered range by range of its lines, so that a long one is no single task's.
+    """
+    part = F.floor(F.col("line_no") / LINES_TOGETHER)
+    sizes = checks.groupBy("session_id", part.alias("__part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("session_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("__before", before).drop("n")
+    placed = checks.withColumn("__part", part).join(sizes, ["session_id", "__part"])
+    number = F.col("__before") + F.row_number().over(Window.partitionBy("session_id", "__part").orderBy("line_no", "path"))
+    numbered = placed.withColumn("check_no", number).drop("__part", "__before")
+    return numbered.withColumn("field_check_no", F.row_number().over(Window.partitionBy("session_id", "path").orderBy("line_no"))).select(*checks.columns, "check_no", "field_check_no")
 
 
 def trails(mentions: DataFrame) -> DataFrame:

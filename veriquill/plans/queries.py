@@ -73,16 +73,15 @@ def quote_tiers(spark, d):
 
 @query()
 def context_windows(spark, d):
-    papers = t(spark, d, "documents").select("doc_id", "text")
-    both = _near_pairs(spark, d).join(papers, "doc_id")
-    return both.select("item_id", "doc_id", F.explode(arrow.context_windows("quote", "text", F.lit(200))).alias("w")).select("item_id", "doc_id", "w.start", "w.end", "w.text")
+    papers = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("study_id"), "text")
+    return evidence.windows(_near_pairs(spark, d), papers, 200).select("item_id", "doc_id", "start", "end", "text")
 
 
 @query()
 def nearest_wording(spark, d):
-    papers = t(spark, d, "documents").select("doc_id", "text")
+    papers = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("study_id"), "text")
     broken = _near_pairs(spark, d).withColumn("quote", F.regexp_replace("quote", "e", "o"))
-    return broken.join(papers, "doc_id").select("item_id", "doc_id", arrow.nearest_wording("quote", "text").alias("nearest"))
+    return evidence.nearest(broken, papers).select("item_id", "doc_id", "nearest")
 
 
 # ---- evidence tags

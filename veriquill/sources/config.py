@@ -26,10 +26,14 @@ def strict_yaml(text: str):
 
     class Loader(yaml.SafeLoader):
         def construct_mapping(self, node, deep=False):
-            keys = [self.construct_object(k, deep=True) for k, _ in node.value]
-            for key in keys:
-                if keys.count(key) > 1:
-                    raise ConfigError(f"key {key!r} is there twice (line {node.start_mark.line + 1})")
+            seen = set()
+            for k, _ in node.value:
+                if k.tag == "tag:yaml.org,2002:merge":  # merged mappings may be several, and their keys give way
+                    continue
+                key = self.construct_object(k, deep=True)
+                if key in seen:
+                    raise ConfigError(f"key {key!r} is there twice (line {k.start_mark.line + 1})")
+                seen.add(key)
             return super().construct_mapping(node, deep)
 
     return yaml.load(text, Loader)  # noqa: S506  a safe loader
@@ -234,15 +238,22 @@ def setting_problems(settings: Mapping) -> list[str]:
 RATES = ("input_per_1m", "output_per_1m", "cache_read_per_1m", "cache_write_per_1m")
 
 
-def rate_problems(rates: Mapping) -> list[str]:
-    """Every fault of the rate cards by role: four rates each, one more for hour-long cache writes, none negative."""
+def rate_problems(rates: object) -> list[str]:
+    """Every fault of a `rates:` block: cards by role, four rates each, one more for hour-long cache writes, none negative.
+
+    An optional rate that is null is not set. A block that is there must have a card.
+    """
+    if not isinstance(rates, Mapping) or not rates:
+        return ["rates must be cards by role; leave the key out to have none"]
     out = []
     for role, card in rates.items():
         if role not in ("extractor", "checker", "review"):
             out.append(f"{role} is no role")
-            continue
-        out += [f"{role}: {k} is missing" for k in RATES if k not in card] + [f"{role}: {k} is unknown" for k in sorted(card.keys() - {*RATES, "cache_write_1h_per_1m"})]
-        out += [f"{role}: {k} must be a number, 0 or more" for k, v in card.items() if isinstance(v, bool) or not isinstance(v, (int, float)) or v < 0]
+        elif not isinstance(card, Mapping):
+            out.append(f"{role}: a card must give rates by name")
+        else:
+            out += [f"{role}: {k} is missing" for k in RATES if card.get(k) is None] + [f"{role}: {k} is unknown" for k in sorted(map(str, card.keys() - {*RATES, "cache_write_1h_per_1m"}))]
+            out += [f"{role}: {k} must be a number, 0 or more" for k, v in card.items() if v is not None and (isinstance(v, bool) or not isinstance(v, (int, float)) or v < 0)]
     return out
 
 

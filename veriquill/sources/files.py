@@ -31,16 +31,23 @@ def figures(spark: SparkSession, root: str) -> DataFrame:
 
 def bundle_problems(papers: DataFrame) -> DataFrame:
     """(bundle, code): bundles that cannot be read, and those whose study id is not theirs alone."""
-    n = F.count("*").over(Window.partitionBy("study_id"))
-    code = F.when(F.col("study_id").isNull(), "manifest_unreadable").when(F.col("content").isNull(), "text_missing").when(n > 1, "study_id_repeated")
-    return papers.withColumn("code", code).where("code is not null").select("bundle", "code")
+    shared = papers.where("study_id is not null").groupBy("study_id").agg(F.count("*").alias("n")).where("n > 1")
+    both = papers.join(shared, "study_id", "left")
+    code = F.when(F.col("study_id").isNull(), "manifest_unreadable").when(F.col("content").isNull(), "text_missing").when(F.col("n") > 1, "study_id_repeated")
+    return both.withColumn("code", code).where("code is not null").select("bundle", "code")
 
 
 def numbered_lines(spark: SparkSession, paths: str) -> DataFrame:
-    """(file, line_no, text) of the lines of text files. The number is that of the line in its file, whatever the splits: a file is read whole."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    rows = files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "text"))
-    return rows.where("text <> ''").withColumn("line_no", F.col("line_no").cast("long"))
+    """(file, line_no, text) of the lines of text files that are not empty, numbered from 0 in their file.
+
+    Files are read in splits. A line's number is that of the first line of its split, from the lines of the splits before
+    it, and its place in the split; only counts of splits are shuffled.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.withColumn("shift", before - F.col("first")).select("file", "block", "shift")
+    return lines.where("text <> ''").join(splits, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("line_no"), "text")
 
 
 def events(lines: DataFrame, schema: str = EVENT) -> DataFrame:
@@ -69,7 +76,7 @@ def cells_of(outputs: DataFrame) -> DataFrame:
     Values stay JSON text, so that 1 and 1.0 are told apart. Bare notes are no fields.
     """
     part = lambda name, kind: F.from_json(F.get_json_object("output", f"$.{name}"), kind)
-    filled = _envelopes(outputs).where(F.col("is_envelope")).select("study_id", "block", "record_id", "role", "variable", "path", json_value("cell").alias("value"), _text_of("evidence").alias("evidence"), _text_of("notes").alias("notes"))
+    filled = _envelopes(outputs).where(F.col("is_envelope") & F.col("has_value")).select("study_id", "block", "record_id", "role", "variable", "path", json_value("cell").alias("value"), _text_of("evidence").alias("evidence"), _text_of("notes").alias("notes"))
     for block in ("initial_check", "quality_check"):
         roles = outputs.select("study_id", F.explode(part(block, "map<string,string>")).alias("role", "answers")).select("study_id", "role", F.explode(F.from_json("answers", "map<string,string>")).alias("variable", "value"))
         nothing = [F.lit(None).cast("string").alias(c) for c in ("evidence", "notes")]
@@ -95,7 +102,8 @@ def _envelopes(outputs: DataFrame) -> DataFrame:
     records = records.select("study_id", F.lit("record").alias("block"), "record_id", nothing.alias("role"), "variable", F.concat(F.lit("record."), "record_id", F.lit("."), "variable").alias("path"), "cell")
     cells = study.unionByName(records).withColumn("cell", F.coalesce("cell", F.lit("null")))
     is_envelope = F.coalesce(F.schema_of_variant(F.try_parse_json("cell")).startswith("OBJECT"), F.lit(False))
-    return cells.withColumn("is_envelope", is_envelope).withColumn("e", F.when(F.col("is_envelope"), F.from_json("cell", "struct<value:variant,evidence:variant,notes:variant>")))
+    has_value = F.coalesce(F.array_contains(F.json_object_keys("cell"), "value"), F.lit(False))
+    return cells.withColumn("is_envelope", is_envelope).withColumn("has_value", has_value).withColumn("e", F.when(F.col("is_envelope"), F.from_json("cell", "struct<value:variant,evidence:variant,notes:variant>")))
 
 
 def _records(outputs: DataFrame) -> DataFrame:
@@ -114,18 +122,20 @@ def _no_text(value: Column) -> Column:
 
 
 def structure_problems(outputs: DataFrame) -> DataFrame:
-    """(study_id, path, code): cells that are no envelopes, evidence and notes that are no text, roles that hold no answers."""
+    """(study_id, path, code, message): cells that are no envelopes or have no value, evidence and notes that are no text, roles that hold no answers."""
+    row = lambda path, code, message: ["study_id", path.alias("path"), F.lit(code).alias("code"), F.lit(message).alias("message")]
     cells = _envelopes(outputs)
-    bare = cells.where(~F.col("is_envelope")).select("study_id", "path", F.lit("not_an_envelope").alias("code"))
-    parts = [cells.where(F.col("is_envelope") & _no_text(F.col(f"e.{name}"))).select("study_id", F.concat("path", F.lit(f".{name}")).alias("path"), F.lit("type_mismatch").alias("code")) for name in ("evidence", "notes")]
+    found = cells.where(~F.col("is_envelope")).select(*row(F.col("path"), "not_an_envelope", "a field is an object of value, evidence and notes"))
+    whole = cells.where("is_envelope and has_value")
+    bare = cells.where("is_envelope and not has_value").select(*row(F.concat("path", F.lit(".value")), "missing_key", "the object has no value"))
     note = lambda c: F.from_json(c, "struct<notes:variant>")["notes"]
-    study = outputs.where(_no_text(note(F.get_json_object("output", "$.study")))).select("study_id", F.lit("study.notes").alias("path"), F.lit("type_mismatch").alias("code"))
-    records = _records(outputs).where(_no_text(note(F.col("record")))).select("study_id", F.concat(F.lit("record."), "record_id", F.lit(".notes")).alias("path"), F.lit("type_mismatch").alias("code"))
-    found = bare.unionByName(study).unionByName(records)
-    for part in parts:
+    parts = [whole.where(_no_text(F.col(f"e.{name}"))).select(*row(F.concat("path", F.lit(f".{name}")), "type_mismatch", f"{name} must be text")) for name in ("evidence", "notes")]
+    study = outputs.where(_no_text(note(F.get_json_object("output", "$.study")))).select(*row(F.lit("study.notes"), "type_mismatch", "notes must be text"))
+    records = _records(outputs).where(_no_text(note(F.col("record")))).select(*row(F.concat(F.lit("record."), "record_id", F.lit(".notes")), "type_mismatch", "notes must be text"))
+    for part in (bare, study, records, *parts):
         found = found.unionByName(part)
     for block in ("initial_check", "quality_check"):
         roles = outputs.select("study_id", F.explode(F.from_json(F.get_json_object("output", f"$.{block}"), "map<string,string>")).alias("role", "answers"))
         holds = F.coalesce(F.schema_of_variant(F.try_parse_json("answers")).startswith("OBJECT"), F.lit(False))
-        found = found.unionByName(roles.where(~holds).select("study_id", F.concat_ws(".", F.lit(block), "role").alias("path"), F.lit("not_a_role_block").alias("code")))
+        found = found.unionByName(roles.where(~holds).select(*row(F.concat_ws(".", F.lit(block), "role"), "not_a_role_block", "a role holds answers by name")))
     return found
