@@ -30,13 +30,14 @@ def match_option(value: Column, options: Column, forms: Column | None = None) ->
 def json_kind(raw: Column) -> Column:
     """What a JSON text holds: null, boolean, integer, number, string, array or object. Literals are told apart as written."""
     t = F.trim(raw)
-    return (
+    return (  # the cheap questions first
         F.when(t.isNull() | (t == "null"), "null")
+        .when(t.startswith('"'), "string")
+        .when(t.startswith("["), "array")
+        .when(t.startswith("{"), "object")
         .when(t.isin("true", "false"), "boolean")
         .when(t.rlike(r"^-?\d+$"), "integer")
         .when(t.rlike(r"^-?\d"), "number")
-        .when(t.startswith('"'), "string")
-        .when(t.startswith("["), "array")
         .otherwise("object")
     )
 

@@ -22,7 +22,7 @@ def word_hashes(text: Column) -> Column:
 
 
 def key(hashes: Column, at: Column, n: Column) -> Column:
-    """The hash of n word hashes from a place on."""
+    """The hash of n word hashes from a place on; n is part of it, as what lies beyond is left out."""
     return F.xxhash64(*[F.when(n > k, F.get(hashes, at + k)) for k in range(SHINGLE)])
 
 
@@ -33,10 +33,10 @@ def candidates(passages: DataFrame, texts: DataFrame) -> DataFrame:
     keyed = hashed.where(F.size("h") > 2).select("item_id", size.alias("n"), key(F.col("h"), F.lit(1), size).alias("key"))
     lengths = keyed.groupBy().agg(F.collect_set("n").alias("lengths"))  # at most SHINGLE numbers
     offered = texts.select("doc_id", word_hashes(F.col("text")).alias("h")).crossJoin(F.broadcast(lengths))  # one row
-    places = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(F.size("h") - n, F.lit(0))), lambda i: i + n <= F.size("h"))
-    pairs = F.array_distinct(F.flatten(F.transform("lengths", lambda n: F.transform(places(n), lambda i: F.struct(n.alias("n"), key(F.col("h"), i, n).alias("key"))))))
-    rows = offered.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.n", "p.key")
-    long = rows.join(keyed, ["n", "key"]).select("item_id", "doc_id").distinct()
+    places = lambda n: F.when(F.size("h") >= n, F.sequence(F.lit(0), F.size("h") - n)).otherwise(F.array().cast("array<int>"))
+    pairs = F.array_distinct(F.flatten(F.transform("lengths", lambda n: F.transform(places(n), lambda i: key(F.col("h"), i, n)))))
+    rows = offered.select("doc_id", F.explode(pairs).alias("key"))
+    long = rows.join(keyed, "key").select("item_id", "doc_id").distinct()
     short = hashed.where(F.size("h") < 3)
     if not (n := short.count()):
         return long

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veriquill.functions.arrow import canonical, canonical_json
 
 #: What stands for a stage that does not run.
+NO_LAYER = "nolayer"
 ABSENT = "none"
 
 
@@ -56,9 +57,9 @@ def call_fp(call: Column) -> Column:
     return fingerprint("call_fp", call)
 
 
-def engine_fp(version: Column, source: Column) -> Column:
-    """This engine's version and the hash of its sources."""
-    return fingerprint("engine_fp", version, source)
+def engine_fp(version: Column, source: Column, layer_version: Column, layer_source: Column) -> Column:
+    """This engine's version and the hash of its sources, and those of the layer that calls models, if there is one."""
+    return fingerprint("engine_fp", version, source, F.coalesce(layer_version, F.lit(NO_LAYER)), F.coalesce(layer_source, F.lit(NO_LAYER)))
 
 
 CATALOGUE_KEYS = ("variable", "description", "extraction_instruction", "field_type", "allow_other", "options", "canonical_reference", "required")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriquill.operators.sides import small_side
+
 MONEY = "decimal(38,12)"
 #: Rates in dollars for a million tokens, by counter.
 COUNTERS = {"input_tokens": "input_per_1m", "output_tokens": "output_per_1m", "cache_read_tokens": "cache_read_per_1m", "cache_write_tokens": "cache_write_per_1m", "cache_write_1h_tokens": "cache_write_1h_per_1m"}
@@ -37,7 +39,7 @@ def rate_cards(roles: DataFrame, operator: DataFrame, table: DataFrame) -> DataF
     cards = list(COUNTERS.values())
     own = operator.select("role", F.struct(*cards).alias("own"))
     listed = table.select("model", F.struct(*cards).alias("listed"))
-    both = roles.join(own, "role", "left").join(listed, "model", "left")
+    both = roles.join(small_side(own), "role", "left").join(small_side(listed), "model", "left")
     card = F.when(F.col("own").isNotNull(), F.col("own")).when(~F.col("routed"), F.col("listed"))
     return both.withColumn("card", card).select(*roles.columns, F.col("card").isNotNull().alias("priced"), "card.*")
 

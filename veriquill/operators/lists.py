@@ -1,4 +1,4 @@
-"""Reference lists: their index, what a value resolves to, and the nearest names. Whether an index is broadcast is the planner's choice, by its size."""
+"""Reference lists: their index, what a value resolves to, and the nearest names."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriquill.functions.arrow import nearest_names, normalise_text
+from veriquill.operators.sides import small_side
 
 ENTRY = "list string, pos int, canonical string, search_terms string, aliases array<string>"
 
@@ -29,7 +30,7 @@ def resolved(tokens: DataFrame, index: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("kind") == "alias", F.col("canonical")))).alias("also"),
     )
     best = F.when(F.size("names") > 0, F.col("names")).otherwise(F.col("also"))
-    out = tokens.join(hits, ["list", "form"], "left").withColumn("candidates", best)
+    out = tokens.join(small_side(hits), ["list", "form"], "left").withColumn("candidates", best)
     n = F.coalesce(F.size("candidates"), F.lit(0))
     status = F.when(F.col("form") == "", "empty").when(n > 1, "ambiguous").when(n == 0, "no_match").when(F.size("names") > 0, "canonical").otherwise("alias")
     return out.withColumn("status", status).withColumn("canonical", F.when(F.col("status").isin("canonical", "alias"), F.get("candidates", F.lit(0)))).drop("names", "also")

@@ -99,10 +99,26 @@ def asks_in_order(wire: DataFrame) -> DataFrame:
     return wire.groupBy("session_id", "field_path", "check_index").agg(rows.alias("asks"))
 
 
+def _tails(lines: DataFrame) -> DataFrame:
+    """lines with `__torn`: whether a line is no JSON and its file's last. Any other line that is none fails the job."""
+    last = lines.groupBy("file").agg(F.max("line_no").alias("__last"))
+    marked = lines.join(last, "file").withColumn("__torn", F.try_parse_json("text").isNull())
+    wrong = F.raise_error(F.format_string("line %d of %s is not JSON", "line_no", "file")).cast("string")
+    return marked.withColumn("text", F.when(F.col("__torn") & (F.col("line_no") < F.col("__last")), wrong).otherwise(F.col("text"))).drop("__last")
+
+
 def drop_torn_tail(lines: DataFrame) -> DataFrame:
     """lines (file, line_no, text) less a last line of a file that is no JSON; any other line that is none fails the job."""
-    last = F.max("line_no").over(Window.partitionBy("file"))
-    bad = F.try_parse_json("text").isNull()
-    marked = lines.withColumn("__bad", bad).withColumn("__last", F.col("line_no") == last)
-    checked = marked.withColumn("text", F.when(F.col("__bad") & ~F.col("__last"), F.raise_error(F.format_string("line %d of %s is not JSON", "line_no", "file")).cast("string")).otherwise(F.col("text")))
-    return checked.where(~(F.col("__bad") & F.col("__last"))).drop("__bad", "__last")
+    return _tails(lines).where(~F.col("__torn")).select(*lines.columns)
+
+
+def torn_tails(lines: DataFrame) -> DataFrame:
+    """(file, line_no, event, byte_length, raw, warning): what is recorded of each last line that was dropped."""
+    said = F.format_string("dropped a torn last line of %d bytes (line %d): the last write did not end", F.octet_length("text"), F.col("line_no") + 1)
+    return _tails(lines).where("__torn").select("file", "line_no", F.lit("torn_line_dropped").alias("event"), F.octet_length("text").cast("long").alias("byte_length"), F.col("text").alias("raw"), said.alias("warning"))
+
+
+def max_turns(events: DataFrame) -> DataFrame:
+    """(session_id, max_turn): the highest turn of each session, 0 if it has none. `turn` is JSON text; only whole numbers count."""
+    whole = F.when(F.col("turn").rlike(r"^[0-9]+$"), F.col("turn").cast("long"))
+    return events.groupBy("session_id").agg(F.coalesce(F.max(whole), F.lit(0)).alias("max_turn"))

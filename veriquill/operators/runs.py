@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veriquill.functions.arrow import normalise_text, sequences_alike
 from veriquill.functions.columns import json_kind
+from veriquill.operators.sides import small_side
 
 # What a loop's outcome makes of the run, and the reason it records.
 ENDINGS = {
@@ -36,7 +37,7 @@ def checkable(cells: DataFrame, catalogue: DataFrame, made: DataFrame, most: int
     """Applied cells that go to the checker, with `check_index`, in order of path: fields of the study or a record that the
     template has, with a value and some evidence, and with checks left. made: study_id, path, checks."""
     spec = catalogue.select("block", "variable")
-    rows = cells.where(F.col("block").isin("study", "record") & (json_kind(F.col("value")) != "null") & (F.regexp_replace(F.coalesce("evidence", F.lit("")), r"(?U)\s+", "") != "")).join(spec, ["block", "variable"])
+    rows = cells.where(F.col("block").isin("study", "record") & (json_kind(F.col("value")) != "null") & (F.regexp_replace(F.coalesce("evidence", F.lit("")), r"(?U)\s+", "") != "")).join(small_side(spec), ["block", "variable"])
     left = rows.join(made.select("study_id", "path", "checks"), ["study_id", "path"], "left").withColumn("check_index", F.coalesce("checks", F.lit(0)) + 1).drop("checks")
     return left.where(F.col("check_index") <= most).orderBy("study_id", "path")
 
@@ -68,7 +69,7 @@ def shown_value(raw: Column) -> Column:
 
 def role_cost_text(cost: Column, incomplete: Column, tokens: Column, unreceipted: Column) -> Column:
     """A role's cost in words: no calls, no price, a figure, or at least a figure."""
-    figure = F.format_string("$%.4f", cost)
+    figure = F.when(cost.isNotNull(), F.format_string("$%.4f", cost))
     none = cost.isNull() & ~F.coalesce(incomplete, F.lit(False)) & (F.coalesce(tokens, F.lit(0)) == 0)
     partial = F.format_string("at least %s (%d calls without a price)", F.coalesce(figure, F.lit("nothing priced")), F.coalesce(unreceipted, F.lit(0)))
     return F.when(none, "no calls").when(F.coalesce(incomplete, F.lit(False)), partial).when(cost.isNull(), "not priced").otherwise(figure)

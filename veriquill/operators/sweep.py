@@ -18,7 +18,7 @@ def sweep(cells: DataFrame, catalogue: DataFrame, entries: DataFrame, gates: Dat
     checked = values.checked(cells, catalogue)
     flat = lambda df: df.select("study_id", F.explode("errors").alias("e")).select("study_id", "e.path", "e.code", "e.message")
     referenced = values.referenced(checked, entries)
-    found = flat(checked).unionByName(flat(referenced))
+    found = values.problem_rows(checked, "study_id").unionByName(flat(referenced))
     if papers is not None or producer == "llm":
         spark = cells.sparkSession
         texts = papers if papers is not None else spark.createDataFrame([], "study_id string, text string")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from veriquill.functions.arrow import normalise_text
 from veriquill.functions.columns import Problem, integral_year, json_kind, json_string, json_strings, match_option, option_form, truthy, type_message, type_problem
 from veriquill.operators import evidence, lists
+from veriquill.operators.sides import small_side
 
 CATALOGUE = (
     "block string, section string, section_label string, qa boolean, pos int, variable string, label string, description string, extraction_instruction string, "
@@ -33,7 +34,7 @@ def checked(cells: DataFrame, catalogue: DataFrame) -> DataFrame:
     A variable the block does not have is `unknown_field`, and nothing else is said about it.
     """
     spec = catalogue.select("block", "variable", "field_type", "options", "allow_other", "evidence_rule", "canonical_reference", F.transform("options", option_form).alias("forms"), F.lit(True).alias("known"))
-    joined = cells.join(spec, ["block", "variable"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    joined = cells.join(small_side(spec), ["block", "variable"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
     raw, kind, text, spelled, year = F.col("value"), F.col("__kind"), F.col("__text"), F.col("__matched"), F.col("__year")
     # each step is a column of its own, so that what a value holds is found once
     joined = joined.withColumn("__kind", json_kind(raw))
@@ -55,6 +56,16 @@ def checked(cells: DataFrame, catalogue: DataFrame) -> DataFrame:
     return out.withColumn("value_out", value).withColumn("errors", wrong).drop("__kind", "__text", "__matched", "__year", "forms")
 
 
+def problem_rows(cells: DataFrame, *keep: str) -> DataFrame:
+    """The problems of `checked` cells as rows: the kept columns, path, code, message.
+
+    Cells without one are left out by what decides it; exploding their empty lists would have the planner make all lists
+    twice, once to see whether they are empty.
+    """
+    wrong = cells.where("not known or type_code is not null").select(*keep, F.explode_outer("errors").alias("e"))
+    return wrong.select(*keep, "e.path", "e.code", "e.message")
+
+
 def referenced(cells: DataFrame, entries: DataFrame) -> DataFrame:
     """For the cells of `checked` that name a reference list and passed their type: path, study_id, errors, value_out, canonicalisations.
 
@@ -67,7 +78,7 @@ def referenced(cells: DataFrame, entries: DataFrame) -> DataFrame:
     tokens = tokens.select("study_id", "path", "value", "is_list", F.col("canonical_reference").alias("list"), F.posexplode_outer("elements").alias("at", "token"))
     index = lists.reference_index(entries)
     have = entries.select("list", F.lit(True).alias("available")).distinct()
-    found = lists.resolved(tokens.withColumn("form", normalise_text("token")), index).join(have, "list", "left")
+    found = lists.resolved(tokens.withColumn("form", normalise_text("token")), index).join(small_side(have), "list", "left")
     off = found.where("status = 'no_match' and available").select("list", "form").distinct()
     near = lists.suggestions(off, index).groupBy("list", "form").agg(F.array_sort(F.collect_list(F.struct("rank", "canonical"))).alias("near"))
     found = found.join(near, ["list", "form"], "left")
@@ -115,7 +126,7 @@ def gate_warnings(cells: DataFrame, gates: DataFrame) -> DataFrame:
     named = gates.select(F.col("when_field").alias("variable"), F.lit("when").alias("part"), "when_field", "field", "allowed").unionByName(
         gates.select(F.col("field").alias("variable"), F.lit("field").alias("part"), "when_field", "field", "allowed")
     )
-    met = cells.where("block = 'record'").join(named, "variable")
+    met = cells.where("block = 'record'").join(small_side(named), "variable")
     both = met.groupBy("study_id", "record_id", "when_field", "field", "allowed").agg(
         F.max(F.when(F.col("part") == "when", json_string(F.col("value")))).alias("controller"), F.max(F.when(F.col("part") == "field", F.col("value"))).alias("gated")
     )
@@ -133,7 +144,7 @@ def missing_required(cells: DataFrame, catalogue: DataFrame, studies: DataFrame)
     owners = studies.select("study_id", F.lit("study").alias("block"), F.lit("").alias("record_id")).unionByName(
         cells.where("block = 'record'").select("study_id", "block", F.coalesce("record_id", F.lit("")).alias("record_id")).distinct()
     )
-    lacking = owners.join(required, "block").join(have, ["study_id", "block", "record_id", "variable"], "left_anti")
+    lacking = owners.join(small_side(required), "block").join(have, ["study_id", "block", "record_id", "variable"], "left_anti")
     return lacking.select("study_id", F.when(F.col("block") == "study", F.concat(F.lit("study."), "variable")).otherwise(F.concat(F.lit("record."), "record_id", F.lit("."), "variable")).alias("path"))
 
 
@@ -141,7 +152,7 @@ def filled_counts(cells: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(study_id, block, record_id, filled, total): how many fields of each block or record have a value."""
     totals = catalogue.groupBy("block").agg(F.count("*").alias("total"))
     filled = cells.groupBy("study_id", "block", "record_id").agg(F.count_if(json_kind(F.col("value")) != "null").alias("filled"))
-    return filled.join(totals, "block", "left").select("study_id", "block", "record_id", "filled", "total")
+    return filled.join(small_side(totals), "block", "left").select("study_id", "block", "record_id", "filled", "total")
 
 
 def envelopes(cells: DataFrame, catalogue: DataFrame, entries: DataFrame, papers: DataFrame, labels: DataFrame, required: bool = True) -> DataFrame:

@@ -65,13 +65,24 @@ def _near_pairs(spark, d) -> DataFrame:
     return both.withColumn("study_id", F.col("doc_id").cast("string"))
 
 
-@query()
+# Passages stand as written, in capitals, with an editor's mark, or with a question mark (which takes the full stop before it along).
+TIERS = """q AS (SELECT item_id, doc_id, d.text AS paper, b.text AS passage, item_id % 4 AS k, CASE item_id % 4 WHEN 3 THEN regexp_replace(b.text, '[.,;:!?]+\\s*$', '') ELSE b.text END AS words FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+f AS (SELECT *, CASE k WHEN 0 THEN 'direct' WHEN 1 THEN 'case_folded' ELSE 'tolerant' END AS tier, CAST(instr(paper, words) - 1 AS BIGINT) AS "start", CAST(instr(paper, words) - 1 + length(words) AS BIGINT) AS "end" FROM q)"""
+
+
+@query(f"""WITH {TIERS} SELECT item_id, doc_id, true AS matched, tier, 'literal' AS reading, "start", "end" FROM f""")
 def quote_tiers(spark, d):
     papers = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("study_id"), "text")
     return evidence.located(_near_pairs(spark, d), papers).select("item_id", "doc_id", "found.matched", "found.tier", "found.reading", "found.start", "found.end")
 
 
-@query()
+@query(
+    f"""WITH {TIERS}, e AS (SELECT *, greatest(0, "start" - 200) AS a, least(length(paper), "end" + 200) AS z FROM f),
+l AS (SELECT *, length(split_part(reverse(substr(paper, 1, a)), chr(10), 1)) AS back, length(split_part(substr(paper, z + 1), chr(10), 1)) AS ahead FROM e),
+w AS (SELECT *, CASE WHEN back <= 250 THEN a - back WHEN regexp_matches(substr(paper, a + 1, 1), '[\\p{{L}}\\p{{N}}]') THEN a - length(regexp_extract(right(substr(paper, 1, a), 24), '[\\p{{L}}\\p{{N}}]*$')) ELSE a END AS lo,
+CASE WHEN z = length(paper) THEN z WHEN ahead <= 250 THEN z + ahead WHEN regexp_matches(substr(paper, z, 1), '[\\p{{L}}\\p{{N}}]') THEN z + length(regexp_extract(substr(paper, z + 1, 24), '^[\\p{{L}}\\p{{N}}]*')) ELSE z END AS hi FROM l)
+SELECT item_id, doc_id, CAST(lo AS BIGINT) AS "start", CAST(hi AS BIGINT) AS "end", regexp_replace(substr(paper, lo + 1, "start" - lo) || '[[QUOTE]]' || substr(paper, "start" + 1, "end" - "start") || '[[/QUOTE]]' || substr(paper, "end" + 1, hi - "end"), '^\\s+|\\s+$', '', 'g') AS text FROM w"""
+)
 def context_windows(spark, d):
     papers = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("study_id"), "text")
     return evidence.windows(_near_pairs(spark, d), papers, 200).select("item_id", "doc_id", "start", "end", "text")
@@ -89,7 +100,7 @@ def nearest_wording(spark, d):
 
 @query("""SELECT page_id, CAST(len(regexp_extract_all(e, '(?s)<q>(.*?)</q>', 1)) AS BIGINT) AS n_quotes, regexp_extract_all(e, '(?s)<q>(.*?)</q>', 1)[1] AS first_quote,
 regexp_extract_all(e, '(?s)<q>(.*?)</q>', 1) = regexp_extract_all(e, '(?s)<q>([^<]*)</q>', 1) AND NOT contains(e, '<q><q>') AS plain
-FROM (SELECT page_id, replace(replace(substr(html, 1, 4000), '<li>', '<q>'), '</li>', '</q>') AS e FROM pages)""")
+FROM (SELECT page_id, replace(replace(html, '<li>', '<q>'), '</li>', '</q>') AS e FROM pages)""")
 def evidence_tags(spark, d):
     e = t(spark, d, "pages").select("page_id", F.replace(F.replace("html", F.lit("<li>"), F.lit("<q>")), F.lit("</li>"), F.lit("</q>")).alias("e"))
     found = columns.tag_texts(F.col("e"), "q")
@@ -154,7 +165,7 @@ UNION ALL SELECT 'o_orderstatus', 'empty_value' FROM o WHERE m5 = 0)
 SELECT variable, code, count(*) AS n FROM e GROUP BY ALL""")
 def type_checks(spark, d):
     checked = values.checked(order_cells(spark, d), order_catalogue(spark))
-    return checked.select("variable", F.explode("errors.code").alias("code")).groupBy("variable", "code").agg(F.count("*").alias("n"))
+    return values.problem_rows(checked, "variable").groupBy("variable", "code").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT CASE lower(o_orderpriority) WHEN '1-urgent' THEN '"1-urgent"' WHEN '2-high' THEN '"2-HIGH"' WHEN '3-medium' THEN '"3-MEDIUM"' ELSE '"' || o_orderpriority || '"' END AS value_out, count(*) AS n
@@ -384,10 +395,13 @@ def line_calls(spark, d) -> DataFrame:
 LINE_SQL = """SELECT l_orderkey, l_returnflag, l_linenumber <> 7 AS receipted, CAST(l_quantity * 1000 AS BIGINT) AS i, CAST(l_quantity * 10 AS BIGINT) AS o, CASE WHEN l_returnflag <> 'R' OR l_orderkey % 2 = 0 THEN (CAST(l_quantity * 1000 AS BIGINT) * 325 + CAST(l_quantity * 10 AS BIGINT) * 1550) END AS c FROM lineitem"""
 
 
-@query(f"""SELECT l_returnflag, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, count(*) AS calls FROM ({LINE_SQL}) GROUP BY l_returnflag""")
+@query(
+    f"""SELECT l_returnflag, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, count(*) AS calls, CASE WHEN bool_or(receipted AND c IS NULL) THEN NULL ELSE CAST(sum(c) FILTER (receipted) AS DOUBLE) / 100000000 END AS cost_usd FROM ({LINE_SQL}) GROUP BY l_returnflag"""
+)
 def cost_ledger(spark, d):
-    calls = line_calls(spark, d)
-    return calls.groupBy("l_returnflag").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("calls"))
+    calls = line_calls(spark, d).withColumns({c: F.lit(0).cast("long") for c in ("cache_read_tokens", "cache_write_tokens")})
+    by = ["l_returnflag"]
+    return ledger.usage(calls, by).join(ledger.recorded_cost(calls, by), by).select(*by, "input_tokens", "output_tokens", "calls", "cost_usd")
 
 
 @query(f"""SELECT l_orderkey, CASE WHEN bool_or(receipted AND c IS NULL) THEN NULL WHEN count_if(receipted AND c IS NOT NULL) > 0 THEN CAST(coalesce(sum(c) FILTER (receipted), 0) AS DOUBLE) / 100000000 END AS cost_usd, count_if(NOT receipted) > 0 AS cost_incomplete, CAST(count_if(NOT receipted) AS BIGINT) AS unreceipted_calls FROM ({LINE_SQL}) GROUP BY l_orderkey""")
@@ -423,9 +437,10 @@ def structure_strings(spark, d):
     return t(spark, d, "orders").select(identity.structure(k % 3, k % 2 != 0, k % 7 != 0, k % 5 == 0).alias("structure")).groupBy("structure").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT event_id, sha256(replace(props, ' ', '')) AS sha FROM events""")
+@query("""SELECT event_id, sha256('{"a":"\\u00e9' || event_type || '","n":[' || user_id || ',2.5e-07,null],"z":' || replace(props, ' ', '') || '}') AS sha FROM events""")
 def canonical_json(spark, d):
-    return t(spark, d, "events").select("event_id", identity.sha(arrow.canonical_json("props")).alias("sha"))
+    raw = F.concat(F.lit('{ "z": '), "props", F.lit(', "n": ['), "user_id", F.lit(', 0.00000025, null], "a": "é'), "event_type", F.lit('"}'))
+    return t(spark, d, "events").select("event_id", identity.sha(arrow.canonical_json(raw)).alias("sha"))
 
 
 @query("""SELECT o_orderkey, list_filter(['status', 'priority'], lambda x: CASE x WHEN 'status' THEN o_orderstatus <> 'O' ELSE o_orderpriority <> '5-LOW' END) AS drifted FROM orders""")
