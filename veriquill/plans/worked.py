@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriquill.functions import arrow, columns, render
-from veriquill.operators import evidence, history, identity, ledger, lists, log, records, runs, sweep, values
-from veriquill.plans.queries import nation_entries, order_catalogue, order_cells, query, t, text_json
+from veriquill.operators import asks, evidence, history, identity, ledger, lists, log, records, runs, sweep, tools, values
+from veriquill.plans.queries import GATES, QUERIES, SQL, nation_entries, order_catalogue, order_cells, query, t, text_json
 from veriquill.sources import config, files, folders, sinks
 
 
+__all__ = ["QUERIES", "SQL"]
+
+
 def literal(x) -> str:
     if x is None:
         return "NULL"
@@ -1033,3 +1036,147 @@ def single_values(spark, d):
         "year": api.validate_value(spark, {"variable": "y", "field_type": "year"}, 1999.0),
     }
     return spark.createDataFrame([(k, r.ok, json.dumps(r.value), ",".join(e["code"] for e in r.errors)) for k, r in made.items()], "key string, ok boolean, value string, codes string")
+
+
+# ---- tool calls
+
+
+CALLS = [
+    ("a", "update_record", "e_1", None, "object", 2, None),
+    ("b", "update_record", None, None, "object", 2, "missing_field"),
+    ("c", "update_record", "e_2", None, "object", 2, "unknown_record"),  # removed before
+    ("d", "update_record", "e_3", None, "object", 2, "unknown_record"),  # added later
+    ("e", "update_record", "e_1", None, "array", 0, "type_mismatch"),
+    ("f", "update_record", "e_1", None, "object", 0, "missing_fields"),
+    ("g", "remove_record", "e_1", " ", None, None, "missing_field"),
+    ("h", "remove_record", "e_9", "wrong", None, None, "unknown_record"),
+    ("i", "remove_record", "e_1", "wrong", None, None, None),
+    ("j", "abandon_extraction", None, None, None, None, "missing_field"),
+    ("k", "abandon_extraction", None, "no text", None, None, None),
+    ("l", "view_record", "", None, None, None, "missing_record_id"),
+    ("m", "view_record", "e_1", None, None, None, None),
+    ("n", "add_record", None, None, "object", 0, "missing_fields"),
+    ("o", "add_record", None, None, "string", 0, "type_mismatch"),
+    ("p", "view_summary", None, None, None, None, None),
+]
+
+
+@query(results("call_id VARCHAR, code VARCHAR", *((c[0], c[6]) for c in CALLS if c[6])))
+def refused_calls(spark, d):
+    """The first thing that keeps a call from being carried out at all."""
+    calls = spark.createDataFrame([("s", c[0], 10, *c[1:6]) for c in CALLS], "study_id string, call_id string, seq long, tool string, record_id string, reason string, fields_kind string, n_fields long")
+    lives = spark.createDataFrame([("s", "e_1", 1, None), ("s", "e_2", 2, 5), ("s", "e_3", 20, None)], "study_id string, record_id string, since long, until long")
+    return tools.call_problems(calls, lives).select("call_id", "code")
+
+
+@query(
+    """SELECT 'c' || o_orderkey AS call_id, 'record.order_' || o_orderkey || '.' || f AS path FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '1-URGENT' ELSE o_orderpriority END AS p, o_orderkey % 3 AS c FROM orders WHERE o_orderkey % 4 < 3), (VALUES ('o_comment'), ('o_totalprice')) AS x(f)
+WHERE f = 'o_comment' AND c <> 1 AND lower(p) NOT IN ('1-urgent', '2-high') OR f = 'o_totalprice' AND lower(p) NOT IN ('3-medium', '5-low')"""
+)
+def merged_gates(spark, d):
+    """Gates over each updated record as the call would leave it: what the call says, and what the record held."""
+    cells = order_cells(spark, d).where("variable in ('o_orderpriority', 'o_comment', 'o_totalprice')").withColumn("k", F.regexp_extract("record_id", r"(\d+)$", 1).cast("long"))
+    mine = cells.where("k % 4 < 3").withColumn("call_id", F.concat(F.lit("c"), "k"))
+    proposals = mine.where("variable = 'o_orderpriority'").withColumn("value", F.when(F.col("k") % 2 == 0, F.lit('"1-URGENT"')).otherwise(F.col("value")))
+    rules = spark.createDataFrame(GATES, "when_field string, field string, allowed array<string>")
+    return tools.merged_gate_warnings(proposals, cells, rules).select("call_id", "path")
+
+
+@query(
+    """SELECT 'record.order_' || o_orderkey || '.o_orderkey' AS path, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE 'null' END AS "before", CAST(o_orderkey + 1 AS VARCHAR) AS "after" FROM orders"""
+)
+def call_diffs(spark, d):
+    """What each accepted value replaces."""
+    cells = order_cells(spark, d).where("variable = 'o_orderkey'")
+    accepted = cells.select("study_id", F.lit("c").alias("call_id"), "path", (F.col("value").cast("long") + 1).cast("string").alias("value"))
+    return tools.diffs(accepted, cells.where(F.col("value").cast("long") % 2 == 0)).select("path", "before", "after")
+
+
+@query(
+    results(
+        "path VARCHAR, block VARCHAR, record_id VARCHAR, variable VARCHAR, field_type VARCHAR, value VARCHAR",
+        ("study.design", "study", None, "design", "categorical", '" cohort STUDY"'),
+        ("record.r_1.gauge", "record", "r_1", "gauge", "string", '"sg"'),
+        ("record.r_1.lost", "record", "r_1", "lost", "string", None),
+    )
+)
+def fields_of_paths(spark, d):
+    """What a path names: the field it is, and what stands there now. A record that is gone and a field unknown name nothing."""
+    paths = spark.createDataFrame([("s", p) for p in ("study.design", "record.r_1.gauge", "record.r_1.lost", "record.r_77.gauge", "study.gauge", "quality_check.llm.done", "record.r_1")], "study_id string, path string")
+    cells = small_cells(spark)
+    known = tools.specs_of(paths, small_catalogue(spark), cells.where("block = 'record'"))
+    return tools.live_cells(known, cells).select("path", "block", "record_id", "variable", "field_type", "value")
+
+
+@query(results("role VARCHAR, path VARCHAR", ("extractor", "study.a"), ("extractor", "quality_check.extractor.done"), ("review", "study.a")))
+def study_views(spark, d):
+    """What each role is shown of the study: its own checks alone, and to the reviewer none."""
+    rows = [("s", "study", None, None, "a", "study.a", "1", None, None)] + [("s", "quality_check", None, r, "done", f"quality_check.{r}.done", "true", None, None) for r in ("extractor", "review")]
+    cells = spark.createDataFrame(rows, values.CELL)
+    shown = [tools.study_view(cells, r).select(F.lit(r).alias("role"), "path") for r in ("extractor", "review")]
+    return shown[0].unionByName(shown[1])
+
+
+@query("""SELECT 'record.order_' || o_orderkey || '.' || v AS path FROM orders, (VALUES ('o_orderkey'), ('o_comment')) AS x(v) WHERE o_orderstatus = 'P'""")
+def record_views(spark, d):
+    cells = order_cells(spark, d).where("variable in ('o_orderkey', 'o_comment')")
+    wanted = t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("study_id"), F.concat(F.lit("order_"), "o_orderkey").alias("record_id"))
+    return tools.record_view(cells, wanted).select("path")
+
+
+@query("""SELECT 'order_' || o_orderkey AS record_id, CAST(8 - (o_orderkey % 3 = 1)::INT AS BIGINT) AS filled, CAST(8 AS BIGINT) AS total, 'order_' || o_orderkey || ' | ' || o_orderpriority AS label FROM orders""")
+def summary_views(spark, d):
+    return tools.summaries(order_cells(spark, d), order_catalogue(spark), ["o_orderpriority"]).select("record_id", "filled", "total", "label")
+
+
+@query("""SELECT user_id, coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (event_type NOT IN (CASE WHEN user_id % 2 = 0 THEN 'view' ELSE 'click' END, 'error')), '') AS labels FROM events GROUP BY user_id""")
+def unattached_figures(spark, d):
+    """Figures that are hashed but not shown."""
+    hashed = t(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("hashed"))
+    shown = F.array(F.when(F.col("user_id") % 2 == 0, "view").otherwise("click"), F.lit("error"))
+    return hashed.select("user_id", F.array_join(tools.unattached(F.col("hashed"), shown), ",").alias("labels"))
+
+
+@query(
+    results(
+        "id BIGINT, message VARCHAR",
+        (1, 'study.design: the design\n_How it is extracted_: look | _Allowed values_: Cohort | RCT | a study | "448 patients" | RCT | \n## The extractor\'s note\n\nAn explanation of the value, not evidence for it.\n\nsure'),
+        (2, "record.r.kind:  | _Allowed values_ (an open list; the value is one of it, so judge the choice): A | B | Other (specify) | (nothing is known of the study's identity) | (no evidence was given) | A | "),
+        (3, "record.r.kind:  | _Usual values_ (an open list; the value is not one of it, which is allowed, unless one of these fits better): A | B | Other (specify) | (nothing is known of the study's identity) | The paper's words:\n  1. \"x\"\n  2. \"y\"\nShown in: Table 1 | C | "),
+        (4, "record.r.gauges:  | _Type_: names from the list gauges, spelled as there; judge whether the evidence bears out these names | (nothing is known of the study's identity) | \"only words\" | a; b | "),
+        (5, "record.r.n:  | _Type_: integer | (nothing is known of the study's identity) | Shown in: Fig | 3 | "),
+    )
+)
+def checker_messages(spark, d):
+    """What a checker is asked, field by field."""
+    rows = [
+        (1, "study.design", " the design ", "look", "categorical", ["Cohort", "RCT"], False, None, '"RCT"', "<q>448 patients</q> because", "sure ", " a study "),
+        (2, "record.r.kind", None, None, "categorical", ["A", "B"], True, None, '"A"', None, " ", None),
+        (3, "record.r.kind", None, None, "categorical", ["A", "B"], True, None, '"C"', "<q>x</q><q>y</q><img> Table 1 </img>", None, ""),
+        (4, "record.r.gauges", None, None, "string_list", None, False, "gauges", '["a", "b"]', "only words", None, None),
+        (5, "record.r.n", None, None, "integer", None, False, None, "3", "<img>Fig</img>", None, None),
+    ]
+    cells = spark.createDataFrame(rows, "id long, path string, description string, extraction_instruction string, field_type string, options array<string>, allow_other boolean, canonical_reference string, value string, evidence string, notes string, identity string")
+    return asks.messages(cells, "{field_path}: {field_description}{extraction_instruction_block} | {allowed_values_block} | {identity_context} | {evidence_block} | {value} | {notes_block}").select("id", "message")
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'The run failed. ' || user_id WHEN 'purchase' THEN 'The run ended.' WHEN 'click' THEN 'A call was tried again.' END AS said FROM events""")
+def event_sentences(spark, d):
+    k = F.col("event_type")
+    name = F.when(k == "error", "error").when(k == "purchase", "terminate").when(k == "click", "provider_retry").otherwise("assistant_text")
+    return t(spark, d, "events").select("event_id", asks.event_sentence(name, F.when(k == "error", F.col("user_id").cast("string")).when(k == "click", " ")).alias("said"))
+
+
+@query(results("names VARCHAR", ("a,b,c",)))
+def cited_partials(spark, d):
+    """Every partial that a set of prompts cites, each once."""
+    texts = ["{include:a} {include_if:images:b}", "{include:c}{include:a}"]
+    return spark.createDataFrame([(",".join(sorted({n for x in texts for n in render.cited_partials(x)})),)], "names string")
+
+
+@query("""SELECT event_id, event_type AS path, event_id % 3 AS session FROM events WHERE event_type IN ('view', 'click')""")
+def verdicts_by_path(spark, d):
+    """Verdicts of a batch, one a field, as the fan-out gives them back: sorted by path when they are listed."""
+    e = t(spark, d, "events").where("event_type in ('view', 'click')")
+    answers = e.select("event_id", F.col("event_type").alias("path"), (F.col("event_id") % 3).alias("session"), F.lit("ok").alias("verdict"), F.lit("r").alias("rationale"), F.lit(None).cast("string").alias("error"))
+    return runs.verdicts(answers).orderBy("path").select("event_id", "path", "session")
