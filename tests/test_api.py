@@ -63,6 +63,16 @@ def test_command_line(spark, review, capsys):
     code, out = run("validate", review / "config", review / "outputs", "--papers", review / "papers")
     assert code == 1 and {line.rpartition("\t")[0] for line in out.splitlines()} == {"error\tp1\trecord.effect_1.gauge.evidence[<q>0]\tquote_not_in_text", "warning\tp1\tothers\tcategory_gate"}
     assert run("validate-bundle", review / "papers") == (0, "")
+    calls = [
+        {"study_id": "p1", "call_id": "a", "seq": 1, "tool": "update_study", "fields": {"abstract": {"value": "x", "evidence": "<q>all trials</q>"}}},
+        {"study_id": "p1", "call_id": "b", "seq": 2, "tool": "add_record", "fields": {"gauge": {"value": "lc", "evidence": "<q>A load cell</q>"}}},
+        {"study_id": "nobody", "call_id": "c", "seq": 3, "tool": "add_record", "fields": {"gauge": {"value": "lc"}}},
+    ]
+    (review / "calls.jsonl").write_text("\n".join(map(json.dumps, calls)) + "\n")
+    code, out = run("extract", review / "config", review / "papers", review / "calls.jsonl", review / "made")
+    written = [json.loads(x) for p in (review / "made" / "outputs").glob("*.json") for x in p.read_text().splitlines()]
+    (document,) = [json.loads(w["output"]) for w in written]
+    assert document["study"]["abstract"]["value"] == "x" and [(r["record_id"], r["gauge"]["value"]) for r in document["records"]] == [("effect_1", "Load Cell")]
     code, out = run("render-template", review / "config", "--view", "publication")
     assert code == 0 and "Name from the Gauges" in out
     code, out = run("fingerprint", review / "config")

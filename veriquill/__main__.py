@@ -1,4 +1,4 @@
-"""The command line: validate, validate-bundle, render-template, fingerprint, transcript."""
+"""The command line: extract, validate, validate-bundle, render-template, fingerprint, transcript."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from veriquill import api
 from veriquill.functions import render
-from veriquill.operators import identity
-from veriquill.sources import files
-from veriquill.sources.config import ConfigError
+from veriquill.operators import identity, lists, log, records, replay
+from veriquill.sources import files, sinks
+from veriquill.sources.config import ConfigError, reference_entries
 
 
 def session() -> SparkSession:
@@ -54,8 +54,6 @@ def fingerprint(args) -> int:
     spark, bundle = session(), api.load_config_bundle(args.config)
     print("template", identity.catalogue_hash(bundle.template.catalogue(spark)).collect()[0].hash)
     if bundle.lists:
-        from veriquill.sources.config import reference_entries
-
         print("references", identity.reference_hash(reference_entries(spark, bundle.lists)).collect()[0].hash)
     return 0
 
@@ -69,10 +67,28 @@ def transcript(args) -> int:
     return 0
 
 
+def extract(args) -> int:
+    """Calls that a model made (JSON lines), carried out over the papers: outputs by study in the folder `out`; 1 if any study lacks something."""
+    spark, bundle = session(), api.load_config_bundle(args.config)
+    papers = log.first_of(files.papers(spark, args.papers).where("study_id is not null and text is not null"), ["study_id"], "bundle")  # a study is done once
+    calls = spark.read.schema(replay.CALL).json(args.calls).join(papers.select("study_id"), "study_id", "left_semi")
+    labels = papers.select("study_id", F.explode("exhibits.label").alias("label"))
+    entries = reference_entries(spark, bundle.lists) if bundle.lists else spark.createDataFrame([], lists.ENTRY)
+    catalogue = bundle.template.catalogue(spark)
+    cells, outcomes = replay.carried_out(calls, catalogue, entries, papers.select("study_id", "text"), labels, bundle.template.entity)
+    sinks.outputs(cells).write.mode("overwrite").json(f"{args.out}/outputs")
+    outcomes.write.mode("overwrite").json(f"{args.out}/calls")
+    wrong = False
+    for r in records.completion_problems(cells, catalogue, papers.select("study_id")).orderBy("study_id", "code", "path").toLocalIterator():
+        print(f"{r.study_id}\t{r.code}\t{r.path or ''}")
+        wrong = True
+    return int(wrong)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="veriquill", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for f, options in ((validate, ("config", "outputs", "papers?", "producer=llm")), (validate_bundle, ("papers",)), (render_template, ("config", "view=operational")), (fingerprint, ("config",)), (transcript, ("log", "out?"))):
+    for f, options in ((extract, ("config", "papers", "calls", "out")), (validate, ("config", "outputs", "papers?", "producer=llm")), (validate_bundle, ("papers",)), (render_template, ("config", "view=operational")), (fingerprint, ("config",)), (transcript, ("log", "out?"))):
         command = commands.add_parser(f.__name__.replace("_", "-"), help=f.__doc__)
         for o in options:
             name, _, default = o.rstrip("?").partition("=")

@@ -103,6 +103,19 @@ def drift(recorded: DataFrame, now: DataFrame, key: str, axes: list[str]) -> Dat
     return both.select(key, F.array_compact(F.array(*[F.when(~F.col(f"old_{a}").eqNullSafe(F.col(a)), a) for a in axes])).alias("drifted"))
 
 
+def content_instrument_fp(prompts: Mapping[str, str], template: str, tools: list[dict], references: str, settings: Mapping, context_fields: list[str], default_chars: int = 300, default_checks: int = 2) -> str:
+    """The identity of all that a configuration says, without models: as `instrument_fp`, from prompts, hashes and settings.
+
+    Absent settings have the defaults of a run; a checker that is off has no context, whatever its width is set to.
+    """
+    checks = int(settings.get("max_checks_per_field", default_checks))
+    chars = settings.get("checker_context_chars")
+    width = ABSENT if checks == 0 else str(default_chars if chars is None else chars)
+    shape = f"checks{checks}{'' if settings.get('final_review', True) else '_noreview'}{'_checkreview' if settings.get('check_reviewer_edits', False) else ''}"
+    parts = [texts_hash(prompts), template, tool_set_hash(tools), shape, references, f"ctx{width}", canonical(list(context_fields))]
+    return "instrument_fp:" + hashlib.sha256("|".join(parts).encode()).hexdigest()
+
+
 def tool_set_hash(tools: list[dict]) -> str:
     """Of a tool catalogue as it is sent, in its order."""
     return hashlib.sha256(canonical(tools).encode()).hexdigest()

@@ -29,6 +29,11 @@ def record_ids(adds: DataFrame) -> DataFrame:
     return adds.withColumn("record_id", F.concat("entity", F.lit("_"), F.row_number().over(order)))
 
 
+def counters(adds: DataFrame) -> DataFrame:
+    """(study_id, entity, last): the highest number given to a record of each kind, removed ones included; a resumed run goes on from it."""
+    return adds.groupBy("study_id", "entity").agg(F.count("*").alias("last"))
+
+
 def current_cells(writes: DataFrame, removals: DataFrame) -> DataFrame:
     """The last write of each path, less those of removed records.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriquill.functions import arrow, columns, render
-from veriquill.operators import asks, evidence, history, identity, ledger, lists, log, records, runs, sweep, tools, values
+from veriquill.operators import asks, evidence, history, identity, ledger, lists, log, records, replay, runs, sweep, tools, values
 from veriquill.plans.queries import GATES, QUERIES, SQL, nation_entries, order_catalogue, order_cells, query, t, text_json
 from veriquill.sources import config, files, folders, sinks
 
@@ -1180,3 +1180,91 @@ def verdicts_by_path(spark, d):
     e = t(spark, d, "events").where("event_type in ('view', 'click')")
     answers = e.select("event_id", F.col("event_type").alias("path"), (F.col("event_id") % 3).alias("session"), F.lit("ok").alias("verdict"), F.lit("r").alias("rationale"), F.lit(None).cast("string").alias("error"))
     return runs.verdicts(answers).orderBy("path").select("event_id", "path", "session")
+
+
+REPLAYED = [
+    ("c1", 1, "update_study", None, None, {"design": '{"value": "rct", "evidence": "<q>448 patients</q>"}', "year": '{"value": 1999.5}'}),
+    ("c2", 2, "add_record", None, None, {"n": '{"value": "x"}'}),  # nothing passes: no record, no number
+    ("c3", 3, "add_record", None, None, {"n": '{"value": 1}', "gauge": '{"value": "sg", "evidence": "<q>nowhere</q>"}'}),
+    ("c4", 4, "add_record", None, None, {"n": '{"value": 2}'}),
+    ("c5", 5, "update_record", "record_1", None, {"n": '{"value": 5}', "gauge": '{"value": "SG", "evidence": "<q>The cohort</q>", "notes": "seen"}'}),
+    ("c6", 6, "remove_record", "record_2", "twice", None),
+    ("c7", 7, "update_record", "record_2", None, {"n": '{"value": 9}'}),  # it is gone
+    ("c8", 8, "remove_record", "record_1", " ", None),  # no reason
+    ("c9", 9, "add_record", None, None, {"n": '{"value": 3}'}),
+]
+
+
+def _replayed(spark) -> tuple[DataFrame, DataFrame]:
+    calls = spark.createDataFrame([("s", *c) for c in REPLAYED], replay.CALL)
+    return replay.carried_out(calls, small_catalogue(spark), spark.createDataFrame(ENTRIES, lists.ENTRY), *small_papers(spark))
+
+
+@query(
+    results(
+        "path VARCHAR, value VARCHAR, evidence VARCHAR, notes VARCHAR",
+        ("study.design", '"RCT"', "<q>448 patients</q>", None),
+        ("record.record_1.n", "5", None, None),
+        ("record.record_1.gauge", '"Strain – Gauge"', "<q>The cohort</q>", "seen"),
+        ("record.record_3.n", "3", None, None),
+    )
+)
+def replayed_cells(spark, d):
+    """What stands after a run of calls: accepted fields alone, the last of each, without removed records."""
+    return _replayed(spark)[0].select("path", "value", "evidence", "notes")
+
+
+@query(
+    results(
+        "call_id VARCHAR, status VARCHAR, applied BIGINT, failed BIGINT, record_id VARCHAR, code VARCHAR",
+        ("c1", "partial", 1, 1, None, None),
+        ("c2", "validation_failed", 0, 1, None, None),
+        ("c3", "partial", 1, 1, "record_1", None),
+        ("c4", "ok", 1, 0, "record_2", None),
+        ("c5", "ok", 2, 0, "record_1", None),
+        ("c6", "ok", 0, 0, "record_2", None),
+        ("c7", "validation_failed", 0, 0, "record_2", "unknown_record"),
+        ("c8", "validation_failed", 0, 0, "record_1", "missing_field"),
+        ("c9", "ok", 1, 0, "record_3", None),
+    )
+)
+def replayed_calls(spark, d):
+    return _replayed(spark)[1].select("call_id", "status", "applied", "failed", "record_id", "code")
+
+
+@query("""SELECT l_orderkey AS study_id, 'line' AS entity, count(*) AS last FROM lineitem GROUP BY 1""")
+def record_counters(spark, d):
+    return records.counters(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("study_id"), F.lit("line").alias("entity")))
+
+
+@query(results("id BIGINT, clean VARCHAR", (1, '{"api_key": "***", "model": "m"}'), (2, '{"x-api-key":"***","a":1}'), (3, '{"headers": {"Authorization" : "***"}}'), (4, '{"tokens": 5, "text": "token"}')))
+def secrets_blanked(spark, d):
+    rows = [(1, '{"api_key": "abc\\"d", "model": "m"}'), (2, '{"x-api-key":"k","a":1}'), (3, '{"headers": {"Authorization" : "Bearer x"}}'), (4, '{"tokens": 5, "text": "token"}')]
+    return spark.createDataFrame(rows, "id long, raw string").select("id", sinks.without_secrets(F.col("raw")).alias("clean"))
+
+
+@query("""SELECT event_id, '{"token":"***","k":' || user_id || '}' AS request FROM events""")
+def wire_log_appends(spark, d):
+    """Calls added to a wire log without their secrets, and read again."""
+    folder = folders.new_folder(spark, "wire")
+    e = t(spark, d, "events").select("event_id", F.concat(F.lit('{"token":"t'), "event_id", F.lit('","k":'), "user_id", F.lit("}")).alias("request"), F.lit("{}").alias("response"))
+    sinks.append_calls(e, folder)
+    return files.wire_log(spark, folder, "event_id long, request string").select("event_id", "request")
+
+
+@query(
+    """SELECT 'instrument_fp:' || sha256(sha256('{"p":"x"}') || '|T|' || sha256('[{"name":"a"}]') || '|checks2|R|ctx300|["gauge"]') AS standard, 'instrument_fp:' || sha256(sha256('{"p":"x"}') || '|T|' || sha256('[{"name":"a"}]') || '|checks0_noreview_checkreview|R|ctxnone|[]') AS off"""
+)
+def content_fingerprints(spark, d):
+    """The identity of a configuration's content, with settings left out and with stages switched off."""
+    make = lambda settings, fields: identity.content_instrument_fp({"p": "x"}, "T", [{"name": "a"}], "R", settings, fields)
+    return spark.createDataFrame([(make({}, ["gauge"]), make({"max_checks_per_field": 0, "final_review": False, "check_reviewer_edits": True, "checker_context_chars": 900}, []))], "standard string, off string")
+
+
+@query(f"""{LOG_SQL} SELECT 's' || user_id % 7 AS session_id, CAST(count(DISTINCT path) AS BIGINT) AS n_fields FROM h GROUP BY 1""")
+def history_files(spark, d):
+    """Histories written as files by session, and read again."""
+    folder = folders.new_folder(spark, "histories")
+    sinks.write_histories(history.documents(history.steps(typed_log(spark, d))), folder)
+    read = spark.read.schema("value string, session_id string").text(folder)
+    return read.select("session_id", F.size(F.json_object_keys(F.get_json_object("value", "$.fields"))).cast("long").alias("n_fields"))

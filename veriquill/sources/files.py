@@ -93,6 +93,13 @@ def json_value(cell: str) -> Column:
     return F.when(text.isNull(), "null").when(is_text, F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)).otherwise(text)
 
 
+def envelope_parts(cell: str) -> tuple[Column, Column]:
+    """The evidence and the notes of an envelope, each null if it is no string."""
+    parsed = F.from_json(F.col(cell), "struct<evidence:variant,notes:variant>")
+    text = lambda part: F.when(F.schema_of_variant(part) == "STRING", part.cast("string"))
+    return text(parsed["evidence"]), text(parsed["notes"])
+
+
 def _envelopes(outputs: DataFrame) -> DataFrame:
     """Every field of study and records with its raw cell, parsed as far as it is an envelope."""
     nothing = F.lit(None).cast("string")

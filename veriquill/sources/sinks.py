@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,24 @@ def outputs(cells: DataFrame) -> DataFrame:
     )
 
 
+SECRET = r'(?i)("(?:[a-z0-9_-]*(?:api[_-]?key|authorization|secret|token|password))"\s*:\s*)"(?:[^"\\]|\\.)*"'
+
+
+def without_secrets(raw: Column) -> Column:
+    """JSON text with the strings under names of keys, tokens and passwords blanked."""
+    return F.regexp_replace(raw, SECRET, '$1"***"')
+
+
+def append_calls(calls: DataFrame, path: str) -> None:
+    """Calls as they went over the wire (request and response as JSON text), added to a log without their secrets."""
+    append_log(calls.withColumns({c: without_secrets(F.col(c)) for c in ("request", "response")}), path)
+
+
+def write_histories(documents: DataFrame, path: str) -> None:
+    """Documents of `operators.history.documents`, in folders by session, written whole or not at all."""
+    documents.write.mode("overwrite").partitionBy("session_id").text(path)
+
+
 def run_entries(runs: DataFrame, usage: DataFrame, costs: DataFrame) -> DataFrame:
     """One row a finished run: its metadata with its tokens and its cost."""
     return runs.where("status <> 'in_progress'").join(usage, "session_id", "left").join(costs, "session_id", "left")
