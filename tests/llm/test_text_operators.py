@@ -27,6 +27,19 @@ def test_token_counts_equal_the_library(spark):
     assert token_count.token_counts(frame(spark, []), path).collect() == []
 
 
+def test_models_that_cannot_be_cut_are_refused(tmp_path):
+    """Files that differ from a good one in what the proof reads: blanks that are removed, a marker behind words, no marker in front."""
+    data = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    spec = b"\x0a\x08identity\x12\x00\x18\x01\x20\x00"
+    assert data.count(spec) == 1 and data.count(b"\xc0\x01\x00") >= 1
+    for k, changed in enumerate((spec[:-1] + b"\x01", spec[:-3] + b"\x00" + spec[-2:])):
+        path = tmp_path / f"{k}.model"
+        path.write_bytes(data.replace(spec, changed))
+        with pytest.raises(ValueError, match="normaliser"):
+            token_count.PieceCounter(str(path))
+    assert list(token_count.message_fields(b"\x08\x96\x01\x12\x02hi\x1d\x00\x00\x80\x3f")) == [(1, 150), (2, b"hi"), (3, b"\x00\x00\x80\x3f")]
+
+
 def test_token_counter_forgets_and_still_counts(monkeypatch):
     import sentencepiece
 

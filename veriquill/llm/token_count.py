@@ -12,6 +12,7 @@ the others are merged, each distinct one once while it stays in the worker's bou
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +28,37 @@ LONG_SEGMENT = 200
 RUNS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
+# Numbers of the fields, and of the kinds, that a model file has for what is proved.
+PIECE, TRAINER, NORMALISER, KIND, USER_DEFINED, MODEL_TYPE, MERGES = 1, 2, 3, 3, 4, 3, 2
+CHARACTER_MAP, DUMMY_PREFIX, REMOVES_BLANKS, ESCAPES_BLANKS, RULES, SUFFIX = 2, 3, 4, 5, 6, 24
+
+
+def message_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of a protocol buffer message: number, and value or bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            if byte < 128:
+                return value
+            shift += 7
+
+    while at < len(data):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+            continue
+        size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
 class PieceCounter:
     """Counts tokens of whole texts as the library encodes them, without begin, end or other added tokens."""
 
@@ -34,23 +66,31 @@ class PieceCounter:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        with open(model_path, "rb") as f:
+            self.file = f.read()
         self.single = self.prove()
         self.counts: dict[str, int] = dict(self.single)
 
     def prove(self) -> dict[str, int]:
         """The vocabulary strings (without their first marker) that alone are one token.
 
-        Raises ValueError if the model's pieces or its normaliser do not allow a text to be cut at markers.
+        Raises ValueError if the model's pieces, its kind or its normaliser, as its file states them, do not allow a text to
+        be cut at markers.
         """
         model = self.model
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece goes on after a marker; texts cannot be cut there")
-        for i, p in enumerate(pieces):  # a user-defined piece is matched before any merge, wherever it stands
-            if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i)) and model.get_score(i) == 0 and i > 300:
-                raise ValueError(f"piece {p!r} may be matched before merges")
-        if model.encode("a  b", out_type=str) != [f"{MARK}a", MARK, f"{MARK}b"] or model.encode("Ａ", out_type=str)[-1] == "A":
+        whole = list(message_fields(self.file))
+        if any(dict(message_fields(v)).get(KIND) == USER_DEFINED for k, v in whole if k == PIECE):
+            raise ValueError("a user-defined piece is matched before any merge, wherever it stands")
+        spec, trained = (dict(message_fields(next((v for k, v in whole if k == part), b""))) for part in (NORMALISER, TRAINER))
+        # what the file leaves out is true, but for the map, the rules and the suffix
+        if spec.get(CHARACTER_MAP) or spec.get(RULES) or spec.get(REMOVES_BLANKS, 1) or not spec.get(DUMMY_PREFIX, 1) or not spec.get(ESCAPES_BLANKS, 1):
             raise ValueError("the normaliser does more than mark blanks")
+        if trained.get(MODEL_TYPE) != MERGES or trained.get(SUFFIX):
+            raise ValueError("the model does not merge pieces, or marks blanks behind words")
+        del self.file
         marked = [p for i, p in enumerate(pieces) if p.startswith(MARK) and not model.is_control(i)]
         # encode() adds a marker in front, so the piece's first one is left off; the lone marker is what merges nothing.
         found = {p[1:]: 1 for p, ids in zip(marked, model.encode([p[1:] for p in marked])) if len(ids) == 1}
