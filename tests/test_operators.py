@@ -547,7 +547,7 @@ def test_runs(spark, catalogue):
     events = spark.createDataFrame([("s", 1, "assistant_message", 1, None, "m", "end", None), ("s", 2, "assistant_text", 1, None, "t. u", None, None), ("s", 3, "review_tool_call", 2, "view", None, None, "{}")], "session_id string, line_no long, event string, turn_id long, tool string, text string, stop_reason string, result string")
     assert {(r.turn_id, r.text, r.stop_reason) for r in runs.turn_texts(events).collect()} == {(1, "t. u", "end"), (2, "", None)}
     text = transcripts(events).collect()[0].transcript
-    assert text.index("### Turn 1") < text.index("## Review") < text.index("### Turn 2") and "review_tool_call (view)" in text
+    assert text.index("### Turn 1") < text.index("## 3. The review") < text.index("### Turn 2") < text.index("Call 1. `view`") and "t. u" in text
     answers = spark.createDataFrame([("ok", None, "r"), (None, "timeout", None)], "verdict string, error string, rationale string")
     assert {(r.verdict, r.error_origin, r.rationale) for r in runs.verdicts(answers).collect()} == {("ok", False, "r"), ("challenge", True, "timeout")}
     words = spark.createDataFrame([(None, False, 0, 0), (None, False, 5, 0), (1.0, False, 5, 0), (1.0, True, 5, 2)], "c double, i boolean, t long, u long").select(runs.role_cost_text(F.col("c"), F.col("i"), F.col("t"), F.col("u")).alias("w"))

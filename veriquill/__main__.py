@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veriquill import api
 from veriquill.functions import render
-from veriquill.operators import identity, lists, log, records, replay
+from veriquill.operators import history, identity, lists, log, records, replay
 from veriquill.sources import files, sinks
 from veriquill.sources.config import ConfigError, reference_entries
 
@@ -62,7 +62,8 @@ def transcript(args) -> int:
     spark = session()
     events = files.events(files.numbered_lines(spark, args.log))
     named = events.withColumn("session_id", F.regexp_extract("file", r"([^/]+)\.jsonl$", 1))
-    for r in render.transcripts(named).orderBy("session_id").toLocalIterator():
+    documents = history.documents(history.steps(named))
+    for r in render.transcripts(named, histories=documents).orderBy("session_id").toLocalIterator():
         (Path(args.out) / f"{r.session_id}.md").write_text(r.transcript, encoding="utf-8") if args.out else sys.stdout.write(r.transcript)
     return 0
 

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
 from collections.abc import Callable, Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from veriquill.sources.config import Section, Template
+from veriquill.functions.columns import SENTENCES
+from veriquill.sources.config import Section, Template, label_of
+
+#: Events that are tool calls.
+TOOL_EVENTS = ("tool_call_applied", "tool_call_partial", "tool_call_failed", "review_tool_call")
 
 # Field types as people read them, and the headings of the two views' tables.
 TYPE_NAMES = {"string": "Text", "year": "Year", "integer": "Number", "number": "Number", "boolean": "Yes/No", "string_list": "Text (multiple)", "date": "Date"}
@@ -101,31 +111,94 @@ def fence(text: str, language: str = "") -> str:
     return f"{'`' * (longest + 1)}{language}\n{text}\n{'`' * (longest + 1)}"
 
 
-def transcripts(events: DataFrame) -> DataFrame:
-    """(session_id, transcript): each session's log as Markdown, turns in order, the review apart. One session is one group.
-
-    events: session_id, line_no, event, turn_id, tool, text, result.
+def anchor(text: str) -> str:
+    """What a heading is linked by: lower case, blanks to hyphens, all else but letters, digits and underscores left out."""
+    return "".join(c if c.isalnum() or c in "_-" else "-" if c == " " else "" for c in text.lower())
+
+
+def shown(value) -> str:
+    """A JSON value in a table cell."""
+    return "*(none)*" if value is None else f"`{cell(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))}`"
+
+
+def pairs_table(pairs: list[tuple[str, object]]) -> list[str]:
+    rows = [[name, shown(value)] for name, value in pairs if value is not None]
+    return [table(("What", "Value"), rows), ""] if rows else ["*(nothing was recorded)*", ""]
+
+
+def call_lines(number: int, event: dict, checks: Counter) -> list[str]:
+    """One tool call: what was applied and what was refused, field by field, and what the checker said."""
+    result = json.loads(event["result"]) if event.get("result") else {}
+    out = [f"#### Call {number}. `{event.get('tool') or 'unknown'}`", "", f"Status: `{result.get('status') or event['event']}`.", ""]
+    rows = [[f"`{cell(path)}`", "applied", shown(d.get("before")), shown(d.get("after"))] for path, d in (result.get("_field_diffs") or {}).items()]
+    rows += [[f"`{cell(path)}`", cell("; ".join(str(e.get("code")) for e in errors or [])), "", ""] for path, errors in (result.get("failed_fields") or {}).items()]
+    if rows:
+        out += [table(("Field", "Outcome", "Before", "After"), rows), ""]
+    own = Counter((e.get("code"), e.get("path")) for errors in (result.get("failed_fields") or {}).values() for e in errors or [])
+    left = Counter((e.get("code"), e.get("path")) for e in result.get("errors") or []) - own  # one for one, so that a problem told twice stays once
+    out += [f"- Refused: `{code}`{f' at `{path}`' if path else ''}" for code, path in left.elements()] + ([""] if left else [])
+    for path, v in (result.get("_checker_verdicts") or {}).items():
+        checks[path] += 1
+        said = "check failed" if v.get("error_origin") else v.get("verdict")
+        out += [f"- Check {checks.total()} (`{path}`, its {checks[path]}): **{said}**. {one_line(v.get('rationale'))}".rstrip()]
+    return out + ([""] if result.get("_checker_verdicts") else [])
+
+
+def session_document(data: dict) -> str:
+    """A session's transcript. data: session_id, events in order, and if at hand run, output and history (the last two as JSON texts)."""
+    run, history = data.get("run") or {}, json.loads(data["history"]) if data.get("history") else None
+    parts: dict[str, list[str]] = {"The run": pairs_table([("Session", data["session_id"]), *((label_of(k), v) for k, v in sorted(run.items()) if k != "session_id")])}
+    review_from = next((i for i, e in enumerate(data["events"]) if str(e["event"]).startswith("review") or e["event"] == "final_review_response"), len(data["events"]))
+    number, checks, notices = 0, Counter(), []
+    for title, events in (("The extraction, turn by turn", data["events"][:review_from]), ("The review", data["events"][review_from:])):
+        out, turn = [], None
+        for e in events:
+            if e.get("turn_id") is not None and e["turn_id"] != turn:
+                turn = e["turn_id"]
+                out += [f"### Turn {turn}", ""]
+            if e["event"] in TOOL_EVENTS:
+                number += 1
+                out += call_lines(number, e, checks)
+            elif e["event"] in SENTENCES:
+                notices.append(f"- {SENTENCES[e['event']]}{' ' + one_line(e.get('text')) if e.get('text') else ''}")
+                out += [notices[-1], ""]
+            elif e.get("text"):
+                out += [lede(e["text"]), ""]
+        parts[title] = out or ["*(nothing happened)*", ""]
+    if data.get("output"):
+        parts["The output"] = [fence(json.dumps(json.loads(data["output"]), ensure_ascii=False, indent=2), "json"), ""]
+    if history:
+        rows = [[f"[`{cell(p)}`](#{anchor(p)})", shown(f["final"].get("value")), str(f["final"].get("writes")), str(f["final"].get("checks")), cell(f["final"].get("last_verdict"))] for p, f in history["fields"].items()]
+        told = [table(("Field", "Value", "Writes", "Checks", "Last verdict"), rows), ""] + pairs_table([(label_of(k), v) for k, v in history["aggregate"].items()])
+        for path, f in history["fields"].items():
+            told += [f"### {path}", "", *(f"- Turn {e.get('turn_id')}: {e['kind']}{f' to {shown(e['after'])}' if 'after' in e else ''}" for e in f["events"]), ""]
+        parts["What happened to each field"] = told
+    if notices:
+        parts["Events of the run"] = [*notices, ""]
+    titles = [f"{i + 1}. {title}" for i, title in enumerate(parts)]
+    contents = [f"- [{t}](#{anchor(t)})" for t in titles]
+    body = [line for t, lines in zip(titles, parts.values()) for line in (f"## {t}", "", *lines)]
+    return "\n".join([f"# Session {data['session_id']}", "", "## Contents", "", *contents, "", *body]).rstrip() + "\n"
+
+
+def transcripts(events: DataFrame, runs: DataFrame | None = None, outputs: DataFrame | None = None, histories: DataFrame | None = None) -> DataFrame:
+    """(session_id, transcript): each session's log as Markdown, with its run, output and field histories where they are given.
+
+    events: session_id, line_no, event, turn_id, tool, text, result; runs: session_id and whatever is shown of a run; outputs:
+    session_id, output; histories: session_id, history. One session is one row.
     """
-
-    def one(key, rows):
-        rows = rows.sort_values("line_no", kind="stable")
-        out, turn, review = [f"# Session {key[0]}", "", "## Extraction", ""], None, False
-        for r in rows.itertuples(index=False):
-            if not review and str(r.event).startswith("review"):
-                review = True
-                out += ["## Review", ""]
-            if r.turn_id == r.turn_id and r.turn_id is not None and r.turn_id != turn:
-                turn = r.turn_id
-                out += [f"### Turn {int(turn)}", ""]
-            what = f"{r.event}{f' ({r.tool})' if r.tool else ''}"
-            out += [f"- {what}: {lede(r.text)}" if r.text else f"- {what}"]
-            if r.result:
-                out += ["", fence(r.result, "json"), ""]
-        import pandas as pd
-
-        return pd.DataFrame([[key[0], "\n".join(out).rstrip() + "\n"]], columns=["session_id", "transcript"])
-
-    return events.select("session_id", "line_no", "event", "turn_id", "tool", "text", "result").groupBy("session_id").applyInPandas(one, "session_id string, transcript string")
+    told = events.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "event", "turn_id", "tool", "text", "result"))).alias("events"))
+    if runs is not None:
+        told = told.join(runs.select("session_id", F.struct(*[c for c in runs.columns if c != "session_id"]).alias("run")), "session_id", "left")
+    for more, name in ((outputs, "output"), (histories, "history")):
+        if more is not None:
+            told = told.join(more.select("session_id", name), "session_id", "left")
+
+    @pandas_udf(T.StringType())
+    def made(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: session_document(json.loads(r)))
+
+    return told.select("session_id", made(F.to_json(F.struct(*told.columns))).alias("transcript"))
 
 
 PLACEHOLDER = re.compile(r"\{reference:([A-Za-z0-9_]+)\}")

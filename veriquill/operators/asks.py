@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriquill.functions.columns import json_string, tag_texts
+from veriquill.functions.columns import SENTENCES, json_string, tag_texts
 from veriquill.operators.runs import shown_value
 
 NO_IDENTITY = "(nothing is known of the study's identity)"
@@ -79,35 +79,6 @@ def messages(cells: DataFrame, template: str) -> DataFrame:
     return cells.withColumn("message", text)
 
 
-# What a reader is told of an event in a run's log.
-SENTENCES = {
-    "session_started": "The run began.",
-    "resumed": "The run was taken up again.",
-    "terminate": "The run ended.",
-    "extractor_reprompt": "The extractor was asked again.",
-    "review_reprompt": "The reviewer was asked again.",
-    "text_only_stall": "The extractor only wrote and called no tool, so extraction ended.",
-    "review_text_only_stall": "The reviewer only wrote and called no tool, so the review ended.",
-    "repeated_failure_stall": "The extractor repeated one failing call, so extraction ended.",
-    "review_repeated_failure_stall": "The reviewer repeated one failing call, so the review ended.",
-    "extractor_abandoned": "The extractor gave the study up.",
-    "review_abandoned": "The reviewer gave the study up.",
-    "extractor_refused": "The extractor's model refused.",
-    "extractor_paused": "Extraction was paused.",
-    "review_cap_hit": "The reviewer used all its calls.",
-    "review_error": "The review failed.",
-    "provider_retry": "A call was tried again.",
-    "provider_account_refused": "The provider refused the account.",
-    "review_provider_account_refused": "The provider refused the account in the review.",
-    "final_review_no_response": "The reviewer did not answer.",
-    "final_review_edits_none_applied": "None of the reviewer's changes could be applied.",
-    "summary_mismatch_advisory": "The summary found does not look like the one given.",
-    "value_canonicalised": "A value was replaced by the list's own spelling.",
-    "torn_line_dropped": "A last line that was cut off was left out.",
-    "error": "The run failed.",
-}
-
-
 def event_sentence(event: Column, message: Column) -> Column:
     """What an event of a run says to a reader, with its own message if it has one; null for events that need no sentence."""
     said = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])[event]

@@ -102,9 +102,9 @@ def asks_in_order(wire: DataFrame) -> DataFrame:
 def _tails(lines: DataFrame) -> DataFrame:
     """lines with `__torn`: whether a line is no JSON and its file's last. Any other line that is none fails the job."""
     last = lines.groupBy("file").agg(F.max("line_no").alias("__last"))
-    marked = lines.join(last, "file").withColumn("__torn", F.try_parse_json("text").isNull())
-    wrong = F.raise_error(F.format_string("line %d of %s is not JSON", "line_no", "file")).cast("string")
-    return marked.withColumn("text", F.when(F.col("__torn") & (F.col("line_no") < F.col("__last")), wrong).otherwise(F.col("text"))).drop("__last")
+    wrong = F.raise_error(F.format_string("line %d of %s is not JSON", "line_no", "file")).cast("boolean")
+    torn = F.when(F.try_parse_json("text").isNotNull(), False).when(F.col("line_no") == F.col("__last"), True).otherwise(wrong)
+    return lines.join(last, "file").withColumn("__torn", torn).drop("__last")
 
 
 def drop_torn_tail(lines: DataFrame) -> DataFrame:

@@ -1012,12 +1012,70 @@ def markdown_pieces(spark, d):
     return spark.createDataFrame(made, "id long, text string")
 
 
-@query(results("session_id VARCHAR, n_lines BIGINT, turns VARCHAR", ("s", 14, "1,2")))
+TRANSCRIPT = """# Session s
+
+## Contents
+
+- [1. The run](#1-the-run)
+- [2. The extraction, turn by turn](#2-the-extraction-turn-by-turn)
+- [3. The review](#3-the-review)
+- [4. What happened to each field](#4-what-happened-to-each-field)
+- [5. Events of the run](#5-events-of-the-run)
+
+## 1. The run
+
+| What | Value |
+|:---|:---|
+| Session | `s` |
+| Status | `complete` |
+
+## 2. The extraction, turn by turn
+
+### Turn 1
+
+Hello there.
+
+#### Call 1. `update_study`
+
+Status: `partial`.
+
+| Field | Outcome | Before | After |
+|:---|:---|:---|:---|
+| `study.a` | applied | *(none)* | `1` |
+| `study.b` | type_mismatch |  |  |
+
+- Refused: `type_mismatch` at `study.b`
+
+- Check 1 (`study.a`, its 1): **challenge**. Why so?
+
+- A call was tried again. busy
+
+## 3. The review
+
+### Turn 2
+
+#### Call 2. `view_record`
+
+Status: `ok`.
+
+## 4. What happened to each field
+
+| Field | Value | Writes | Checks | Last verdict |
+|:---|:---|:---|:---|:---|
+| [`study.a`](#studya) | `1` | 1 | 1 | challenge |
+| [`study.b`](#studyb) | *(none)* | 0 | 0 |  |
+"""
+
+
+@query(results("line BIGINT, text VARCHAR", *enumerate(TRANSCRIPT.split("\n")[:-1])))
 def transcript_cases(spark, d):
-    """A session's log as Markdown: its turns in order, the review apart."""
-    rows = [("s", 1, "assistant_text", 1, None, "Hello there.", None), ("s", 2, "tool_call_applied", 1, "update_study", None, None), ("s", 3, "review_tool_call", 2, "view_record", None, None)]
-    made = render.transcripts(spark.createDataFrame(rows, "session_id string, line_no long, event string, turn_id long, tool string, text string, result string"))
-    return made.select("session_id", F.size(F.split("transcript", "\n")).cast("long").alias("n_lines"), F.array_join(F.regexp_extract_all("transcript", F.lit("### Turn (\\d+)"), F.lit(1)), ",").alias("turns"))
+    """A session's log as Markdown: its run, its turns and calls in order, the review apart, and what happened to each field."""
+    partial = '{"status": "partial", "_field_diffs": {"study.a": {"before": null, "after": 1}}, "failed_fields": {"study.b": [{"code": "type_mismatch", "path": "study.b"}]}, "errors": [{"code": "type_mismatch", "path": "study.b"}, {"code": "type_mismatch", "path": "study.b"}], "_checker_verdicts": {"study.a": {"verdict": "challenge", "rationale": "Why so?", "cost_usd": 0.5}}}'
+    rows = [("s", 1, "assistant_text", None, 1, None, "Hello there.", None), ("s", 2, "tool_call_partial", None, 1, "update_study", None, partial), ("s", 3, "provider_retry", None, 1, None, "busy", None), ("s", 4, "review_tool_call", None, 2, "view_record", None, '{"status": "ok"}')]
+    log_of = spark.createDataFrame(rows, "session_id string, line_no long, event string, ts string, turn_id long, tool string, text string, result string")
+    made = render.transcripts(log_of, spark.createDataFrame([("s", "complete")], "session_id string, status string"), histories=history.documents(history.steps(log_of)))
+    lines = made.select(F.posexplode(F.split("transcript", "\n")).alias("line", "text"))
+    return lines.where(F.col("line") < len(TRANSCRIPT.split("\n")) - 1).select(F.col("line").cast("long").alias("line"), "text")
 
 
 @query(results("key VARCHAR, ok BOOLEAN, value VARCHAR, codes VARCHAR", ("human", True, '"Load Cell"', ""), ("llm", False, '"Load Cell"', "evidence_required"), ("quoted", False, '"Load Cell"', "quote_not_in_text"), ("year", True, "1999", "")))
