@@ -758,3 +758,32 @@ def test_intermediate_data_is_in_the_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         common.shared_folder(Cluster())
+
+
+def test_weights_are_the_log_odds_less_their_margin():
+    import math
+    import random
+
+    import numpy as np
+
+    r = random.Random(9)
+    words = ["".join(r.choice("abcd") for _ in range(r.randint(3, 9))) for _ in range(60)]
+    docs = [(k % 3 == 0, {r.choice(words) for _ in range(12)} | ({"doltish", "doltly"} if k % 3 == 0 and k % 2 else set())) for k in range(240)]
+    toxic, other = Counter(), Counter()
+    for bad, found in docs:
+        of = toxic if bad else other
+        of[""] += len(found)
+        of.update(f for w in found for f in toxicity.features(w))
+    names = sorted(toxic)
+    got = toxicity.weights(names, np.array([toxic[f] for f in names]), np.array([other[f] for f in names]))
+    want = {}
+    for f in names:
+        a = toxicity.PRIOR * (toxic[f] + other[f])
+        mass = toxicity.PRIOR * (toxic[""] + other[""])
+        odds = [math.log((c[f] + a) / (c[""] + mass - c[f] - a)) for c in (toxic, other)] if f else [0, 0]
+        score = odds[0] - odds[1] - toxicity.MARGIN * math.sqrt(1 / (toxic[f] + a) + 1 / (other[f] + a))
+        stem = f[:1] == "^" and max((toxic[g] for g in names if g[:1] == "=" and g[1:].startswith(f[1:])), default=0)
+        if f and toxic[f] > 2 and score >= toxicity.LEAST and not (stem and stem > toxicity.ONE_WORD * toxic[f]):
+            want[f] = score
+    assert got.keys() == want.keys() and "=doltish" in got and "^dolt" in got
+    assert all(math.isclose(got[f], want[f]) for f in got)
