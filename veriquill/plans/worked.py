@@ -1326,3 +1326,29 @@ def history_files(spark, d):
     sinks.write_histories(history.documents(history.steps(typed_log(spark, d))), folder)
     read = spark.read.schema("value string, session_id string").text(folder)
     return read.select("session_id", F.size(F.json_object_keys(F.get_json_object("value", "$.fields"))).cast("long").alias("n_fields"))
+
+
+@query(
+    results(
+        "path VARCHAR, value VARCHAR",
+        ("initial_check.llm.a", '"true"'),
+        ("initial_check.llm.b", "true"),
+        ("initial_check.llm.c", "3.0"),
+        ("initial_check.llm.d", '"x \\"y\\""'),
+        ("initial_check.llm.e", "null"),
+        ("quality_check.human.f", '["1",1]'),
+    )
+)
+def check_answers(spark, d):
+    """Answers of check blocks as JSON text: a text that reads like a truth value stays a text, a whole number with a point keeps it."""
+    output = '{"initial_check": {"llm": {"a": "true", "b": true, "c": 3.0, "d": "x \\"y\\"", "e": null}}, "quality_check": {"human": {"f": ["1", 1]}}}'
+    return files.cells_of(spark.createDataFrame([("s", output)], "study_id string, output string")).select("path", "value")
+
+
+@query(results("text VARCHAR", ("second",)))
+def rewritten_files(spark, d):
+    """A small file written twice: it is there whole, as it was written last, and no other is left beside it."""
+    folder = folders.new_folder(spark, "files")
+    for text in ("first, and longer", "second"):
+        folders.write_text(spark, f"{folder}/a.txt", text)
+    return spark.read.text(folder).select(F.col("value").alias("text"))
