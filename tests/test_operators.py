@@ -687,3 +687,27 @@ def test_suggestions_are_those_of_all_pairs(spark, entries):
         for c, other in names:
             best[c] = max(best.get(c, 0), SequenceMatcher(None, form, other).ratio())
         assert [c for _, c in arrow._nearest_names(form, names, 5)] == sorted(best, key=lambda c: (-best[c], c))[:5]
+
+
+def test_streamed_histories_are_the_batch_ones(spark, tmp_path):
+    """A log that comes in four files, removals and all: the same events of the same fields in the same order."""
+    from veriquill.streaming.history import TOLD, running_histories, written
+
+    r = random.Random(19)
+    paths = ["study.a", "record.r_1.x", "record.r_1.y", "record.r_2.x"]
+    some = lambda: r.sample(paths, r.randint(0, 3))
+    rows = []
+    for k in range(120):
+        result = {"_field_diffs": {p: {"before": r.choice([1, "1", None]), "after": r.choice([1, "1", None])} for p in some()}, "failed_fields": {p: [{"code": "c"}] for p in some()[:1]}}
+        result["_checker_verdicts"] = {p: {"verdict": r.choice(["ok", "challenge"]), "error_origin": r.random() < 0.2} for p in some()}
+        if r.random() < 0.2:
+            result["applied_changes"] = {"removed_record_id": r.choice(["r_1", "r_2"])}
+        rows.append((f"s{k % 2}", k, r.choice(list(history.STAGES)), str(k), k, "t", json.dumps(result)))
+    events = spark.createDataFrame(rows, "session_id string, line_no long, event string, ts string, turn_id long, tool string, result string")
+    for k in range(4):
+        events.where(f"line_no >= {30 * k} and line_no < {30 * k + 30}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = written(running_histories(history.told_steps(stream)), TOLD).drop("batch").collect()
+    columns_of = [c.split()[0] for c in TOLD.split(", ")]
+    want = history.history(history.steps(events)).select(*columns_of).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and len(got) > 300

@@ -493,9 +493,13 @@ h AS (SELECT *, CASE what WHEN 'remove' THEN 'removed' WHEN 'error' THEN 'check_
 
 
 def typed_log(spark, d) -> DataFrame:
+    return typed_log_of(t(spark, d, "events"))
+
+
+def typed_log_of(e: DataFrame) -> DataFrame:
     """Events as a log of one field for each user: values of every JSON type, removals of the record, checks that fail."""
     pairs = [("1", "1.0"), ('"1"', "1"), ("true", '"true"'), ("null", '"null"'), ("[1]", "[1.0]"), ('{"a": 1, "b": 2}', '{"b": 2, "a": 1}'), ("1", "true"), ('"é"', '"y"')]
-    e, k = t(spark, d, "events"), F.col("event_type")
+    k = F.col("event_type")
     pick = lambda at: F.get(F.array(*[F.lit(p[at]) for p in pairs]), (F.col("event_id") % 8).cast("int"))
     path = F.concat(F.lit('{"record.r_'), "user_id", F.lit('.f": '))
     write = F.concat(F.lit('{"_field_diffs": '), path, F.lit('{"before": '), pick(0), F.lit(', "after": '), pick(1), F.lit("}}}"))
@@ -507,11 +511,12 @@ def typed_log(spark, d) -> DataFrame:
     )
 
 
-@query(
-    f"""{LOG_SQL}, x AS (SELECT user_id, event_id, path, unnest(CASE WHEN what = 'write' THEN ['proposed', kind] ELSE [kind] END) AS kind, kind AS own, b, a, c, open, had FROM h)
+HISTORY_SQL = f"""{LOG_SQL}, x AS (SELECT user_id, event_id, path, unnest(CASE WHEN what = 'write' THEN ['proposed', kind] ELSE [kind] END) AS kind, kind AS own, b, a, c, open, had FROM h)
 SELECT path, event_id AS line_no, kind, CASE WHEN kind = own AND kind IN ('applied', 'overruled', 'revised_by_reviewer', 'revised_after_challenge') THEN b END AS "before", CASE WHEN kind = own AND kind IN ('applied', 'overruled', 'revised_by_reviewer', 'revised_after_challenge') THEN a END AS "after",
 CASE WHEN kind = own AND kind IN ('applied', 'overruled', 'revised_by_reviewer', 'revised_after_challenge') THEN c END AS changed, CASE WHEN kind = own AND kind IN ('applied', 'overruled', 'revised_by_reviewer', 'revised_after_challenge') THEN open END AS answers_challenge, CASE WHEN kind = 'removed' THEN nullif(had, '') END AS value_before, CASE WHEN kind = 'removed' THEN 'r_' || user_id END AS record_id FROM x"""
-)
+
+
+@query(HISTORY_SQL)
 def field_history_rows(spark, d):
     """The whole history of every field: typed values, removals, overruled and revised challenges."""
     return history.history(history.steps(typed_log(spark, d))).select("path", "line_no", "kind", "before", "after", "changed", "answers_challenge", "value_before", "record_id")
@@ -1352,3 +1357,13 @@ def rewritten_files(spark, d):
     for text in ("first, and longer", "second"):
         folders.write_text(spark, f"{folder}/a.txt", text)
     return spark.read.text(folder).select(F.col("value").alias("text"))
+
+
+@query(f"SELECT path, line_no, kind, \"before\", \"after\", changed, answers_challenge, value_before FROM ({HISTORY_SQL})")
+def stream_histories(spark, d):
+    """The histories of fields from the log as a stream, removals included."""
+    from veriquill.streaming.history import TOLD, running_histories, written
+
+    events = spark.readStream.schema(t(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]")  # a pattern may name a file as well as a folder
+    told = history.told_steps(typed_log_of(events))
+    return written(running_histories(told), TOLD).select("path", "line_no", "kind", "before", "after", "changed", "answers_challenge", "value_before")
