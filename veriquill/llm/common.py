@@ -28,8 +28,8 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, list]], schema: T.StructType) -> DataFrame:
-    """mapInArrow with a function from a batch to columns; the number of rows may change."""
+def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, list]], schema: T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow with a function from a batch, of so many rows at most, to columns; the number of rows may change."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     bounded_batches(df.sparkSession)
@@ -37,8 +37,9 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, list]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(schema)
         for batch in batches:
-            columns = make(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in out], schema=out)
+            for at in range(0, batch.num_rows, rows):
+                columns = make(batch.slice(at, rows))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 

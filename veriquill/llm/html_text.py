@@ -316,7 +316,8 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", html_col: str = "h
     """Per row: id, url, text (the article; empty if none), n_chars (its code points).
 
     A null page counts as empty and gives an empty text; repeated rows and null ids each give a row; an empty table
-    gives an empty one; other columns are ignored. One pass over a page, linear in its length; no shuffle.
+    gives an empty one; other columns are ignored. A short block as near to content as to boilerplate is content. Pages are
+    read whole, however long, in one pass that is linear in their length; no shuffle.
     """
     keep = [id_field(df, id_col), *([id_field(df, url_col)] if url_col else [])]
     schema = T.StructType([*keep, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

@@ -271,8 +271,8 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Per row: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added), n_added.
 
     A null text counts as empty and has no spans; repeated rows and null ids each give a row; an empty table gives an
-    empty one; other columns are ignored. Offsets are code points of the source, end exclusive. Every pattern is linear
-    in the text. No shuffle.
+    empty one; other columns are ignored. Offsets are code points of the source, end exclusive; spans that begin together
+    stand in the order of their kinds. Texts are read whole, however long; every pattern is linear in the text. No shuffle.
     """
     schema = T.StructType(
         [id_field(df, id_col), *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType())]

@@ -32,6 +32,8 @@ from veriquill.llm.common import bounded_batches, cut, id_field, map_batches, na
 
 #: Labelled rows that the model is fitted on, those with the smallest hashes of their ids.
 SAMPLE_ROWS = 20_000
+#: Rows whose features a worker counts before it passes the counts on.
+COUNTED_TOGETHER = 64
 #: Parts of these that are scored with the weights of the others.
 FOLDS = 3
 #: Weight of the Dirichlet prior as a share of all counts; it is spread as the features are in both classes together.
@@ -184,24 +186,31 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     heads = read.groupBy("id", "label").agg(F.min("sketch").alias("sketch")).groupBy("sketch", "label").agg(F.min("id").alias("id"))
     once = cut(read.join(heads, ["id", "label", "sketch"]).groupBy("id", "label", "sketch").agg(F.first("text").alias("text")).withColumn("fold", F.pmod("sketch", F.lit(FOLDS)).cast("int")))
 
-    def counts(batch: pa.RecordBatch) -> dict[str, list]:
-        found: dict[tuple[int, bool], Counter] = {}
-        for label, text, fold in zip(*(batch.column(c).to_pylist() for c in range(3))):
-            words = set(WORD.findall((text or "").lower()))  # each once a document, so that no document decides
-            of = found.setdefault((fold, label > 0), Counter())
-            of[""] += len(words)
-            of.update([f for w in words for f in features(w)])
-        names = sorted(set().union(*found.values()))
-        return {"feature": names} | {f"{kind}{k}": [found.get((k, kind == "toxic"), {}).get(f, 0) for f in names] for k in range(FOLDS) for kind in ("toxic", "other")}
-
-    columns = [f"{kind}{k}" for kind in ("toxic", "other") for k in range(FOLDS)]
-    counted = map_batches(once.select("label", "text", "fold"), counts, T.StructType([T.StructField("feature", T.StringType()), *(T.StructField(c, T.LongType()) for c in columns)]))
-    counted = counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in columns])
-    table = counted.where(f"{' + '.join(columns[:FOLDS])} > 2 or feature = ''").orderBy("feature").toPandas()  # features of the sample's toxic rows at most
-    names = table["feature"].tolist()
-    toxic, other = table[columns[:FOLDS]].to_numpy(), table[columns[FOLDS:]].to_numpy()
-    if not len(names) or not toxic[0].sum() or not other[0].sum():
-        return ToxicityModel(without=1.0 if len(names) and toxic[0].sum() else 0.0)
+    folds = [f"fold{k}" for k in range(FOLDS)]
+
+    def counted(rows: DataFrame, wanted: frozenset | None) -> pd.DataFrame:
+        """How many rows of each fold have each feature (of the wanted ones, if given); the feature "" counts words."""
+
+        def make(batch: pa.RecordBatch) -> dict[str, list]:
+            found = [Counter() for _ in folds]
+            for text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = set(WORD.findall((text or "").lower()))  # each once a document, so that no document decides
+                found[fold][""] += len(words)
+                found[fold].update([f for w in words for f in features(w) if wanted is None or f in wanted])
+            names = sorted(set().union(*found))
+            return {"feature": names} | {c: [of[f] for f in names] for c, of in zip(folds, found)}
+
+        made = map_batches(rows.select("text", "fold"), make, T.StructType([T.StructField("feature", T.StringType()), *(T.StructField(c, T.LongType()) for c in folds)]), COUNTED_TOGETHER)
+        summed = made.groupBy("feature").agg(*[F.sum(c).alias(c) for c in folds])
+        return summed.where(f"{' + '.join(folds)} > 2 or feature = ''" if wanted is None else "true").toPandas().set_index("feature")
+
+    # only what toxic rows have can score, so that is all that is counted in the others
+    in_toxic = counted(once.where("label > 0"), None).sort_index()
+    in_other = counted(once.where("label <= 0"), frozenset(in_toxic.index))
+    if not len(in_toxic) or not in_toxic.loc[""].sum() or "" not in in_other.index or not in_other.loc[""].sum():
+        return ToxicityModel(without=1.0 if len(in_toxic) and in_toxic.loc[""].sum() else 0.0)
+    names = in_toxic.index.tolist()
+    toxic, other = in_toxic.to_numpy(), in_other.reindex(names, fill_value=0).to_numpy()
     without = [weights(names, toxic.sum(1) - toxic[:, k], other.sum(1) - other[:, k]) for k in range(FOLDS)]
     model = ToxicityModel(weights(names, toxic.sum(1), other.sum(1)))
 
