@@ -39,6 +39,21 @@ def test_config_bundle(review):
         api.load_config_bundle(str(review / "config"))
 
 
+def test_prompts_of_a_configuration(review):
+    folder = review / "config" / "prompts"
+    (folder / "partials").mkdir(parents=True)
+    for name in ("extractor_system", "review_system"):
+        (folder / f"{name}.md").write_text("Read.\n{include_if:review:more}\n\nEnd {reference:gauges}")
+    (folder / "partials" / "more.md").write_text("A review follows.\n")
+    with pytest.raises(ConfigError, match="checker_system is missing"):
+        api.load_config_bundle(str(review / "config"))
+    (folder / "checker_system.md").write_text("Check.")
+    bundle = api.load_config_bundle(str(review / "config"))
+    assert bundle.composed()["extractor_system"] == "Read.\nA review follows.\n\nEnd {reference:gauges}"
+    (review / "config" / "pipeline.yaml").write_text("final_review: false\n")
+    assert api.load_config_bundle(str(review / "config")).composed()["extractor_system"] == "Read.\nEnd {reference:gauges}"
+
+
 def test_validate_value(spark):
     spec = {"variable": "gauge", "field_type": "string", "canonical_reference": "gauges", "evidence": "required"}
     lists = {"gauges": [{"tool_name": "Load Cell", "aliases": ["LC"]}]}

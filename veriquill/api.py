@@ -21,26 +21,48 @@ __all__ = ["STATES", "TERMINAL", "VALIDATED", "VERSION", "ConfigBundle", "Valida
 
 @dataclass(frozen=True)
 class ConfigBundle:
-    """A configuration: its template, its reference lists with their labels, and its settings."""
+    """A configuration: its template, its reference lists with their labels, its settings, and its prompts with their partials."""
 
     template: config.Template
     lists: dict[str, list]
     labels: dict[str, str]
     settings: dict
+    prompts: dict[str, str] = field(default_factory=dict)
+    partials: dict[str, str] = field(default_factory=dict)
+
+    def switches(self) -> dict[str, bool]:
+        """What conditional parts of prompts depend on."""
+        checks = self.settings.get("max_checks_per_field", 2) != 0
+        review = bool(self.settings.get("final_review", True))
+        return {"checker": checks, "review": review, "check_reviewer_edits": checks and review and bool(self.settings.get("check_reviewer_edits", False))}
+
+    def composed(self) -> dict[str, str]:
+        """The prompts with their partials in place."""
+        from veriquill.functions import render
+
+        return {name: render.with_partials(text, self.partials, self.switches()) for name, text in self.prompts.items()}
 
 
 def load_config_bundle(folder: str) -> ConfigBundle:
-    """Read and cross-check a configuration; ConfigError names everything that is wrong with its settings and lists."""
+    """Read and cross-check a configuration; ConfigError names everything that is wrong with its settings, lists and prompts.
+
+    A configuration without a folder of prompts is one for validation only.
+    """
     root = Path(folder)
     template = config.load_template(str(root / "extraction_template.yaml"))
     found, labels = config.read_lists(str(root / "reference"))
     settings = config.strict_yaml((root / "pipeline.yaml").read_text(encoding="utf-8")) or {}
-    wrong = config.setting_problems(settings) + (config.rate_problems(settings["rates"]) if "rates" in settings else [])
+    if not isinstance(settings, dict):
+        raise config.ConfigError("pipeline.yaml must be settings by name")
+    wrong = config.unknown_settings(settings) + config.setting_problems(settings) + (config.rate_problems(settings["rates"]) if "rates" in settings else [])
     cited = {f["canonical_reference"] for s in template.sections for f in s.fields if f["canonical_reference"]}
     wrong += [f"no reference list {name}" for name in sorted(cited - found.keys())]
+    prompts, partials = config.read_prompts(str(root / "prompts"))
+    if (root / "prompts").is_dir():
+        wrong += config.prompt_problems(prompts, partials, found)
     if wrong:
         raise config.ConfigError("; ".join(wrong))
-    return ConfigBundle(template, found, labels, settings)
+    return ConfigBundle(template, found, labels, settings, prompts, partials)
 
 
 def load_bundles(spark: SparkSession, root: str) -> DataFrame:

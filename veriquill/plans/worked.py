@@ -1367,3 +1367,25 @@ def stream_histories(spark, d):
     events = spark.readStream.schema(t(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]")  # a pattern may name a file as well as a folder
     told = history.told_steps(typed_log_of(events))
     return written(running_histories(told), TOLD).select("path", "line_no", "kind", "before", "after", "changed", "answers_challenge", "value_before")
+
+
+PROMPT_CASES = [
+    (1, {}, {}, ""),
+    (2, {"extractor_system": "use {include:lost}"}, {}, "prompt extractor_system: no partial lost"),
+    (3, {"extractor_system": "{include:a}"}, {"a": "{reference:nolist}"}, "prompt extractor_system: no reference list nolist"),
+    (4, {"review_system": "{include_if:checker:a}"}, {"a": "{include:b}", "b": "x"}, "partial a cites b; partials hold no others"),
+    (5, {"checker_system": "you have {max_tool_calls} calls"}, {}, "prompt checker_system shows the budget {max_tool_calls}"),
+    (6, {"stray": "x"}, {}, "prompt stray is used by no stage"),
+]
+
+
+@query(results("id BIGINT, said VARCHAR", *((i, said) for i, _, _, said in PROMPT_CASES)))
+def prompt_errors(spark, d):
+    """Prompts with one fault each, and some without."""
+    good = dict.fromkeys(config.PROMPTS, "Use {reference:gauges}.")
+    return spark.createDataFrame([(i, "; ".join(config.prompt_problems(good | more, partials, {"gauges"}))) for i, more, partials, _ in PROMPT_CASES], "id long, said string")
+
+
+@query(results("setting VARCHAR", ("colour is no setting",), ("max_calls is no setting",)))
+def unknown_settings(spark, d):
+    return spark.createDataFrame([(x,) for x in config.unknown_settings({"max_tool_calls": 1, "max_calls": 2, "colour": "red", "rates": {}})], "setting string")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -213,6 +213,40 @@ def load_reference_lists(spark: SparkSession, folder: str) -> DataFrame:
     return reference_entries(spark, read_lists(folder)[0])
 
 
+# The settings there are, and the budgets that no prompt may show.
+SETTINGS = frozenset(
+    "extractor_model review_model checker_model checker_concurrency checker_context_chars checker_max_tokens extractor_max_tokens review_max_tokens max_tool_calls max_review_tool_calls "
+    "max_checks_per_field extractor_decoding review_decoding checker_decoding final_review check_reviewer_edits rates".split()
+)
+BUDGETS = ("{max_tool_calls}", "{max_review_tool_calls}")
+PROMPTS = ("extractor_system", "review_system", "checker_system")
+
+
+def unknown_settings(settings: Mapping) -> list[str]:
+    return [f"{k} is no setting" for k in sorted(map(str, settings.keys() - SETTINGS))]
+
+
+def read_prompts(folder: str) -> tuple[dict[str, str], dict[str, str]]:
+    """Prompts and partials of a folder by name; both empty where there is none."""
+    read = lambda place: {p.stem: p.read_text(encoding="utf-8") for p in sorted(Path(place).glob("*.md"))}
+    return read(folder), read(f"{folder}/partials")
+
+
+def prompt_problems(prompts: Mapping[str, str], partials: Mapping[str, str], lists: Collection[str]) -> list[str]:
+    """Every fault of prompts: those that are lacking or stray, partials and lists they cite that are not there, partials within partials, budgets they show."""
+    from veriquill.functions import render
+
+    out = [f"prompt {name} is missing" for name in PROMPTS if name not in prompts] + [f"prompt {name} is used by no stage" for name in sorted(prompts.keys() - set(PROMPTS))]
+    out += [f"partial {name} cites {inner}; partials hold no others" for name, text in sorted(partials.items()) for inner in render.cited_partials(text)]
+    for name, text in sorted(prompts.items()):
+        cited = render.cited_partials(text)
+        out += [f"prompt {name}: no partial {c}" for c in cited if c not in partials]
+        whole = "\n".join([text, *(partials[c] for c in cited if c in partials)])
+        out += [f"prompt {name}: no reference list {r}" for r in render.referenced_names(whole) if r not in lists]
+        out += [f"prompt {name} shows the budget {b}" for b in BUDGETS if b in whole]
+    return out
+
+
 # Settings that belong to a stage which may be switched off.
 STAGE_SETTINGS = {
     "checker": ("checker_model", "checker_max_tokens", "checker_decoding", "checker_concurrency", "checker_context_chars"),
