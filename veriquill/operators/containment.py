@@ -22,8 +22,8 @@ def word_hashes(text: Column) -> Column:
 
 
 def key(hashes: Column, at: Column, n: Column) -> Column:
-    """The hash of n word hashes from a place on; n is part of it, as what lies beyond is left out."""
-    return F.xxhash64(*[F.when(n > k, F.get(hashes, at + k)) for k in range(SHINGLE)])
+    """The hash of n word hashes from a place on."""
+    return F.xxhash64(F.slice(hashes, at + 1, n))
 
 
 def candidates(passages: DataFrame, texts: DataFrame) -> DataFrame:
