@@ -787,3 +787,17 @@ def test_weights_are_the_log_odds_less_their_margin():
             want[f] = score
     assert got.keys() == want.keys() and "=doltish" in got and "^dolt" in got
     assert all(math.isclose(got[f], want[f]) for f in got)
+
+
+def test_repeated_passages_agree_with_their_sql(spark):
+    import duckdb
+
+    from veriquill.llm import queries
+
+    place = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{place}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()["op9_repeated_passages"])
+    got = queries.op9_repeated_passages(spark, place)
+    assert got.columns == want.columns and Counter(map(tuple, got.collect())) == Counter(want.fetchall())
+    assert any(r.factors for r in got.collect())

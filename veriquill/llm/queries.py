@@ -78,7 +78,25 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriquill.llm.substring import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    factor = lambda f: F.concat_ws(":", f["start"], f["length"], F.coalesce(f["reference"].cast("string"), F.lit("")), f["offset"])
+    return found.withColumn("factors", F.array_join(F.transform("factors", factor), ","))
+
+
+#: op9 over again in SQL: homes of windows by their text, factors as islands of windows whose homes go on in step.
+REPEATED_PASSAGES = r"""WITH d AS (SELECT doc_id, words, len(words) AS n, array_to_string(words, ' ') AS whole FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents)),
+x AS (SELECT doc_id, i, array_to_string(words[i + 1:i + 50], ' ') AS win FROM (SELECT doc_id, words, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+h AS (SELECT win, min({'id': doc_id, 'at': i}) AS home FROM x GROUP BY win HAVING count(*) > 1),
+f AS (SELECT doc_id, i, home['id'] AS ref, home['at'] AS off FROM x JOIN h USING (win) WHERE doc_id > home['id']),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, ref, off - i ORDER BY i) AS island FROM f),
+p AS (SELECT doc_id, min(i) AS start, count(*) + 49 AS length, ref, min(off) AS off FROM g GROUP BY doc_id, ref, off - i, island),
+q AS (SELECT doc_id, string_agg(start || ':' || length || ':' || ref || ':' || off, ',' ORDER BY start) AS factors FROM p GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + length)) AS j FROM p),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word, unnest(range(0, n)) AS j FROM d WHERE doc_id IN (SELECT doc_id FROM p)) ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id),
+c AS (SELECT whole, min(doc_id) AS head FROM d WHERE n >= 50 GROUP BY whole)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_words, CAST(CASE WHEN q.factors IS NULL THEN 0 ELSE d.n - coalesce(kept.n, 0) END AS BIGINT) AS n_removed,
+sha256(CASE WHEN q.factors IS NULL THEN d.whole ELSE coalesce(kept.text, '') END) AS kept_sha256, CASE WHEN c.head < d.doc_id THEN '0:' || d.n || '::0' ELSE coalesce(q.factors, '') END AS factors
+FROM d LEFT JOIN q USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN c ON c.whole = d.whole"""
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +111,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_repeated_passages": REPEATED_PASSAGES}
