@@ -215,11 +215,16 @@ def cited_partials(text: str) -> list[str]:
     return list(dict.fromkeys([*INCLUDE.findall(text), *(n for _, n in INCLUDE_IF.findall(text))]))
 
 
-def with_references(text: str, lists: Mapping[str, list[str]]) -> str:
+def reference_block(entries: list) -> str:
+    """The names of a list's entries, bulleted; aliases help to match and are not shown."""
+    return "\n".join(f"- {e if isinstance(e, str) else e['tool_name']}" for e in entries or [])
+
+
+def with_references(text: str, lists: Mapping[str, list]) -> str:
     """Placeholders replaced by the bulleted names of their lists."""
     if lost := [n for n in referenced_names(text) if n not in lists]:
         raise KeyError(f"no reference list {lost}; there are {sorted(lists)}")
-    return PLACEHOLDER.sub(lambda m: "\n".join(f"- {name}" for name in lists[m[1]]), text)
+    return PLACEHOLDER.sub(lambda m: reference_block(lists[m[1]]), text)
 
 
 def with_partials(text: str, partials: Mapping[str, str], switches: Mapping[str, bool] | None = None) -> str:

@@ -1389,3 +1389,46 @@ def prompt_errors(spark, d):
 @query(results("setting VARCHAR", ("colour is no setting",), ("max_calls is no setting",)))
 def unknown_settings(spark, d):
     return spark.createDataFrame([(x,) for x in config.unknown_settings({"max_tool_calls": 1, "max_calls": 2, "colour": "red", "rates": {}})], "setting string")
+
+
+@query(
+    results(
+        "tool VARCHAR, arguments VARCHAR, required VARCHAR, fields VARCHAR",
+        ("record_initial_check", "checks", "checks", "eligible"),
+        ("update_study", "fields,notes", "fields", "design,summary,blinding"),
+        ("add_record", "fields,notes", "fields", "gauge,kind"),
+        ("update_record", "record_id,fields,notes", "record_id,fields", "gauge,kind"),
+        ("remove_record", "record_id,reason", "record_id,reason", ""),
+        ("mark_complete", "quality_check,summary", "", "done"),
+        ("abandon_extraction", "reason", "reason", ""),
+        ("view_summary", "", "", ""),
+        ("view_study_fields", "", "", ""),
+        ("view_record", "record_id", "record_id", ""),
+    )
+)
+def tool_catalogues(spark, d):
+    """The tools of a template as they are sent: their arguments, which are owed, and the fields in them."""
+    made = config.tool_definitions(config.parse_template(config.strict_yaml(TEMPLATE)), records.TOOLS, "extractor")
+    rows = []
+    for tool in made:
+        properties = tool["input_schema"]["properties"]
+        inner = next((p["properties"] for p in properties.values() if p.get("type") == "object"), {})
+        rows.append((tool["name"], ",".join(properties), ",".join(tool["input_schema"]["required"]), ",".join(inner)))
+    return spark.createDataFrame(rows, "tool string, arguments string, required string, fields string")
+
+
+@query(
+    results(
+        "variable VARCHAR, said VARCHAR, slim VARCHAR",
+        ("design", "Evidence required", '{"type":["string","null"]}'),
+        ("summary", "Evidence optional", '{"type":["string","null"]}'),
+        ("blinding", "Evidence optional", '{"type":"boolean"}'),
+        ("gauge", "A name from the list gauges, spelled as there · Evidence required", '{"type":["string","null"]}'),
+        ("kind", "Options: A; B; Other (specify) · Evidence optional", '{"type":["string","null"]}'),
+    )
+)
+def field_descriptions(spark, d):
+    """What a model is told of a field, and the schema of its value where the options are listed already."""
+    made = config.parse_template(config.strict_yaml(TEMPLATE))
+    rows = [(f["variable"], config.field_description(f), arrow.canonical(config.slim_value_schema(f))) for b in ("study", "record") for f in made.fields(b)]
+    return spark.createDataFrame(rows, "variable string, said string, slim string")

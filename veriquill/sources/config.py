@@ -303,7 +303,49 @@ def value_schema(f: Mapping) -> dict:
     return {"type": [{"integer": "integer", "year": "integer", "number": "number"}.get(kind, "string"), "null"]}
 
 
-def envelope_schema(f: Mapping) -> dict:
+def field_description(f: Mapping) -> str:
+    """What a model is told of a field: its description and instruction, open options, its list, and whether evidence is owed."""
+    listed, many = f.get("canonical_reference"), f["field_type"] == "string_list"
+    parts = [
+        (f.get("description") or "").strip(),
+        (f.get("extraction_instruction") or "").strip(),
+        f"Options: {'; '.join(f['options'])}; Other (specify)" if f["field_type"] == "categorical" and f.get("allow_other") else "",
+        f"{'Names' if many else 'A name'} from the list {listed}, spelled as there{', each once' if many else ''}" if listed else "",
+        "Evidence optional" if f.get("evidence") == "optional" else "Evidence required",
+    ]
+    return " · ".join(p for p in parts if p)
+
+
+def slim_value_schema(f: Mapping) -> dict:
+    """The schema without the options, for calls beside which the options are listed already."""
+    return {"type": ["string", "null"]} if f["field_type"] == "categorical" else value_schema(f)
+
+
+def envelope_schema(f: Mapping, slim: bool = False) -> dict:
     """A value with its evidence and notes."""
     text = {"type": ["string", "null"]}
-    return {"type": "object", "properties": {"value": value_schema(f), "evidence": text, "notes": text}, "required": ["value", "evidence", "notes"], "additionalProperties": False}
+    told = {} if slim else {"description": field_description(f)}
+    return {"type": "object", **told, "properties": {"value": slim_value_schema(f) if slim else value_schema(f), "evidence": text, "notes": text}, "required": ["value", "evidence", "notes"], "additionalProperties": False}
+
+
+def tool_definitions(template: Template, tools: Mapping[str, tuple[str, tuple[str, ...]]], role: str | None = None) -> list[dict]:
+    """The tools of a role, or of all, as they are sent: names and the schemas of their arguments, in the order of `tools`.
+
+    tools: roles, comma-separated, and arguments by name. Changes to a record list no options, as additions beside them do.
+    """
+    text = {"type": ["string", "null"]}
+    record, study = template.fields("record"), template.fields("study")
+    checks = lambda block: {"type": "object", "properties": {f["variable"]: value_schema(f) for f in template.fields(block)}, "additionalProperties": False}
+    fields = lambda found, slim: {"type": "object", "properties": {f["variable"]: envelope_schema(f, slim) for f in found}, "additionalProperties": False}
+
+    def schema(tool: str, argument: str) -> dict:
+        if argument == "fields":
+            return fields(study if tool == "update_study" else record, tool == "update_record")
+        return {"checks": checks("initial_check"), "quality_check": checks("quality_check")}.get(argument, text if argument in ("notes", "summary") else {"type": "string"})
+
+    out = []
+    for name, (roles, arguments) in tools.items():
+        if role is None or role in roles.split(","):
+            needed = [a for a in arguments if a not in ("notes", "summary", "quality_check")]
+            out.append({"name": name, "input_schema": {"type": "object", "properties": {a: schema(name, a) for a in arguments}, "required": needed, "additionalProperties": False}})
+    return out
