@@ -1,6 +1,7 @@
 """Calls carried out: from what a model proposed, call by call, to the records that stand in the end. The model itself is not part of it.
 
-calls: study_id, call_id, seq, tool, record_id, reason, fields (variable to envelope as JSON text).
+calls: study_id, call_id, seq, tool, record_id, reason, fields (variable to envelope as JSON text), role, checks (the answers of a
+check block, by variable, as one JSON text).
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriquill.operators import records, tools, values
-from veriquill.sources.files import envelope_parts, json_value
+from veriquill.sources.files import bare_answers, envelope_parts, json_value
 from veriquill.sources.folders import new_folder
 
-CALL = "study_id string, call_id string, seq long, tool string, record_id string, reason string, fields map<string,string>"
+CALL = "study_id string, call_id string, seq long, tool string, record_id string, reason string, fields map<string,string>, role string, checks string"
+CHECKS = {"record_initial_check": "initial_check", "mark_complete": "quality_check"}
 WRITES = ("update_study", "add_record", "update_record")
 
 
@@ -24,7 +26,12 @@ def proposed(calls: DataFrame) -> DataFrame:
     placed = writes.withColumn("block", block).withColumn("record_id", record).withColumn("cell", F.coalesce("cell", F.lit("null")))
     path = F.concat_ws(".", "block", "record_id", "variable")
     evidence, notes = envelope_parts("cell")
-    return placed.select("study_id", "call_id", "seq", "tool", "block", "record_id", F.lit(None).cast("string").alias("role"), "variable", path.alias("path"), json_value("cell").alias("value"), evidence.alias("evidence"), notes.alias("notes"))
+    none = F.lit(None).cast("string")
+    cells = placed.select("study_id", "call_id", "seq", "tool", "block", "record_id", none.alias("role"), "variable", path.alias("path"), json_value("cell").alias("value"), evidence.alias("evidence"), notes.alias("notes"))
+    answered = calls.where(F.col("tool").isin(*CHECKS) & F.col("checks").isNotNull())
+    blocks = F.create_map(*[F.lit(x) for pair in CHECKS.items() for x in pair])
+    bare = bare_answers(answered.select("study_id", "call_id", "seq", "tool", blocks[F.col("tool")].alias("block"), F.coalesce("role", F.lit("extractor")).alias("role"), "checks"), "checks")
+    return cells.unionByName(bare.select(*[c for c in bare.columns], none.alias("record_id"), F.concat_ws(".", "block", "role", "variable").alias("path"), none.alias("evidence"), none.alias("notes")))
 
 
 def judged(cells: DataFrame, catalogue: DataFrame, entries: DataFrame, papers: DataFrame, labels: DataFrame) -> DataFrame:
@@ -59,7 +66,7 @@ def carried_out(calls: DataFrame, catalogue: DataFrame, entries: DataFrame, pape
     refused = tools.call_problems(shaped, lives).select("study_id", "call_id", "code")
     new = minted.select("study_id", "call_id", F.col("record_id").alias("minted"))
     kept = fine.join(refused, ["study_id", "call_id"], "left_anti").join(new, ["study_id", "call_id"], "left").withColumn("record_id", F.coalesce("minted", "record_id")).drop("minted")
-    kept = kept.withColumn("path", F.concat_ws(".", "block", "record_id", "variable")).withColumn("value", F.col("value_out"))
+    kept = kept.withColumn("path", F.concat_ws(".", "block", "record_id", "role", "variable")).withColumn("value", F.col("value_out"))
     standing = records.current_cells(kept.select("study_id", "path", "record_id", "seq", "block", "role", "variable", "value", "evidence", "notes"), lives.where("until is not null and until > since"))
     outcomes = calls.select("study_id", "call_id", "seq", "tool", F.col("record_id").alias("asked")).join(counts, ["study_id", "call_id"], "left").join(refused, ["study_id", "call_id"], "left").join(new, ["study_id", "call_id"], "left")
     n = lambda c: F.when(F.col("code").isNull(), F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(0))

@@ -1259,7 +1259,8 @@ REPLAYED = [
 
 
 def _replayed(spark) -> tuple[DataFrame, DataFrame]:
-    calls = spark.createDataFrame([("s", *c) for c in REPLAYED], replay.CALL)
+    checks = [("s", "k1", 0, "record_initial_check", None, None, None, None, '{"eligible": true, "why": 3}'), ("s", "k2", 20, "mark_complete", None, None, None, "review", '{"done": true}')]
+    calls = spark.createDataFrame([("s", *c, None, None) for c in REPLAYED] + checks, replay.CALL)
     return replay.carried_out(calls, small_catalogue(spark), spark.createDataFrame(ENTRIES, lists.ENTRY), *small_papers(spark))
 
 
@@ -1270,6 +1271,7 @@ def _replayed(spark) -> tuple[DataFrame, DataFrame]:
         ("record.record_1.n", "5", None, None),
         ("record.record_1.gauge", '"Strain – Gauge"', "<q>The cohort</q>", "seen"),
         ("record.record_3.n", "3", None, None),
+        ("quality_check.review.done", "true", None, None),
     )
 )
 def replayed_cells(spark, d):
@@ -1289,6 +1291,8 @@ def replayed_cells(spark, d):
         ("c7", "validation_failed", 0, 0, "record_2", "unknown_record"),
         ("c8", "validation_failed", 0, 0, "record_1", "missing_field"),
         ("c9", "ok", 1, 0, "record_3", None),
+        ("k1", "validation_failed", 0, 2, None, None),  # the template has no such checks
+        ("k2", "ok", 1, 0, None, None),
     )
 )
 def replayed_calls(spark, d):
@@ -1432,3 +1436,12 @@ def field_descriptions(spark, d):
     made = config.parse_template(config.strict_yaml(TEMPLATE))
     rows = [(f["variable"], config.field_description(f), arrow.canonical(config.slim_value_schema(f))) for b in ("study", "record") for f in made.fields(b)]
     return spark.createDataFrame(rows, "variable string, said string, slim string")
+
+
+@query(results("form VARCHAR, tier VARCHAR, start BIGINT, canonical VARCHAR, ratio DOUBLE", ("a 'b'", "case_folded", 2, '{"a":1,"b":[]}', 0.75)))
+def sql_functions(spark, d):
+    """The kernel called from SQL."""
+    arrow.register(spark)
+    return spark.sql(
+        """SELECT normalise_quote(' A  ‘B’ ') AS form, q.tier, q.start, canonical_json('{"b": [], "a": 1}') AS canonical, seq_ratio('abcd', 'bcde') AS ratio FROM (SELECT locate_quote('WORDS', 'a words') AS q)"""
+    )

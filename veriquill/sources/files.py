@@ -78,15 +78,21 @@ def cells_of(outputs: DataFrame) -> DataFrame:
     part = lambda name, kind: F.from_json(F.get_json_object("output", f"$.{name}"), kind)
     filled = _envelopes(outputs).where(F.col("is_envelope") & F.col("has_value")).select("study_id", "block", "record_id", "role", "variable", "path", json_value("cell").alias("value"), _text_of("evidence").alias("evidence"), _text_of("notes").alias("notes"))
     for block in ("initial_check", "quality_check"):
-        roles = outputs.select("study_id", F.explode(part(block, "map<string,string>")).alias("role", "answers"))
-        roles = roles.withColumn("kinds", F.from_json("answers", "map<string,variant>")).select("study_id", "role", "kinds", F.explode(F.from_json("answers", "map<string,string>")).alias("variable", "value"))
+        roles = bare_answers(outputs.select("study_id", F.explode(part(block, "map<string,string>")).alias("role", "answers")), "answers")
         nothing = [F.lit(None).cast("string").alias(c) for c in ("evidence", "notes")]
-        is_text = F.schema_of_variant(F.col("kinds")[F.col("variable")]) == "STRING"  # a text may read like a number or a truth value
-        bare = F.when(F.col("value").isNull(), "null").when(is_text, F.regexp_extract(F.to_json(F.array("value")), r"(?s)^\[(.*)\]$", 1)).otherwise(F.col("value"))
-        filled = filled.unionByName(roles.select("study_id", F.lit(block).alias("block"), F.lit(None).cast("string").alias("record_id"), "role", "variable", F.concat_ws(".", F.lit(block), "role", "variable").alias("path"), bare.alias("value"), *nothing))
+        filled = filled.unionByName(roles.select("study_id", F.lit(block).alias("block"), F.lit(None).cast("string").alias("record_id"), "role", "variable", F.concat_ws(".", F.lit(block), "role", "variable").alias("path"), "value", *nothing))
     return filled
 
 
+def bare_answers(df: DataFrame, answers: str) -> DataFrame:
+    """df with variable and value for each entry of a JSON object of bare values, in place of it; values are JSON text."""
+    rest = [c for c in df.columns if c != answers]
+    rows = df.withColumn("kinds", F.from_json(answers, "map<string,variant>")).select(*rest, "kinds", F.explode(F.from_json(answers, "map<string,string>")).alias("variable", "value"))
+    is_text = F.schema_of_variant(F.col("kinds")[F.col("variable")]) == "STRING"  # a text may read like a number or a truth value
+    bare = F.when(F.col("value").isNull(), "null").when(is_text, F.regexp_extract(F.to_json(F.array("value")), r"(?s)^\[(.*)\]$", 1)).otherwise(F.col("value"))
+    return rows.select(*rest, "variable", bare.alias("value"))
+
+
 def json_value(cell: str) -> Column:
     """The value of an envelope as JSON text, strings quoted as in the source."""
     kept = F.from_json(F.col(cell), "struct<value:variant>")["value"]
