@@ -154,21 +154,22 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             "id": batch.column(0),
             "key": batch.column(1),
             "n_words": [w.n for w in words],
-            "sha": [w.without([])[1] for w in words],
+            "sha": [bytes.fromhex(w.without([])[1]) for w in words],
             "anchors": [a for a, _ in anchors],
             "times": [n for _, n in anchors],
         }
 
     arrays = [T.StructField("anchors", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType()))]
-    parsed = cut(map_batches(docs, read, T.StructType([*key, T.StructField("n_words", T.LongType()), T.StructField("sha", T.StringType()), *arrays])))
+    parsed = cut(map_batches(docs, read, T.StructType([*key, T.StructField("n_words", T.LongType()), T.StructField("sha", T.BinaryType()), *arrays])))
 
     long_enough = parsed.where((F.col("n_words") >= window) & F.col("id").isNotNull())
     heads = long_enough.groupBy("sha").agg(F.min("id").alias("head"))
     # joined by id too, so that a text with very many copies is no hot key where arrays move
     first_of_text = long_enough.join(heads.withColumnRenamed("head", "id"), ["id", "sha"])
     anchors = first_of_text.select("id", "key", F.inline(F.arrays_zip("anchors", "times"))).withColumnRenamed("anchors", "anchor")
-    spread = [f(c).alias(f"{f.__name__}_{c}") for c in ("id", "key") for f in (F.min, F.max)]
-    shared = anchors.groupBy("anchor").agg(*spread, F.sum("times").alias("windows")).where("min_id < max_id or min_key < max_key").select("anchor", "windows")
+    # heads have different texts, so different keys
+    ends = anchors.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.sum("times").alias("windows"))
+    shared = ends.where("low < high").select("anchor", "windows")
     crowded = F.collect_set(F.when(F.col("windows") > crowd, F.col("anchor")))  # sets, as rows may repeat
     marks = anchors.drop("times").join(shared, "anchor").groupBy("id", "key").agg(F.collect_set("anchor").alias("anchors"), crowded.alias("crowded"))
     # what windows are told by besides the id: the key where an id has several texts, else nothing, which costs nothing to move
@@ -203,7 +204,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     fields = [T.StructField("id", id_type), *(T.StructField(c, T.LongType()) for c in ("tag", "hi", "lo")), *(T.StructField(c, T.IntegerType()) for c in ("place", "front", "salt"))]
     read_in = marked.select("id", "tag", "text", "anchors", "crowded")
-    found_at = lambda home, offset: F.struct("place", F.col(home).alias("reference"), F.col(offset).alias("offset")).alias("found")
+    # the way from a place to that of the reference is the same all along a factor, which takes little to move
+    found_at = lambda home, offset: F.struct("place", F.col(home).alias("reference"), (F.col(offset) - F.col("place")).alias("way")).alias("found")
     # Windows of few documents meet by digest; the least of them is their home.
     few = map_batches(read_in, index(False), T.StructType(fields[:-2]))
     plain = few.withColumn("home", F.min(F.struct("id", "place")).over(Window.partitionBy("hi", "lo"))).where("id > home.id").select("id", "tag", found_at("home.id", "home.place"))
@@ -217,7 +219,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def parse(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {"id": [], "key": [], "n_removed": [], "kept": [], "factors": []}
         for i, k, text, found in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            parse = factors({(f["place"], f["reference"], f["offset"]) for f in found}, window)  # a set, as rows may repeat
+            parse = factors({(f["place"], f["reference"], f["place"] + f["way"]) for f in found}, window)  # a set, as rows may repeat
             removed, kept = Words(text).without([(a, a + n) for a, n, _, _ in parse])
             for name, value in zip(out, (i, k, removed, kept, [dict(zip(("start", "length", "reference", "offset"), f)) for f in parse])):
                 out[name].append(value)
@@ -237,6 +239,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("id").alias(id_col),
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", F.lower(F.hex("sha")))).alias("kept_sha256"),
         F.when(whole, F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("length"), none.alias("reference"), F.lit(0).alias("offset"))).cast(many_factors)).otherwise(F.coalesce("factors", F.array().cast(many_factors))).alias("factors"),
     )
