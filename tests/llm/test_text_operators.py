@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from veriquill.llm import html_text, mixing, packing, pii, quality, simhash, substring, token_count, toxicity
 from veriquill.llm.queries import BYTE_BPE_SPECIAL
@@ -523,6 +524,15 @@ def test_links_of_planted_fingerprints(spark):
         assert groups(found) == groups({signed(f): x for f, x in want.items()})
 
 
+def test_exploded_anchors_are_not_broadcast(spark, monkeypatch):
+    """A few fingerprints look small enough to broadcast, but their anchors are 34 times as many."""
+    plans, cut = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    found = simhash.links(spark.range(500).select(F.col("id").alias("fp")))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+
+
 def test_one_of_each_component_stays(spark):
     df = frame(spark)
     got = simhash.keep_one(df)

@@ -76,11 +76,12 @@ def anchors(fp: str) -> Column:
 
 def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """Edges (a, b) between distinct fingerprints; the components of these are those of all links within two bits."""
+    # the planner takes what is exploded to be as large as what it comes from, and would broadcast 34 times that
     at = distinct.select("fp", F.explode(anchors("fp")).alias("at")).select("fp", "at.key", "at.home")
     shared = at.groupBy("key").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("n > 1 and homes > 0").select("key", "n")
-    met = cut(at.join(shared, "key"))
+    met = cut(at.hint("merge").join(shared.hint("merge"), "key"))
     few = met.where(F.col("n") <= crowded)
-    pairs = few.where("home").select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key")
+    pairs = few.where("home").select("key", F.col("fp").alias("a")).hint("merge").join(few.select("key", F.col("fp").alias("b")).hint("merge"), "key")
     compared = pairs.where("a <> b and bit_count(a ^ b) <= 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     many = met.where(F.col("n") > crowded).select("fp").distinct()
     near = many.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("near"))
