@@ -91,7 +91,7 @@ def test_queries_agree_with_their_sql(spark, duck, name):
     assert Counter(tuple(_plain(r[c]) for c in order) for r in got.collect()) == Counter(rows)
 
 
-@pytest.mark.parametrize("name", ["context_windows"])
+@pytest.mark.parametrize("name", ["context_windows", "quote_tiers"])
 def test_capitals_keep_the_spelling(spark, tmp_path, name):
     """A passage in capitals is the same words: ß has no capital of one letter, and SS would be another spelling."""
     spark.createDataFrame([(1, "ein großes Maß an Straßen und Flüssen"), (5, "the end of all the roads")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
