@@ -711,3 +711,19 @@ def test_streamed_histories_are_the_batch_ones(spark, tmp_path):
     columns_of = [c.split()[0] for c in TOLD.split(", ")]
     want = history.history(history.steps(events)).select(*columns_of).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and len(got) > 300
+
+
+def test_histories_are_written_line_by_line(spark, tmp_path):
+    """A session's file is its document, whole and in order, though no row of it holds more than a field."""
+    from veriquill.plans import worked
+
+    rows = [(i, i % 40, kind, f"2024-01-01 00:00:{i % 60:02d}") for i, kind in enumerate(["purchase", "view", "click", "signup", "error"] * 60)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string")
+    steps = history.steps(worked.typed_log_of(events))
+    whole = {r.session_id: r.history for r in history.documents(steps).collect()}
+    lines = history.document_lines(steps)
+    longest = max(len(r.line) for r in lines.collect())
+    sinks.write_histories(lines, f"{tmp_path}/h")
+    files = {f.parent.name.split("=")[1]: f.read_text() for f in tmp_path.glob("h/session_id=*/part-*")}
+    assert set(files) == set(whole) and {s: json.dumps(json.loads(t)) for s, t in files.items()} == {s: json.dumps(json.loads(t)) for s, t in whole.items()}
+    assert longest * 2 < max(map(len, whole.values()))

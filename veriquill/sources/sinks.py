@@ -49,9 +49,13 @@ def append_calls(calls: DataFrame, path: str) -> None:
     append_log(calls.withColumns({c: without_secrets(F.col(c)) for c in ("request", "response")}), path)
 
 
-def write_histories(documents: DataFrame, path: str) -> None:
-    """Documents of `operators.history.documents`, in folders by session, written whole or not at all."""
-    documents.write.mode("overwrite").partitionBy("session_id").text(path)
+def write_histories(lines: DataFrame, path: str) -> None:
+    """Documents in lines, as from `operators.history.document_lines`, in folders by session, written whole or not at all.
+
+    A session's file is its JSON document. One task writes it, line by line, so that no document has to fit in memory.
+    """
+    ordered = lines.repartition("session_id").sortWithinPartitions("session_id", "part", "at")
+    ordered.select("session_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("session_id").text(path)
 
 
 def run_entries(runs: DataFrame, usage: DataFrame, costs: DataFrame) -> DataFrame:
