@@ -533,6 +533,25 @@ def test_exploded_anchors_are_not_broadcast(spark, monkeypatch):
     assert len(plans) == 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
 
 
+@pytest.mark.parametrize("most", [10, 50_000])
+def test_many_rows_do_not_go_through_the_driver(spark, monkeypatch, most):
+    """Under the default threshold, joins of more rows than may be sent are merge joins, to the last plan that runs."""
+    from veriquill.llm import common, graph
+
+    plans = []
+    run = lambda df: plans.append(df._jdf.queryExecution()) or common.cut(df)
+    monkeypatch.setattr(common, "SENT_ROWS", most)
+    monkeypatch.setattr(simhash, "cut", run)
+    monkeypatch.setattr(graph, "cut", run)
+    df = frame(spark)
+    kept = simhash.keep_one(df)
+    got = Counter(r.doc_id for r in kept.collect())
+    plans.append(kept._jdf.queryExecution())
+    sent = sum("BroadcastHashJoin" in p.executedPlan().toString() for p in plans)
+    assert got == Counter(r.doc_id for r in simhash.near_duplicates(df).collect() if r.doc_id == r.component_id)
+    assert len(plans) > 5 and (sent == 0) == (most == 10)
+
+
 def test_one_of_each_component_stays(spark):
     df = frame(spark)
     got = simhash.keep_one(df)

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 WHITE = r"[\x20\x09-\x0D]+"
 #: Rows and bytes of one Arrow batch: long texts must not meet by the thousand in one worker.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: Rows up to which the planner may send a table to all executors through the driver.
+SENT_ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +73,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def merged(rows: int, *sides: DataFrame) -> tuple[DataFrame, ...]:
+    """The sides of a join, of which the smaller has so many rows: with many it is a merge join, and nothing goes through the driver.
+
+    The planner's threshold is of compressed bytes, and the driver holds each broadcast table several times over.
+    """
+    return tuple(df.hint("merge") for df in sides) if rows > SENT_ROWS else sides
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     """Delete a folder that nothing reads any more, by whatever file system it is on."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

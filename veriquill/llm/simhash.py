@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from veriquill.llm.common import cut, id_field, map_batches, narrow, positional, renamed_back
+from veriquill.llm.common import cut, id_field, map_batches, merged, narrow, positional, renamed_back
 from veriquill.llm.graph import components
 
 SHINGLE, SEED = 3, 42
@@ -100,10 +100,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     prints = cut(fingerprints(df, id_col, text_col))
     distinct = prints.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = components(links(distinct.select("fp"), crowded))
-    rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    n = distinct.count()
+    roots = components(links(distinct.select("fp"), crowded)).select(F.col("node").alias("fp"), "root")
+    distinct, roots, prints = merged(n, distinct, roots, prints)
+    rooted = distinct.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lows, "root").select("fp", "component_id")
+    rooted, lows = merged(n, rooted, lows)
+    named = merged(n, rooted.join(lows, "root").select("fp", "component_id"))[0]
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -117,11 +120,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     heads = found.where(F.col("id").eqNullSafe(F.col("component_id")))
     like, (df, (i, t)) = df, positional(df, id_col, text_col)
     once = heads.where("id is not null").groupBy("id").agg(F.count("*").alias("rows"))
-    kept = df.join(once, df[i] == F.col("id")).drop("id")
+    n = found.count()
+    kept = df.join(merged(n, once)[0], df[i] == F.col("id")).drop("id")
     single, several = kept.where("rows = 1").drop("rows"), kept.where("rows > 1").drop("rows").dropDuplicates([i])
     nameless = heads.where("id is null").select("fingerprint").distinct()
     bare = df.where(df[i].isNull()).withColumn("print", _fingerprint_udf()(df[t]))
-    bare = bare.join(nameless, bare["print"] == nameless["fingerprint"], "left_semi").dropDuplicates(["print"]).drop("print")
+    bare = bare.join(merged(n, nameless)[0], bare["print"] == nameless["fingerprint"], "left_semi").dropDuplicates(["print"]).drop("print")
     return renamed_back(single.unionByName(several).unionByName(bare), like)
 
 
