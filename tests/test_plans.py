@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 from veriquill.functions import arrow
+from veriquill.functions.alike import Blocks
 from veriquill.functions.quotes import nearest_wording, normalised
 from veriquill.plans import queries, worked
 
@@ -42,6 +43,33 @@ def test_alikeness_is_that_of_the_ratio():
     assert seen == {True, False}
 
 
+@pytest.mark.parametrize("letters, most", [("etaoin srhldu" * 40 + "qzxjkv.,\U0001f600", 90), ("".join(map(chr, range(0x4E00, 0x5200))), 90), ("ab", 90), ("".join(map(chr, range(97, 300))), 9)])
+def test_longest_blocks_are_those_of_difflib(letters, most):
+    """Common letters with rare ones, rare ones alone, common ones alone: whole texts and ranges of them, earliest of equals first."""
+    r = random.Random(len(letters))
+    for k in range(60):
+        a = "".join(r.choice(letters) for _ in range(r.randint(200, 600)))
+        at = r.randrange(len(a))
+        b = "".join(r.choice(letters) if r.random() * 100 > most else c for c in (a[at:] + a[:at] if k % 3 else a[::-1]))
+        m = SequenceMatcher(None, a, b)
+        blocks = Blocks(a, b, m.b2j)
+        for step, (x, y) in enumerate([(len(a), len(b)), *((r.randint(0, len(a)), r.randint(0, len(b))) for _ in range(6))], 1):
+            u, v = r.randint(0, x), r.randint(0, y)
+            ranges = (u, x, v, y) if step > 1 else (0, x, 0, y)
+            assert blocks.longest(*ranges, step) == tuple(m.find_longest_match(*ranges))
+        assert all(arrow._alike(a, b, least) == (m.ratio() >= least) for least in (0.2, 0.6, 0.9))
+
+
+def test_long_texts_are_compared_in_seconds():
+    """Letters that are just not too common are the worst for difflib: each is met with all its places."""
+    from time import process_time
+
+    r = random.Random(4)
+    text, began = "".join(chr(0x4E00 + r.randrange(110)) for _ in range(60_000)), process_time()
+    assert not arrow._alike(text, text[::-1], 0.6)
+    assert process_time() - began < 5
+
+
 def test_evidence_tags_are_read_to_the_end(spark, tmp_path):
     import re
 

@@ -51,7 +51,8 @@ def verdicts(answers: DataFrame) -> DataFrame:
 def summaries_match(a: Column, b: Column) -> Column:
     """Whether two summaries may be of one study: one holds the other, or they are alike by 0.6; with nothing to compare, yes."""
     x, y = normalise_text(a), normalise_text(b)
-    return (x == "") | (y == "") | F.contains(x, y) | F.contains(y, x) | sequences_alike(x, y, F.lit(0.6))
+    plain = (x == "") | (y == "") | F.contains(x, y) | F.contains(y, x)
+    return plain | sequences_alike(F.when(~plain, x), y, F.lit(0.6))
 
 
 def identity_text(summary: Column, role_value: Column, title: Column, doi: Column) -> Column:
