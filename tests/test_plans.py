@@ -52,14 +52,27 @@ def test_longest_blocks_are_those_of_difflib(letters, most):
         at = r.randrange(len(a))
         b = "".join(r.choice(letters) if r.random() * 100 > most else c for c in (a[at:] + a[:at] if k % 3 else a[::-1]))
         m = SequenceMatcher(None, a, b)
-        blocks = Blocks(a, b, m.b2j)
+        blocks = Blocks(a, b)
         for step, (x, y) in enumerate([(len(a), len(b)), *((r.randint(0, len(a)), r.randint(0, len(b))) for _ in range(6))], 1):
             u, v = r.randint(0, x), r.randint(0, y)
             ranges = (u, x, v, y) if step > 1 else (0, x, 0, y)
-            assert blocks.longest(*ranges, step) == tuple(m.find_longest_match(*ranges))
+            assert blocks.longest(step, *ranges) == tuple(m.find_longest_match(*ranges))
         assert all(arrow._alike(a, b, least) == (m.ratio() >= least) for least in (0.2, 0.6, 0.9))
 
 
+def test_normal_forms_are_those_of_the_layers():
+    from veriquill.functions.layers import Layer
+    from veriquill.functions.quotes import normal_layer
+
+    r = random.Random(6)
+    bits = ["a", "B", "É", "e\u0301", "ﬁ", "İ", "ΟΣ", "ß", " ", "\u00a0", "\n", "\t", "-\n ", "\u00ad", "\u00ad\n", "-", "—", "’", "“", "--- PAGE BREAK ---", "---page  break---", "½", "\u2028", "\x1f", "\\1", "Å"]
+    for _ in range(400):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 30)))
+        for keep in (False, True):
+            for fold in (False, True):
+                assert normalised(text, keep, fold) == normal_layer(Layer(text), keep, fold).text
+
+
 def test_long_texts_are_compared_in_seconds():
     """Letters that are just not too common are the worst for difflib: each is met with all its places."""
     from time import process_time
